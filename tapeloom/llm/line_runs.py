@@ -95,10 +95,15 @@ class LineRuns:
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
-        all_runs = runs[0]
+        """Runs are bucketed and sorted alike, so each step is a merge join without a shuffle."""
+        out = runs[0]
         for run in runs[1:]:
-            all_runs = all_runs.unionByName(run)
-        return all_runs.groupBy(*HASH).agg(F.sum("n_docs").alias("n_docs"), F.max("keeper").alias("keeper"))
+            more = run.select(*HASH, F.col("n_docs").alias("n_more"), F.col("keeper").alias("keeper_more"))
+            out = out.join(more.hint("merge"), HASH, "full").select(
+                *HASH,
+                (F.coalesce("n_docs", F.lit(0)) + F.coalesce("n_more", F.lit(0))).alias("n_docs"),
+                F.greatest("keeper", "keeper_more").alias("keeper"))
+        return out
 
     def merged(self) -> DataFrame:
         return self._merge(self.runs())
