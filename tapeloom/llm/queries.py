@@ -4,15 +4,18 @@ from __future__ import annotations
 
 from tapeloom.llm.bpe import op1_byte_bpe
 from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
+from tapeloom.llm.minhash import OP10_SQL, op10_circulant_minhash
 from tapeloom.llm.positional_index import OP5_SQL, op5_positional_index
 
 QUERIES = {
     "op1_byte_bpe": op1_byte_bpe,
     "op5_positional_index": op5_positional_index,
     "op9_line_runs": op9_line_runs,
+    "op10_circulant_minhash": op10_circulant_minhash,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op5_positional_index": OP5_SQL,
     "op9_line_runs": OP9_SQL,
+    "op10_circulant_minhash": OP10_SQL,
 }
