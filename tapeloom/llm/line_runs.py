@@ -39,8 +39,9 @@ def line_key(line: Column) -> Column:
 
 def hashed_lines(docs: DataFrame, min_chars: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(doc, row, pos, h1, h2)`` of every line whose key has ``min_chars`` code points or more."""
-    rows = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("t"))
-    lines = rows.select("doc", F.xxhash64("t").alias("row"), F.posexplode(split_lines(F.col("t"))).alias("pos", "line"))
+    text = F.col(text_col)
+    rows = docs.select(F.col(id_col).alias("doc"), F.xxhash64(text).alias("row"), split_lines(text).alias("lines"))
+    lines = rows.select("doc", "row", F.posexplode("lines").alias("pos", "line"))  # the text's hash is made once a document
     keys = lines.withColumn("key", F.btrim("line", F.lit(BLANKS))).filter(F.char_length("key") >= min_chars)
     key = ascii_lower(F.col("key"))
     return keys.select("doc", "row", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit(1), key).alias("h2"))

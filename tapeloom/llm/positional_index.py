@@ -34,9 +34,9 @@ def words(text: Column) -> Column:
 
 def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The stored postings of all words of all documents."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))
-    terms = F.concat(words(F.col("t")), F.array(F.lit("")))
-    postings = rows.select("doc_id", F.hash("t").alias("row"), F.posexplode(terms).alias("pos", "term"))
+    terms = F.concat(words(F.col(text_col)), F.array(F.lit("")))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.hash(F.col(text_col)).alias("row"), terms.alias("terms"))
+    postings = rows.select(*DOC, F.posexplode("terms").alias("pos", "term"))  # the text's hash is made once a document
     return stored(postings.sortWithinPartitions(F.xxhash64("term")).select("term", *DOC, "pos"), "postings")
 
 

@@ -31,8 +31,8 @@ HASH = ["h1", "h2"]
 
 def hashed_units(docs: DataFrame, unit: str, min_words: int) -> DataFrame:
     """``(doc, row, pos, h1, h2)`` of the units that are long enough."""
-    rows = docs.select(F.col("doc_id").alias("doc"), F.col("text").alias("t"))
-    units = rows.select("doc", F.xxhash64("t").alias("row"), F.posexplode(F.split("t", SEPARATORS[unit], -1)).alias("pos", "unit"))
+    rows = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), F.split("text", SEPARATORS[unit], -1).alias("units"))
+    units = rows.select("doc", "row", F.posexplode("units").alias("pos", "unit"))
     plain = F.trim(F.regexp_replace("unit", r"[ \t\x0B\f\r\n]+", " "))
     units = units.withColumn("unit", plain).filter(F.size(F.split("unit", " ")) >= min_words)
     key = ascii_lower(F.col("unit"))
