@@ -8,9 +8,9 @@ bands of 6 rows with probability 5e-6.
 Documents with equal shingle sets form one node (64-bit digest of the sorted set), so copies cost
 nothing further. Nodes of a bucket are compared with the bucket's leader on full sets; links give
 components. Where a bucket still holds several components, its nodes outside the largest one are
-compared with all nodes of other components, except pairs that the distances to the leader rule out
-(Jaccard distance is a metric). So no link between nodes that share a bucket is lost, and pairs that
-are connected already are never made.
+compared with the nodes of other components, except pairs that exact bounds rule out: distances to
+the leader (Jaccard distance is a metric), sizes, and shingles that no other open node has. So no link
+between nodes that share a bucket is lost, and pairs that are connected already are never made.
 
 Defined results: null, empty or wordless texts have no shingles and are their own component; texts
 with fewer words than a shingle have one shingle, the whole sequence; a null id is never the
@@ -179,9 +179,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     signed = stored(signed_documents(docs, size, bands, rows), "signed")
     nodes = signed.filter("n > 0").select("node", "n", "keys").dropDuplicates(["node"])
     in_buckets = stored(nodes.select("node", "n", F.explode("keys").alias("bucket")), "buckets")
-    shared = in_buckets.groupBy("bucket").agg(F.min("node").alias("leader"), F.count("*").alias("held")).filter("held > 1")
-    shared = stored(shared.drop("held"), "shared")
-    members = stored(in_buckets.join(broadcast_if_small(shared, shared.count()), "bucket"), "members")
+    shared = stored(in_buckets.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
+    held = in_buckets.join(broadcast_if_small(shared, shared.count()), "bucket")
+    # The leader of a bucket is its most central node: the one with most company over all its buckets.
+    weights = held.groupBy("node").agg(F.sum("held").alias("weight"))
+    held = stored(held.drop("held").join(weights, "node"), "held")
+    leaders = held.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
+    members = stored(held.drop("weight").join(leaders, "bucket"), "members")
 
     needed = members.select("node").distinct()
     one_row = signed.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("at"))
@@ -203,12 +207,18 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("held"))
     open_ones = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("held").alias("all_held"), F.max_by("label", F.struct("held", "label")).alias("largest"))
     open_ones = open_ones.filter("parts > 1 and all_held > 2").select("bucket", "largest")
-    rest = placed.join(open_ones, "bucket")
-    x = rest.filter("label <> largest and node <> leader").select("bucket", "node", "label", "n", "far")
-    y = rest.filter("node <> leader").select("bucket", F.col("node").alias("node2"), F.col("label").alias("label2"), F.col("n").alias("n2"), F.col("far").alias("far2"))
+    rest = stored(placed.join(open_ones, "bucket").filter("node <> leader"), "rest")
+    # Shingles that no other open node has are in no intersection: they bound every similarity.
+    tokens = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
+    own = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
+    own = own.groupBy("node").agg(F.count("*").alias("own"))
+    rest = rest.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
+    rest = rest.filter(100 * F.col("common") >= percent * F.col("n"))
+    x = rest.filter("label <> largest").select("bucket", "node", "label", "n", "far", "common")
+    y = rest.select("bucket", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "far", "common")])
     slack = 1 - percent / 100 + 1e-9
     may_link = (F.col("label") != F.col("label2")) & (F.abs(F.col("far") - F.col("far2")) <= slack) & (
-        percent * F.greatest("n", "n2") <= 100 * F.least("n", "n2"))
+        percent * (F.col("n") + F.col("n2")) <= (100 + percent) * F.least("common", "common2"))
     more = x.join(y, "bucket").filter(may_link).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     late = stored(measured(more, sets).filter(is_link), "late")
     if late.head(1):
