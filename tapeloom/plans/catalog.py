@@ -1,7 +1,537 @@
-"""Registered queries with the SQL that gives the same rows."""
+"""Registered queries on the adapted tables, each with SQL that gives the same rows.
+
+Doubles are rounded alike on both sides, as sums may be taken in another order.
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tapeloom.operators import align, bars, book, dispersion, features, flow, ic, ledger, pnl, quality, runs, stats
+from tapeloom.plans import models as model_plans
+from tapeloom.sources import adapters as a
+from tapeloom.sources import messages
+from tapeloom.sources.adapters import ctes
+from tapeloom.streaming import plans as stream_plans
+
+FLAGSHIP = "basis_drift_risk"
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-FLAGSHIP = "basis_drift_risk"
+COSTS = pnl.CostModel()
+RT = COSTS.round_trip()
+BAR = 600_000
+END_MS = 1_706_000_000_000  # a freeze inside the events' January 2024
+MID_MS = 1_705_000_000_000
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def rounded(df: DataFrame, places: int = 6) -> DataFrame:
+    """Doubles rounded to ``places``; other columns as they are."""
+    return df.select(*[F.round(c, places).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def legs_of(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    return a.spot(s, d), a.marks(s, d), a.funding(s, d)
+
+
+def daily_drift(s: SparkSession, d: str) -> DataFrame:
+    return pnl.to_daily(pnl.basis_drift(*legs_of(s, d)))
+
+
+def daily_hold(s: SparkSession, d: str) -> DataFrame:
+    return pnl.buy_and_hold(a.daily_prices(s, d))
+
+
+DRIFT = ctes("mk", "sp", "fu") + """,
+pl AS (SELECT mk.coin, mk.hour, spot, perp, coalesce(funding_rate, 0) AS f FROM mk JOIN sp USING (coin, hour) LEFT JOIN fu USING (coin, hour)),
+dr AS (SELECT coin, hour, f, ((spot - lag(spot) OVER w) - (perp - lag(perp) OVER w)) / nullif(lag(perp) OVER w, 0) AS drift FROM pl WINDOW w AS (PARTITION BY coin ORDER BY hour)),
+pn AS (SELECT coin, hour, drift, f, drift + f AS pnl FROM dr WHERE drift IS NOT NULL),
+da AS (SELECT coin AS series, DATE '1970-01-01' + CAST(hour // 86400000 AS INT) AS day, sum(pnl) AS ret FROM pn GROUP BY 1, 2),
+ca AS (SELECT coin AS series, DATE '1970-01-01' + CAST(hour // 86400000 AS INT) AS day, sum(funding_rate) AS ret FROM fu GROUP BY 1, 2)"""
+HOLD = ctes("dp") + """,
+re AS (SELECT series, day, close / nullif(lag(close) OVER (PARTITION BY series ORDER BY day), 0) - 1 AS r FROM dp),
+da AS (SELECT series, day, r AS ret FROM re WHERE r IS NOT NULL)"""
+SHARPE = "CASE WHEN stddev_samp({0}) > 0 THEN avg({0}) / stddev_samp({0}) * sqrt(365) ELSE 0 END"
+
+
+# ---- return series ----
+
+@query(ctes("fu") + " SELECT coin, hour, round(funding_rate, 9) AS pnl FROM fu")
+def funding_carry(s, d):
+    return rounded(pnl.funding_carry(a.funding(s, d)), 9)
+
+
+@query(DRIFT + " SELECT coin, hour, round(drift, 9) AS drift_pnl, round(f, 9) AS funding_pnl, round(pnl, 9) AS pnl FROM pn")
+def basis_drift_hours(s, d):
+    return rounded(pnl.basis_drift(*legs_of(s, d)), 9)
+
+
+@query(DRIFT + f""", ne AS (SELECT series, ret, ret - {RT!r} / count(*) OVER (PARTITION BY series) - 2.0 / 10000 AS net FROM da),
+z AS (SELECT series, count(*) AS n, avg(ret) * 365 AS gross_apr, {SHARPE.format('ret')} AS gross_sharpe, avg(net) * 365 AS net_apr, {SHARPE.format('net')} AS net_sharpe FROM ne GROUP BY series)
+SELECT series, n, round(gross_apr, 6) AS gross_apr, round(gross_sharpe, 6) AS gross_sharpe, round(net_apr, 6) AS net_apr, round(net_sharpe, 6) AS net_sharpe,
+  CASE WHEN net_sharpe <= 0 THEN 'not deployable' WHEN net_sharpe < 1.8 THEN 'marginal' ELSE 'deployable' END AS verdict FROM z""")
+def basis_drift_risk(s, d):
+    return rounded(pnl.net_metrics(daily_drift(s, d), RT, 1.0, 1.0))
+
+
+@query(HOLD + f""" SELECT series, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(stddev_samp(ret) * sqrt(365), 6) AS vol FROM da GROUP BY series""")
+def series_risk(s, d):
+    return rounded(stats.annualised(daily_hold(s, d), ["series"]))
+
+
+@query(HOLD + """ SELECT series, count(*) AS t, round(avg(ret) / stddev_samp(ret), 6) AS sr, round(skewness(ret), 6) AS skew, round(kurtosis(ret) + 3, 6) AS kurt FROM da GROUP BY series""")
+def psr_inputs(s, d):
+    return rounded(stats.psr_inputs(daily_hold(s, d), ["series"]))
+
+
+@query(HOLD + """, k AS (SELECT count(DISTINCT series) AS k FROM da WHERE series <> '5-LOW'),
+x AS (SELECT day, avg(ret) AS ret FROM da WHERE series <> '5-LOW' GROUP BY day HAVING count(*) = (SELECT k FROM k))
+SELECT 'BASKET' AS series, day, round(ret, 9) AS ret FROM x""")
+def basket_returns(s, d):
+    return rounded(pnl.basket(daily_hold(s, d), exclude=("5-LOW",)), 9)
+
+
+@query(ctes("dp") + """, x AS (SELECT series, day, close / lag(close, 30) OVER (PARTITION BY series ORDER BY day) - 1 AS r FROM dp)
+SELECT series, day, CASE WHEN r < -0.10 THEN 'bear' WHEN r > 0.10 THEN 'bull' ELSE 'calm' END AS regime FROM x""")
+def regime_days(s, d):
+    return pnl.regime_labels(a.daily_prices(s, d))
+
+
+@query(HOLD + f""", x AS (SELECT series, day, close / lag(close, 30) OVER (PARTITION BY series ORDER BY day) - 1 AS r FROM dp),
+l AS (SELECT series, day, CASE WHEN r < -0.10 THEN 'bear' WHEN r > 0.10 THEN 'bull' ELSE 'calm' END AS regime FROM x)
+SELECT series, regime, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(stddev_samp(ret) * sqrt(365), 6) AS vol
+FROM da JOIN l USING (series, day) GROUP BY series, regime HAVING count(*) >= 10""")
+def regime_risk(s, d):
+    return rounded(stats.regime_sharpe(daily_hold(s, d), pnl.regime_labels(a.daily_prices(s, d))))
+
+
+@query(ctes("dp") + """, x AS (SELECT series, day, close / lag(close, 30) OVER (PARTITION BY series ORDER BY day) - 1 AS r FROM dp),
+l AS (SELECT series, day, CASE WHEN r < -0.10 THEN 'bear' WHEN r > 0.10 THEN 'bull' ELSE 'calm' END AS regime FROM x)
+SELECT series, arg_max(regime, day) AS regime, max(day) AS as_of FROM l GROUP BY series""")
+def latest_regimes(s, d):
+    return pnl.latest_regime(pnl.regime_labels(a.daily_prices(s, d)))
+
+
+def _rung_rows(s, d):
+    return pnl.ladder(pnl.to_daily(pnl.funding_carry(a.funding(s, d))), daily_drift(s, d), RT)
+
+
+LADDER_SQL = DRIFT + f""",
+bd AS (SELECT 'BASKET' AS series, day, avg(ret) AS ret FROM da GROUP BY day HAVING count(*) = (SELECT count(DISTINCT series) FROM da)),
+bc AS (SELECT 'BASKET' AS series, day, avg(ret) AS ret FROM ca GROUP BY day HAVING count(*) = (SELECT count(DISTINCT series) FROM ca)),
+al AS (SELECT 'drift' AS kind, * FROM da UNION ALL SELECT 'drift', * FROM bd UNION ALL SELECT 'carry', * FROM ca UNION ALL SELECT 'carry', * FROM bc),
+rg AS (SELECT * FROM (VALUES ('funding_only', 'carry', 0.0), ('basis_drift', 'drift', 0.0), ('realistic', 'drift', 2.0), ('realistic_b', 'drift', 1.0)) AS t(rung, kind, drag)),
+ne AS (SELECT series, rung, day, ret - {RT!r} / count(*) OVER (PARTITION BY series, rung) - CAST(drag AS DOUBLE) / 10000 AS net FROM al JOIN rg USING (kind))"""
+
+
+@query(LADDER_SQL + f" SELECT series, rung, count(*) AS n, round({SHARPE.format('net')}, 9) AS sharpe, round(avg(net) * 365, 9) AS apr, round(stddev_samp(net) * sqrt(365), 9) AS vol FROM ne GROUP BY series, rung")
+def cost_ladder(s, d):
+    return rounded(stats.annualised(_rung_rows(s, d), ["series", "rung"], "net"), 9)
+
+
+@query()
+def deflated_ladder(s, d):
+    return rounded(stats.deflated(_rung_rows(s, d), ["series", "rung"]))
+
+
+@query(LADDER_SQL + """, x AS (SELECT series, rung, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END AS sr FROM ne GROUP BY series, rung)
+SELECT count(*) AS n_trials, round(var_samp(sr), 9) AS var_sr FROM x""")
+def trial_variance(s, d):
+    x = stats.psr_inputs(_rung_rows(s, d), ["series", "rung"], "net")
+    return rounded(x.agg(F.count("*").alias("n_trials"), F.var_samp("sr").alias("var_sr")), 9)
+
+
+def _cells(s, d):
+    grid = s.range(5).select(F.col("id").cast("double").alias("drift_bps")).crossJoin(s.range(5).select(F.col("id").cast("double").alias("borrow_bps")))
+    grid = grid.crossJoin(s.range(1, 3).select(F.col("id").cast("double").alias("fee_mult")))
+    return pnl.cost_sweep(daily_hold(s, d), grid, RT)
+
+
+SWEEP_SQL = HOLD + f""",
+g AS (SELECT CAST(x AS DOUBLE) AS drift_bps, CAST(y AS DOUBLE) AS borrow_bps, CAST(z AS DOUBLE) AS fee_mult FROM range(5) a(x), range(5) b(y), range(1, 3) c(z)),
+ne AS (SELECT series, drift_bps, borrow_bps, fee_mult, ret - {RT!r} * fee_mult / count(*) OVER (PARTITION BY series, drift_bps, borrow_bps, fee_mult) - (drift_bps + borrow_bps) / 10000 AS net FROM da, g),
+ce AS (SELECT series, drift_bps, borrow_bps, fee_mult, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(net) * 365 AS apr, stddev_samp(net) * sqrt(365) AS vol FROM ne GROUP BY ALL)"""
+
+
+@query(SWEEP_SQL + " SELECT series, drift_bps, borrow_bps, fee_mult, n, round(sharpe, 6) AS sharpe, round(apr, 6) AS apr, round(vol, 6) AS vol FROM ce")
+def cost_sweep(s, d):
+    return rounded(_cells(s, d))
+
+
+@query(SWEEP_SQL + """ SELECT series, count(*) AS n_cells, count(*) FILTER (WHERE sharpe > 0) AS n_positive, count(*) FILTER (WHERE p) AS n_plausible,
+count(*) FILTER (WHERE p AND sharpe > 0) AS n_plausible_positive, round(median(sharpe) FILTER (WHERE p), 6) AS plausible_median
+FROM (SELECT *, drift_bps <= 2 AND borrow_bps <= 2 AND fee_mult = 1 AS p FROM ce) GROUP BY series""")
+def sweep_zones(s, d):
+    return rounded(pnl.sweep_zones(_cells(s, d)))
+
+
+@query()
+def bootstrap_interval(s, d):
+    return rounded(stats.bootstrap_sharpe(daily_hold(s, d), ["series"], resamples=200))
+
+
+@query(HOLD + """, x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS up, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS down FROM da),
+ne AS (SELECT series, day, ret, ret - 1.0 / 10000 - CASE WHEN up = 1 THEN 0.0018 / 2 + 2 * 0.0003 ELSE 0 END - CASE WHEN down = 1 THEN 0.0018 / 2 + 2 * 0.0004 ELSE 0 END AS net FROM x)
+SELECT series, day, round(ret, 6) AS ret, round(net, 6) AS net, round(sum(net) OVER (PARTITION BY series ORDER BY day), 6) AS cum_net FROM ne""")
+def carry_ledger(s, d):
+    return rounded(pnl.carry_ledger(daily_hold(s, d), 0.0018, 0.0003, 0.0004, 1.0))
+
+
+@query(DRIFT + """, x AS (SELECT series, day, ret, 'drift' AS source FROM da WHERE series = '0')
+SELECT series, day, round(ret, 9) AS ret, source FROM x UNION ALL SELECT series, day, round(ret, 9), 'carry' FROM ca WHERE series NOT IN (SELECT series FROM x)""")
+def series_fallback(s, d):
+    return rounded(pnl.with_fallback(daily_drift(s, d).filter("series = '0'"), pnl.to_daily(pnl.funding_carry(a.funding(s, d)))), 9)
+
+
+# ---- bars, signals, flows ----
+
+@query(ctes("qu") + f""" SELECT coin, bbo_ms // {BAR} * {BAR} AS bar, round(avg((bid_sz - ask_sz) / nullif(bid_sz + ask_sz, 0)), 9) AS obi, round(arg_max((bid_px + ask_px) / 2, (bbo_ms, seq)), 9) AS mid,
+round(avg((ask_px - bid_px) / nullif((ask_px + bid_px) / 2, 0)) * 10000, 6) AS spread_bps FROM qu GROUP BY 1, 2""")
+def quote_bars(s, d):
+    x = bars.quote_bars(a.quotes(s, d), BAR)
+    return x.select("coin", "bar", F.round("obi", 9).alias("obi"), F.round("mid", 9).alias("mid"), F.round("spread_bps", 6).alias("spread_bps"))
+
+
+@query(ctes("qu") + " SELECT coin, bbo_ms // 300000 * 300000 AS bar, round(arg_max((bid_px + ask_px) / 2, (bbo_ms, seq)), 9) AS mid FROM qu GROUP BY 1, 2")
+def mid_bars(s, d):
+    return rounded(bars.mid_bars(a.quotes(s, d)), 9)
+
+
+LABEL_SQL = ctes("tr") + f""",
+lg AS (SELECT users_buyer AS w, coin, sz AS q, -notional AS c FROM tr WHERE trade_ms < {END_MS} UNION ALL SELECT users_seller, coin, -sz, notional FROM tr WHERE trade_ms < {END_MS}),
+ma AS (SELECT coin, arg_max(px, (trade_ms, tid)) AS mark FROM tr WHERE trade_ms <= {END_MS} GROUP BY coin),
+po AS (SELECT w, coin, sum(q) AS q, sum(c) AS c, count(*) AS n FROM lg GROUP BY 1, 2),
+tt AS (SELECT w AS wallet, sum(c + q * mark) AS total_pnl_usd, CAST(sum(n) AS BIGINT) AS n_trades FROM po JOIN ma USING (coin) GROUP BY 1),
+lb AS (SELECT *, n_trades >= 20 AND total_pnl_usd >= (SELECT quantile_cont(total_pnl_usd, 0.8) FROM tt WHERE n_trades >= 20) AS is_smart FROM tt),
+sm AS (SELECT wallet FROM lb WHERE is_smart)"""
+
+
+def _labels(s, d):
+    t = a.trades(s, d)
+    marks = t.select("coin", F.struct("trade_ms", "tid").alias("at"), F.col("trade_ms").alias("ms"), F.col("px").alias("close"))
+    last = marks.filter(F.col("ms") <= END_MS).groupBy("coin").agg(F.max_by("close", "at").alias("close"), F.max("ms").alias("ms"))
+    return flow.wallet_labels(t, last, END_MS, min_legs=20)
+
+
+def _smart(s, d):
+    return _labels(s, d).filter("is_smart").select("wallet")
+
+
+@query(LABEL_SQL + " SELECT wallet, round(total_pnl_usd, 4) AS total_pnl_usd, n_trades, is_smart FROM lb")
+def wallet_labels(s, d):
+    return rounded(_labels(s, d), 4)
+
+
+@query(LABEL_SQL + f""", fl AS (SELECT coin, trade_ms, tid, px, notional, CASE WHEN users_buyer IN (SELECT wallet FROM sm) THEN notional ELSE 0 END - CASE WHEN users_seller IN (SELECT wallet FROM sm) THEN notional ELSE 0 END AS inf,
+CASE WHEN side = 'B' THEN notional ELSE -notional END AS tk FROM tr)
+SELECT coin, trade_ms // {BAR} * {BAR} AS bar, round(sum(inf), 4) AS inf_net, round(sum(tk), 4) AS taker, round(arg_max(px, (trade_ms, tid)), 4) AS px, round(sum(notional), 4) AS notional FROM fl GROUP BY 1, 2""")
+def flow_bars(s, d):
+    return rounded(bars.flow_bars(flow.signed_flows(a.trades(s, d), _smart(s, d)), BAR), 4)
+
+
+@query(LABEL_SQL + f""", al AS (SELECT coin, trade_ms, users_buyer AS w, notional AS sg, notional AS n FROM tr UNION ALL SELECT coin, trade_ms, users_seller, -notional, notional FROM tr),
+x AS (SELECT coin, sum(CASE WHEN w IN (SELECT wallet FROM sm) THEN sg ELSE 0 END) AS net, sum(CASE WHEN w IN (SELECT wallet FROM sm) THEN n ELSE 0 END) AS co,
+count(*) FILTER (WHERE w IN (SELECT wallet FROM sm)) AS n_legs, sum(n) AS tot, min(trade_ms) AS a, max(trade_ms) AS b FROM al WHERE trade_ms >= {MID_MS} AND trade_ms < {END_MS} GROUP BY coin)
+SELECT coin, round(net, 4) AS net_notional, round(co, 4) AS cohort_notional, n_legs, round(tot, 4) AS total_notional, a AS window_start, b AS window_end, round(coalesce(co / nullif(tot, 0), 0), 4) AS cohort_share,
+CASE WHEN net > 0 THEN 'net long' WHEN net < 0 THEN 'net short' ELSE 'flat' END AS lean, round(coalesce(net / nullif(co, 0), 0), 4) AS net_share FROM x""")
+def cohort_snapshot(s, d):
+    return rounded(flow.cohort_snapshot(a.trades(s, d), _smart(s, d), MID_MS, END_MS), 4)
+
+
+@query(LABEL_SQL.replace("WITH ev", "WITH ev") + "," + ctes("qu", "cx")[5:].replace(a.CTES["ev"] + ",\n", "", 1) + """,
+h1 AS (SELECT coin, bbo_ms // 3600000 * 3600000 AS hour, avg((bid_sz - ask_sz) / nullif(bid_sz + ask_sz, 0)) AS o, avg((ask_px - bid_px) / nullif((ask_px + bid_px) / 2, 0)) * 10000 AS sp FROM qu GROUP BY 1, 2),
+h2 AS (SELECT coin, trade_ms // 3600000 * 3600000 AS hour, sum(CASE WHEN side = 'B' THEN notional ELSE -notional END) / nullif(sum(notional), 0) AS tk FROM tr GROUP BY 1, 2),
+h3 AS (SELECT coin, captured_ms // 3600000 * 3600000 AS hour, avg(premium) AS pm, arg_max(premium, (captured_ms, seq)) AS pl, arg_max(funding, (captured_ms, seq)) AS fl FROM cx GROUP BY 1, 2),
+al AS (SELECT coin, trade_ms, users_buyer AS w, notional AS sg, notional AS n FROM tr UNION ALL SELECT coin, trade_ms, users_seller, -notional, notional FROM tr),
+h4 AS (SELECT coin, trade_ms // 3600000 * 3600000 AS hour, sum(CASE WHEN w IN (SELECT wallet FROM sm) THEN sg ELSE 0 END) / nullif(sum(n), 0) AS cs FROM al GROUP BY 1, 2)
+SELECT coin, hour, round(o, 9) AS obi_mean, round(sp, 9) AS spread_bps_mean, round(tk, 9) AS taker_imbalance, round(pm, 9) AS premium_mean, round(pl, 9) AS premium_last, round(fl, 9) AS ctx_funding_last, round(cs, 9) AS cohort_net_share
+FROM h1 FULL JOIN h2 USING (coin, hour) FULL JOIN h3 USING (coin, hour) FULL JOIN h4 USING (coin, hour)""")
+def hourly_tape_features(s, d):
+    return rounded(features.tape_features(a.quotes(s, d), a.trades(s, d), a.contexts(s, d), _smart(s, d)), 9)
+
+
+HORIZONS = {"h1": 1, "h3": 3, "h6": 6}
+QB = ctes("qu") + f""",
+qb AS (SELECT coin, bbo_ms // {BAR} * {BAR} AS bar, round(avg((bid_sz - ask_sz) / nullif(bid_sz + ask_sz, 0)), 9) AS obi, round(arg_max((bid_px + ask_px) / 2, (bbo_ms, seq)), 9) AS mid,
+round(avg((ask_px - bid_px) / nullif((ask_px + bid_px) / 2, 0)) * 10000, 6) AS spread_bps FROM qu GROUP BY 1, 2)"""
+PAIRS = QB + """,
+pr AS (""" + " UNION ALL ".join(f"SELECT coin, '{n}' AS horizon, obi AS signal, (lead(mid, {h}) OVER (PARTITION BY coin ORDER BY bar) / nullif(mid, 0) - 1) * 10000 AS fwd FROM qb" for n, h in HORIZONS.items()) + """),
+pp AS (SELECT * FROM pr WHERE fwd IS NOT NULL AND signal IS NOT NULL)"""
+
+
+def _pairs(s, d):
+    return ic.with_horizons(quote_bars(s, d), "mid", HORIZONS, "obi")
+
+
+@query(PAIRS + """, rk AS (SELECT coin, horizon, rank() OVER (PARTITION BY coin, horizon ORDER BY signal) + (count(*) OVER (PARTITION BY coin, horizon, signal) - 1) / 2.0 AS rs,
+rank() OVER (PARTITION BY coin, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY coin, horizon, fwd) - 1) / 2.0 AS rf FROM pp)
+SELECT coin, horizon, count(*) AS n, CASE WHEN count(*) >= 100 THEN round(corr(rs, rf), 6) END AS ic FROM rk GROUP BY 1, 2""")
+def imbalance_ic(s, d):
+    return rounded(ic.spearman(_pairs(s, d), ["coin", "horizon"], "signal", "fwd"))
+
+
+@query(PAIRS + """, c AS (SELECT coin, horizon, quantile_cont(signal, 0.9) AS cut FROM pp GROUP BY 1, 2)
+SELECT coin, horizon, round(cut, 6) AS cut, round(avg(fwd), 4) AS move FROM pp JOIN c USING (coin, horizon) WHERE signal >= cut GROUP BY 1, 2, 3""")
+def top_decile_moves(s, d):
+    x = ic.top_decile(_pairs(s, d), ["coin", "horizon"], "signal", "fwd")
+    return x.select("coin", "horizon", F.round("cut", 6).alias("cut"), F.round("move", 4).alias("move"))
+
+
+@query(QB + " SELECT coin, round(median(spread_bps), 6) AS median_spread_bps FROM qb GROUP BY coin")
+def median_spreads(s, d):
+    return rounded(book.median_spread(quote_bars(s, d)))
+
+
+@query(QB + """, x AS (SELECT coin, bar, pow(ln(mid) - ln(lag(mid) OVER (PARTITION BY coin ORDER BY bar)), 2) AS sq FROM qb),
+y AS (SELECT coin, bar, sq, lag(sq) OVER (PARTITION BY coin ORDER BY bar) AS sl FROM x WHERE sq IS NOT NULL),
+z AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY bar) <= floor(count(*) OVER (PARTITION BY coin) * 0.6) AS early FROM y WHERE sl IS NOT NULL),
+r AS (SELECT coin, count(*) AS n, corr(sq, sl) FILTER (WHERE early) AS ci, corr(sq, sl) FILTER (WHERE NOT early) AS co FROM z GROUP BY coin)
+SELECT coin, n, round(ci, 6) AS corr_in, round(co, 6) AS corr_out, n >= 100 AND ci > 0 AND co > 0 AS survives FROM r""")
+def volatility_clustering(s, d):
+    return rounded(ic.sign_survival(quote_bars(s, d)))
+
+
+EVENT_SQL = QB + """,
+x AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY bar) - 1 AS i, count(*) OVER (PARTITION BY coin) AS n FROM qb),
+y AS (SELECT *, floor(n * 0.3) AS split FROM x WHERE n >= 100),
+c AS (SELECT coin, quantile_cont(obi, 0.9) AS hi, quantile_cont(obi, 0.1) AS lo FROM y WHERE i < split GROUP BY coin),
+g AS (SELECT y.*, hi, lo FROM y JOIN c USING (coin) WHERE i >= split AND i < n - 12 AND (obi >= hi OR obi <= lo)),
+t AS (WITH RECURSIVE w(coin, i) AS (SELECT coin, min(i) FROM g GROUP BY coin UNION ALL SELECT w.coin, (SELECT min(g.i) FROM g WHERE g.coin = w.coin AND g.i >= w.i + 12) FROM w WHERE w.i IS NOT NULL)
+      SELECT coin, i FROM w WHERE i IS NOT NULL),
+le AS (SELECT g.coin, g.bar AS entry, e.bar AS exit, CASE WHEN g.obi >= g.hi THEN 1 ELSE -1 END AS sd, g.mid AS em, e.mid AS xm, g.spread_bps AS s0, e.spread_bps AS s1
+       FROM t JOIN g ON g.coin = t.coin AND g.i = t.i JOIN y e ON e.coin = t.coin AND e.i = t.i + 12),
+lg AS (SELECT coin, entry, exit, CASE WHEN sd > 0 THEN 'long' ELSE 'short' END AS side, em AS entry_mid, xm AS exit_mid, sd * (xm / nullif(em, 0) - 1) * 10000 AS gross_bps, (s0 + s1) / 2 + 2 * 4.5 AS cost_bps FROM le)"""
+
+
+def _events(s, d):
+    return ledger.event_ledger(quote_bars(s, d), 4.5, min_bars=100)
+
+
+@query(EVENT_SQL + " SELECT coin, entry, exit, side, round(entry_mid, 9) AS entry_mid, round(exit_mid, 9) AS exit_mid, round(gross_bps, 7) AS gross_bps, round(cost_bps, 7) AS cost_bps, round(gross_bps - cost_bps, 7) AS net_bps FROM lg")
+def imbalance_ledger(s, d):
+    x = _events(s, d)
+    mids, bps = ("entry_mid", "exit_mid"), ("gross_bps", "cost_bps", "net_bps")
+    return x.withColumns({c: F.round(c, 9) for c in mids} | {c: F.round(c, 7) for c in bps})
+
+
+@query(EVENT_SQL + """ SELECT coin, count(*) AS trades, round(avg(CASE WHEN gross_bps > 0 THEN 1 ELSE 0 END) * 100, 4) AS gross_win_pct, round(avg(CASE WHEN gross_bps - cost_bps > 0 THEN 1 ELSE 0 END) * 100, 4) AS net_win_pct,
+round(avg(gross_bps), 4) AS avg_gross, round(avg(gross_bps - cost_bps), 4) AS avg_net, round(sum(gross_bps - cost_bps), 3) AS total_net, round(median(exit - entry), 4) AS median_hold_ms FROM lg GROUP BY coin""")
+def ledger_summary(s, d):
+    return rounded(ledger.summary(_events(s, d), ["coin"]), 4).withColumn("total_net", F.round("total_net", 3))
+
+
+@query(EVENT_SQL + " SELECT coin, entry, exit, round(sum(gross_bps - cost_bps) OVER (ORDER BY exit, coin, entry) / 5, 3) AS pooled_net FROM lg")
+def pooled_ledger_path(s, d):
+    return rounded(ledger.pooled_path(_events(s, d), 5), 3)
+
+
+# ---- books, features, panel ----
+
+BOOK_SQL = """WITH l AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) AS px, l_quantity AS sz FROM lineitem WHERE l_quantity > 0),
+c AS (SELECT l_orderkey, px, sz, sum(px * sz) OVER w - px * sz AS before, px * sz AS usd, min(px) OVER (PARTITION BY l_orderkey) AS best FROM l WINDOW w AS (PARTITION BY l_orderkey ORDER BY px, sz, l_linenumber)),
+n AS (SELECT CAST(unnest([10000.0, 100000.0]) AS DOUBLE) AS notional),
+k AS (SELECT l_orderkey, notional, any_value(best) AS best, sum(usd) AS tot, sum(least(usd, greatest(notional - before, 0)) / px) AS units FROM c, n GROUP BY 1, 2),
+s AS (SELECT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS captured_ms, notional, (best * 0.999 + best) / 2 AS mid, CASE WHEN tot >= notional - 1e-6 THEN (notional / units - (best * 0.999 + best) / 2) / ((best * 0.999 + best) / 2) END AS slip FROM k)"""
+
+
+@query(BOOK_SQL + " SELECT coin, notional, count(*) AS n, count(slip) AS n_filled, round(quantile_cont(slip * 10000, 0.5), 4) AS median_bps, round(quantile_cont(slip * 10000, 0.95), 4) AS p95_bps FROM s GROUP BY 1, 2")
+def book_slippage(s, d):
+    return rounded(book.slippage_summary(a.books(s, d), [10_000, 100_000]), 4)
+
+
+@query(BOOK_SQL + """ SELECT coin, captured_ms, round(mid, 8) AS mid, notional, round(slip, 6) AS slip FROM (SELECT *, row_number() OVER (PARTITION BY coin, notional ORDER BY captured_ms) AS r FROM s) WHERE (r - 1) % 60 = 0""")
+def sampled_slippage(s, d):
+    held = book.every_nth(a.books(s, d), ["coin"], ["captured_ms"])
+    x = book.slippage(held, [10_000, 100_000])
+    return x.select("coin", "captured_ms", F.round("mid", 8).alias("mid"), "notional", F.round("slip", 6).alias("slip"))
+
+
+FEATURE_SQL = ctes("mk", "sp", "fu") + """,
+pl AS (SELECT mk.coin, mk.hour, spot, perp, coalesce(funding_rate, 0) AS f, (perp - spot) / nullif(spot, 0) AS b FROM mk JOIN sp USING (coin, hour) LEFT JOIN fu USING (coin, hour)),
+x AS (SELECT coin, hour, b AS basis, f AS funding_rate,
+ spot / nullif(lag(spot) OVER w, 0) - 1 AS spot_ret_1, spot / nullif(lag(spot, 24) OVER w, 0) - 1 AS spot_ret_24, perp / nullif(lag(perp) OVER w, 0) - 1 AS perp_ret_1, perp / nullif(lag(perp, 24) OVER w, 0) - 1 AS perp_ret_24,
+ lag(b) OVER w AS basis_lag_1, lag(b, 4) OVER w AS basis_lag_4, lag(b, 24) OVER w AS basis_lag_24, lag(f) OVER w AS funding_lag_1, lag(f, 4) OVER w AS funding_lag_4, lag(f, 24) OVER w AS funding_lag_24,
+ CASE WHEN count(b) OVER r = 24 THEN stddev_samp(b) OVER r END AS basis_std_24, CASE WHEN count(f) OVER r = 24 THEN avg(f) OVER r END AS funding_mean_24,
+ sin(2 * pi() * (hour // 3600000 % 24) / 24) AS hour_sin, cos(2 * pi() * (hour // 3600000 % 24) / 24) AS hour_cos,
+ sin(2 * pi() * ((hour // 86400000 + 3) % 7) / 7) AS dow_sin, cos(2 * pi() * ((hour // 86400000 + 3) % 7) / 7) AS dow_cos, lead(f) OVER w AS target_fund
+ FROM pl WINDOW w AS (PARTITION BY coin ORDER BY hour), r AS (PARTITION BY coin ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
+_ROUND_ALL = ", ".join(f"round({c}, 9) AS {c}" for c in [*features.FEATURES, "target_fund"])
+_NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in [*features.FEATURES, "target_fund"])
+
+
+@query(FEATURE_SQL + f" SELECT coin, hour, {_ROUND_ALL}, CAST(target_fund > 0 AS INT) AS label FROM x WHERE {_NOT_NULL}")
+def feature_matrix(s, d):
+    return rounded(features.feature_matrix(*legs_of(s, d)), 9)
+
+
+GATED = FEATURE_SQL + f""", c AS (SELECT coin, hour, funding_mean_24 > 0 AS p, target_fund FROM x WHERE {_NOT_NULL}),
+k AS (SELECT *, row_number() OVER (PARTITION BY coin ORDER BY hour) AS k FROM c), r AS (SELECT *, k - row_number() OVER (PARTITION BY coin ORDER BY hour) AS run FROM k WHERE p)"""
+
+
+@query(GATED + " SELECT coin, min(hour) AS entry, max(hour) AS exit, count(*) AS hold_h, round(sum(target_fund) * 10000, 6) AS funding_bps, 18.0::DOUBLE AS cost_bps, round(sum(target_fund) * 10000 - 18, 6) AS net_bps FROM r GROUP BY coin, run")
+def gated_ledger(s, d):
+    rows = features.feature_matrix(*legs_of(s, d)).withColumn("prediction", (F.col("funding_mean_24") > 0).cast("int"))
+    return rounded(ledger.gated_ledger(rows, 18.0))
+
+
+@query(GATED + " SELECT coin, count(*) AS hours, round(sum(target_fund) * 10000 - 18, 6) AS always_on_bps FROM c GROUP BY coin")
+def always_on(s, d):
+    return rounded(ledger.always_on(features.feature_matrix(*legs_of(s, d)), 18.0))
+
+
+@query(ctes("pn") + """, ax AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT hour FROM pn)),
+p AS (SELECT pn.*, i, n FROM pn JOIN ax USING (hour)), q AS (SELECT p.coin, p.hour, p.i, p.n, p.funding_rate, p.mark / nullif(b.mark, 0) - 1 - p.funding_rate AS pnl FROM p LEFT JOIN p b ON b.coin = p.coin AND b.i = p.i - 1),
+bl AS (SELECT CAST(b AS INT) AS block, 6 + b * 6 AS at0 FROM range(100) t(b) WHERE 6 + b * 6 < (SELECT max(n) FROM ax) - 1),
+m AS (SELECT block, coin, avg(funding_rate) AS f, count(*) AS h FROM bl JOIN q ON i < at0 AND i >= at0 - 6 GROUP BY 1, 2 HAVING count(*) / 6.0 > 0.9),
+k AS (SELECT block, coin, row_number() OVER (PARTITION BY block ORDER BY f, coin) AS r, count(*) OVER (PARTITION BY block) AS al FROM m),
+s AS (SELECT block, coin, CASE WHEN r <= greatest(2, al // 5) THEN 1 WHEN r > al - greatest(2, al // 5) THEN -1 END AS side FROM k WHERE al >= 10),
+g AS (SELECT block, q.hour, avg(pnl) FILTER (WHERE side = -1) AS hi, avg(pnl) FILTER (WHERE side = 1) AS lo FROM bl JOIN s USING (block) JOIN q USING (coin) WHERE side IS NOT NULL AND i >= at0 AND i < at0 + 6 GROUP BY 1, 2)
+SELECT block, hour, round((lo - hi) / 2, 6) AS ret FROM g WHERE lo IS NOT NULL AND hi IS NOT NULL""")
+def funding_dispersion(s, d):
+    return rounded(dispersion.dispersion(a.panel(s, d), look=6, hold=6))
+
+
+# ---- tape quality ----
+
+def _channels(s, d):
+    return {"trades": a.trades(s, d), "bbo": a.quotes(s, d), "ctx": a.contexts(s, d)}
+
+
+COVER = ctes("tr", "qu", "cx")
+
+
+@query(COVER + """ SELECT 'trades' AS channel, coin, count(*) AS n_rows, min(trade_ms) AS first_ms, max(trade_ms) AS last_ms, count(DISTINCT tid) AS distinct_ids FROM tr GROUP BY coin
+UNION ALL SELECT 'bbo', coin, count(*), min(bbo_ms), max(bbo_ms), NULL FROM qu GROUP BY coin UNION ALL SELECT 'ctx', coin, count(*), min(captured_ms), max(captured_ms), NULL FROM cx GROUP BY coin""")
+def tape_coverage(s, d):
+    return quality.coverage(_channels(s, d))
+
+
+@query(ctes("tr") + """, w AS (SELECT * FROM tr WHERE trade_ms > (SELECT max(trade_ms) - 7 * 86400000 FROM tr WHERE coin = 'view'))
+SELECT 'trades' AS channel, coin, count(*) AS n_rows, min(trade_ms) AS first_ms, max(trade_ms) AS last_ms, count(DISTINCT tid) AS distinct_ids FROM w GROUP BY coin""")
+def anchored_coverage(s, d):
+    return quality.coverage({"trades": quality.anchored_window(a.trades(s, d), "trade_ms", "view", 7)})
+
+
+@query(COVER + """, x AS (SELECT 'trades' AS channel, count(*) AS n_rows FROM tr UNION ALL SELECT 'bbo', count(*) FROM qu UNION ALL SELECT 'ctx', count(*) FROM cx)
+SELECT * FROM x UNION ALL SELECT 'total', CAST(sum(n_rows) AS BIGINT) FROM x""")
+def channel_counts(s, d):
+    return quality.channel_counts(_channels(s, d))
+
+
+@query(ctes("tr") + " SELECT min(trade_ms) AS first_ms, max(trade_ms) AS last_ms, round((max(trade_ms) - min(trade_ms)) / 86400000.0, 6) AS days FROM tr")
+def tape_window(s, d):
+    return rounded(quality.tape_window(a.trades(s, d), "trade_ms"))
+
+
+@query(ctes("tr") + " SELECT quantile_cont(captured_ms - trade_ms, 0.5) AS p50_ms, quantile_cont(captured_ms - trade_ms, 0.95) AS p95_ms FROM tr WHERE captured_ms >= trade_ms")
+def capture_latency(s, d):
+    return quality.latency(a.trades(s, d), exact=True)
+
+
+@query(ctes("qu") + """ SELECT coin, count(DISTINCT bbo_ms // 3600000) AS present, max(bbo_ms // 3600000) - min(bbo_ms // 3600000) + 1 AS expected,
+round((1 - count(DISTINCT bbo_ms // 3600000) / (max(bbo_ms // 3600000) - min(bbo_ms // 3600000) + 1)) * 100, 6) AS missing_pct FROM qu GROUP BY coin""")
+def hour_gaps(s, d):
+    return rounded(quality.hourly_coverage(a.quotes(s, d), "bbo_ms"))
+
+
+@query(ctes("tr") + " SELECT round(count(DISTINCT trade_ms // 3600000) / (max(trade_ms // 3600000) - min(trade_ms // 3600000) + 1), 6) AS uptime FROM tr")
+def tape_uptime(s, d):
+    return rounded(quality.uptime(a.trades(s, d), "trade_ms"))
+
+
+@query(ctes("tr", "qu") + f""" SELECT channel, coin, m AS last_ms, {END_MS} - m AS age_ms, {END_MS} - m >= 240000 AS stalled FROM
+(SELECT 'trades' AS channel, coin, max(captured_ms) AS m FROM tr GROUP BY coin UNION ALL SELECT 'bbo', coin, max(bbo_ms) FROM qu GROUP BY coin)""")
+def feed_freshness(s, d):
+    return quality.freshness({"trades": a.trades(s, d), "bbo": a.quotes(s, d)}, END_MS)
+
+
+# ---- messages, pages, runs ----
+
+def raw_trades(s, d) -> DataFrame:
+    """Exchange messages of the adapted trades, two a message."""
+    t = a.trades(s, d)
+    one = F.struct("coin", "side", F.col("px").cast("string").alias("px"), F.col("sz").cast("string").alias("sz"), F.col("trade_ms").alias("time"), "tid", F.hex("tid").alias("hash"), F.array("users_buyer", "users_seller").alias("users"))
+    m = t.groupBy(F.floor(F.col("tid") / 2).alias("m")).agg(F.max("captured_ms").alias("captured_ms"), F.collect_list(one).alias("data"))
+    return m.select("captured_ms", F.to_json(F.struct(F.lit("trades").alias("channel"), "data")).alias("value"))
+
+
+@query(ctes("tr") + """ SELECT trade_ms, coin, side, round(px, 6) AS px, sz, round(notional, 4) AS notional, tid, hex(tid) AS hash, users_buyer, users_seller FROM tr WHERE coin IN ('view', 'click')""")
+def parsed_trades(s, d):
+    x = messages.trades(raw_trades(s, d), ["view", "click"]).drop("captured_ms")
+    return x.withColumns({"px": F.round("px", 6), "notional": F.round("notional", 4)})
+
+
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) AS px, l_quantity AS sz FROM lineitem WHERE l_quantity > 0)
+SELECT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS book_ms, round(min(px) * 0.999, 6) AS best_bid_px, 1.0::DOUBLE AS best_bid_sz, min(px) AS best_ask_px,
+round(min(px) - min(px) * 0.999, 6) AS spread, round(min(px) * 0.999, 6) AS bid_depth_10, round(sum(px * sz), 4) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
+def parsed_books(s, d):
+    levels = F.from_json("levels_json", "array<array<struct<px:string,sz:string>>>").alias("levels")
+    data = F.struct("coin", F.col("captured_ms").alias("time"), levels)
+    raw = a.books(s, d).select("captured_ms", F.to_json(F.struct(F.lit("l2Book").alias("channel"), data.alias("data"))).alias("value"))
+    x = messages.l2book(raw).drop("captured_ms", "levels_json", "best_ask_sz")
+    return x.withColumns({"best_bid_px": F.round("best_bid_px", 6), "spread": F.round("spread", 6), "bid_depth_10": F.round("bid_depth_10", 6), "ask_depth_10": F.round("ask_depth_10", 4)})
+
+
+@query(ctes("qu") + " SELECT bbo_ms, coin, round(bid_px, 6) AS bid_px, CASE WHEN bid_sz > 5 THEN bid_sz END AS bid_sz FROM qu")
+def parsed_quotes(s, d):
+    bid = F.struct(F.col("bid_px").cast("string").alias("px"), F.when(F.col("bid_sz") > 5, F.col("bid_sz").cast("string")).alias("sz"))
+    data = F.struct("coin", F.col("bbo_ms").alias("time"), F.array(bid).alias("bbo"))
+    raw = a.quotes(s, d).select("captured_ms", F.to_json(F.struct(F.lit("bbo").alias("channel"), data.alias("data"))).alias("value"))
+    return messages.bbo(raw).select("bbo_ms", "coin", F.round("bid_px", 6).alias("bid_px"), "bid_sz")
+
+
+@query(ctes("cx") + " SELECT captured_ms, coin, round(funding, 9) AS funding, CASE WHEN seq % 3 > 0 THEN round(premium, 9) END AS premium FROM cx")
+def parsed_contexts(s, d):
+    text = F.when(F.col("seq") % 3 > 0, F.col("premium").cast("string")).otherwise("n/a")
+    data = F.struct("coin", F.struct(F.col("funding").cast("string").alias("funding"), text.alias("premium")).alias("ctx"))
+    raw = a.contexts(s, d).select("captured_ms", F.to_json(F.struct(F.lit("activeAssetCtx").alias("channel"), data.alias("data"))).alias("value"))
+    return rounded(messages.ctx(raw).select("captured_ms", "coin", "funding", "premium"), 9)
+
+
+@query(ctes("ev") + """ SELECT event_type AS coin, ms // 3600000 * 3600000 AS ms, round(arg_min(value, event_id) / 1e6, 9) AS funding_rate FROM ev GROUP BY 1, 2""")
+def funding_pages(s, d):
+    e = a.events(s, d)
+    hour = align.bucket("ms", 3_600_000)
+    row = F.struct(hour.alias("time"), (F.col("value") / 1e6).cast("string").alias("fundingRate"), F.lit("0").alias("premium"))
+    pages = e.groupBy(F.col("event_type").alias("coin"), F.floor(F.col("event_id") / 100).alias("page")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))).alias("x"))
+    pages = pages.select("coin", "page", F.to_json(F.transform("x", lambda x: x["r"])).alias("value"))
+    x = messages.funding_pages(pages)
+    return x.select("coin", F.unix_millis("ts").alias("ms"), F.round("funding_rate", 9).alias("funding_rate"))
+
+
+@query(ctes("ev") + """, g AS (SELECT event_type AS coin, ms // 3600000 * 3600000 AS ms, event_id, value FROM ev)
+SELECT p.pair, g.ms, round(arg_min(value, event_id), 6) AS close FROM g JOIN (VALUES ('view', '@107'), ('click', '@142')) AS p(coin, pair) USING (coin) GROUP BY 1, 2""")
+def candle_pages(s, d):
+    e = a.events(s, d)
+    v = F.col("value").cast("string")
+    row = F.struct(align.bucket("ms", 3_600_000).alias("T"), v.alias("o"), v.alias("c"), v.alias("h"), v.alias("l"), v.alias("v"))
+    pages = e.groupBy(F.col("event_type").alias("coin"), F.floor(F.col("event_id") / 100).alias("page")).agg(F.array_sort(F.collect_list(F.struct("event_id", row.alias("r")))).alias("x"))
+    pages = pages.select("coin", "page", F.to_json(F.transform("x", lambda x: x["r"])).alias("value"))
+    pairs = F.broadcast(s.createDataFrame([("view", "@107"), ("click", "@142")], "coin string, pair string"))
+    return messages.map_symbols(messages.candle_pages(pages), pairs).select("pair", F.unix_millis("ts").alias("ms"), F.round("close", 6).alias("close"))
+
+
+@query("""WITH c AS (SELECT DISTINCT '{"coin":"' || event_type || '","strategy":"obi"}' AS config, event_type FROM events),
+h AS (SELECT substr(sha256(config), 1, 16) AS config_hash, config FROM c) SELECT config_hash, config FROM h WHERE config NOT LIKE '%view%'""")
+def unrecorded_runs(s, d):
+    kinds = a.read(s, d, "events").select("event_type")
+    config = F.concat(F.lit('{"coin":"'), "event_type", F.lit('","strategy":"obi"}'))
+    new = kinds.select(config.alias("config")).withColumns({"config_hash": runs.config_hash(F.col("config")), "saved_at": F.lit(0).cast("timestamp")})
+    new = new.select("config_hash", "config", "saved_at")
+    return runs.unrecorded(new, new.filter("config like '%view%'")).select("config_hash", "config")
+
+
+QUERIES |= model_plans.queries(legs_of, a)
+ORACLE_SQL |= model_plans.oracle(FEATURE_SQL, _NOT_NULL)
+QUERIES |= stream_plans.QUERIES
+ORACLE_SQL |= stream_plans.ORACLE_SQL
