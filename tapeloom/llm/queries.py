@@ -6,6 +6,7 @@ from tapeloom.llm.bpe import op1_byte_bpe
 from tapeloom.llm.gif import op4_gif
 from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
 from tapeloom.llm.minhash import OP10_SQL, op10_circulant_minhash
+from tapeloom.llm.ngram_trie import op6_ngram_trie
 from tapeloom.llm.positional_index import OP5_SQL, op5_positional_index
 from tapeloom.llm.string_kernel import op3_string_kernel
 from tapeloom.llm.unit_dedup import OP8_SQL, op8_unit_hashing
@@ -17,6 +18,7 @@ QUERIES = {
     "op3_string_kernel": op3_string_kernel,
     "op4_gif": op4_gif,
     "op5_positional_index": op5_positional_index,
+    "op6_ngram_trie": op6_ngram_trie,
     "op8_unit_hashing": op8_unit_hashing,
     "op9_line_runs": op9_line_runs,
     "op10_circulant_minhash": op10_circulant_minhash,
