@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.llm.bpe import op1_byte_bpe
+from tapeloom.llm.column_bwt import op7_column_bwt
 from tapeloom.llm.gif import op4_gif
 from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
 from tapeloom.llm.minhash import OP10_SQL, op10_circulant_minhash
@@ -19,6 +20,7 @@ QUERIES = {
     "op4_gif": op4_gif,
     "op5_positional_index": op5_positional_index,
     "op6_ngram_trie": op6_ngram_trie,
+    "op7_column_bwt": op7_column_bwt,
     "op8_unit_hashing": op8_unit_hashing,
     "op9_line_runs": op9_line_runs,
     "op10_circulant_minhash": op10_circulant_minhash,
