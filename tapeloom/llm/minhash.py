@@ -7,10 +7,10 @@ bands of 6 rows with probability 5e-6.
 
 Documents with equal shingle sets form one node (64-bit digest of the sorted set), so copies cost
 nothing further. Nodes of a bucket are compared with the bucket's leader on full sets; links give
-components. Where a bucket still holds several components, its nodes outside the largest one are
-compared with the nodes of other components, except pairs that exact bounds rule out: distances to
-the leader (Jaccard distance is a metric), sizes, and shingles that no other open node has. So no link
-between nodes that share a bucket is lost, and pairs that are connected already are never made.
+components. Where buckets still hold several components, their nodes in different components are
+compared further, but for pairs that exact bounds rule out: two sets of the wanted similarity share one
+of each other's rarest shingles, and so early in order of rarity that enough can follow.
+So no link between such nodes is lost, and pairs that are connected already are never made.
 
 Defined results: null, empty or wordless texts have no shingles and are their own component; texts
 with fewer words than a shingle have one shingle, the whole sequence; a null id is never the
@@ -26,7 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom.llm.common import LOWER_TABLE, broadcast_if_small, session_setup, stored, table
@@ -199,27 +199,24 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     tested = stored(measured(first, sets), "tested")
     labels = components(tested.filter(is_link))
 
-    # What the leaders leave open: nodes of one bucket in different components.
-    far = tested.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("both") / F.col("either")).alias("far"))
-    placed = members.join(labels, "node", "left").join(far, ["leader", "node"], "left").select(
-        "bucket", "node", "n", "leader", F.coalesce("label", "node").alias("label"), F.coalesce("far", F.lit(0.0)).alias("far"))
-    placed = stored(placed, "placed")
-    parts = placed.groupBy("bucket", "label").agg(F.count("*").alias("held"))
-    open_ones = parts.groupBy("bucket").agg(F.count("*").alias("parts"), F.sum("held").alias("all_held"), F.max_by("label", F.struct("held", "label")).alias("largest"))
-    open_ones = open_ones.filter("parts > 1 and all_held > 2").select("bucket", "largest")
-    rest = stored(placed.join(open_ones, "bucket").filter("node <> leader"), "rest")
-    # Shingles that no other open node has are in no intersection: they bound every similarity.
-    tokens = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("s"))
-    own = tokens.groupBy("s").agg(F.count("*").alias("df"), F.min("node").alias("node")).filter("df = 1")
-    own = own.groupBy("node").agg(F.count("*").alias("own"))
-    rest = rest.join(own, "node", "left").withColumn("common", F.col("n") - F.coalesce("own", F.lit(0)))
-    rest = rest.filter(100 * F.col("common") >= percent * F.col("n"))
-    x = rest.filter("label <> largest").select("bucket", "node", "label", "n", "far", "common")
-    y = rest.select("bucket", *[F.col(c).alias(c + "2") for c in ("node", "label", "n", "far", "common")])
-    slack = 1 - percent / 100 + 1e-9
-    may_link = (F.col("label") != F.col("label2")) & (F.abs(F.col("far") - F.col("far2")) <= slack) & (
-        percent * (F.col("n") + F.col("n2")) <= (100 + percent) * F.least("common", "common2"))
-    more = x.join(y, "bucket").filter(may_link).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    # What the leaders leave open: buckets of several components. A link of two of their nodes needs a
+    # common shingle among each one's rarest fifth (prefix filter), early enough (positional filter).
+    placed = members.join(labels, "node", "left").select("bucket", "node", "n", F.coalesce("label", "node").alias("label"))
+    parts = placed.groupBy("bucket").agg(F.count_distinct("label").alias("parts"), F.count("*").alias("held")).filter("parts > 1 and held > 2")
+    rest = stored(placed.join(parts.select("bucket"), "bucket", "left_semi").select("node", "n", "label").distinct(), "rest")
+    tokens = sets.join(rest, "node").select("node", "n", "label", F.explode("shingles").alias("s"))
+    df = tokens.groupBy("s").agg(F.count("*").alias("df"))
+    tokens = tokens.join(df, "s")
+    place = F.row_number().over(Window.partitionBy("node").orderBy("df", "s"))
+    prefix = tokens.withColumn("k", place).filter((F.col("k") - 1) * 100 <= (100 - percent) * F.col("n")).filter("df > 1")
+    prefix = stored(prefix.select("s", "node", "n", "label", "k"), "prefix")
+    groups = prefix.groupBy("s", "label").agg(F.count("*").alias("held")).groupBy("s").agg(F.count("*").alias("parts"), F.max(F.struct("held", "label")).getField("label").alias("largest"))
+    x = prefix.join(groups.filter("parts > 1").select("s", "largest"), "s").filter("label <> largest").drop("largest")
+    y = prefix.select("s", *[F.col(c).alias(c + "2") for c in ("node", "n", "label", "k")])
+    # The first common shingle leaves each set what stands after it, so that bounds the intersection.
+    at_most = F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")) + 1
+    may_link = (F.col("label") != F.col("label2")) & (percent * (F.col("n") + F.col("n2")) <= (100 + percent) * at_most)
+    more = x.join(y, "s").filter(may_link).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
     late = stored(measured(more, sets).filter(is_link), "late")
     if late.head(1):
         labels = components(tested.filter(is_link).select("a", "b").unionByName(late.select("a", "b")))
