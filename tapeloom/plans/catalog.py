@@ -84,7 +84,7 @@ def basis_drift_risk(s, d):
     return rounded(pnl.net_metrics(daily_drift(s, d), RT, 1.0, 1.0))
 
 
-@query(HOLD + f""" SELECT series, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(stddev_samp(ret) * sqrt(365), 6) AS vol FROM da GROUP BY series""")
+@query(HOLD + f""" SELECT series, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(coalesce(stddev_samp(ret), 0) * sqrt(365), 6) AS vol FROM da GROUP BY series""")
 def series_risk(s, d):
     return rounded(stats.annualised(daily_hold(s, d), ["series"]))
 
@@ -109,7 +109,7 @@ def regime_days(s, d):
 
 @query(HOLD + f""", x AS (SELECT series, day, close / lag(close, 30) OVER (PARTITION BY series ORDER BY day) - 1 AS r FROM dp),
 l AS (SELECT series, day, CASE WHEN r < -0.10 THEN 'bear' WHEN r > 0.10 THEN 'bull' ELSE 'calm' END AS regime FROM x)
-SELECT series, regime, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(stddev_samp(ret) * sqrt(365), 6) AS vol
+SELECT series, regime, count(*) AS n, round({SHARPE.format('ret')}, 6) AS sharpe, round(avg(ret) * 365, 6) AS apr, round(coalesce(stddev_samp(ret), 0) * sqrt(365), 6) AS vol
 FROM da JOIN l USING (series, day) GROUP BY series, regime HAVING count(*) >= 10""")
 def regime_risk(s, d):
     return rounded(stats.regime_sharpe(daily_hold(s, d), pnl.regime_labels(a.daily_prices(s, d))))
@@ -134,7 +134,7 @@ rg AS (SELECT * FROM (VALUES ('funding_only', 'carry', 0.0), ('basis_drift', 'dr
 ne AS (SELECT series, rung, day, ret - {RT!r} / count(*) OVER (PARTITION BY series, rung) - CAST(drag AS DOUBLE) / 10000 AS net FROM al JOIN rg USING (kind))"""
 
 
-@query(LADDER_SQL + f" SELECT series, rung, count(*) AS n, round({SHARPE.format('net')}, 9) AS sharpe, round(avg(net) * 365, 9) AS apr, round(stddev_samp(net) * sqrt(365), 9) AS vol FROM ne GROUP BY series, rung")
+@query(LADDER_SQL + f" SELECT series, rung, count(*) AS n, round({SHARPE.format('net')}, 9) AS sharpe, round(avg(net) * 365, 9) AS apr, round(coalesce(stddev_samp(net), 0) * sqrt(365), 9) AS vol FROM ne GROUP BY series, rung")
 def cost_ladder(s, d):
     return rounded(stats.annualised(_rung_rows(s, d), ["series", "rung"], "net"), 9)
 
@@ -160,7 +160,7 @@ def _cells(s, d):
 SWEEP_SQL = HOLD + f""",
 g AS (SELECT CAST(x AS DOUBLE) AS drift_bps, CAST(y AS DOUBLE) AS borrow_bps, CAST(z AS DOUBLE) AS fee_mult FROM range(5) a(x), range(5) b(y), range(1, 3) c(z)),
 ne AS (SELECT series, drift_bps, borrow_bps, fee_mult, ret - {RT!r} * fee_mult / count(*) OVER (PARTITION BY series, drift_bps, borrow_bps, fee_mult) - (drift_bps + borrow_bps) / 10000 AS net FROM da, g),
-ce AS (SELECT series, drift_bps, borrow_bps, fee_mult, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(net) * 365 AS apr, stddev_samp(net) * sqrt(365) AS vol FROM ne GROUP BY ALL)"""
+ce AS (SELECT series, drift_bps, borrow_bps, fee_mult, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(net) * 365 AS apr, coalesce(stddev_samp(net), 0) * sqrt(365) AS vol FROM ne GROUP BY ALL)"""
 
 
 @query(SWEEP_SQL + " SELECT series, drift_bps, borrow_bps, fee_mult, n, round(sharpe, 6) AS sharpe, round(apr, 6) AS apr, round(vol, 6) AS vol FROM ce")
@@ -471,9 +471,9 @@ def parsed_trades(s, d):
     return x.withColumns({"px": F.round("px", 6), "notional": F.round("notional", 4)})
 
 
-@query("""WITH l AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) AS px, l_quantity AS sz FROM lineitem WHERE l_quantity > 0)
+@query("""WITH l AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) AS px, l_quantity AS sz, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_extendedprice / l_quantity, 9), l_quantity, l_linenumber) AS k FROM lineitem WHERE l_quantity > 0)
 SELECT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS book_ms, round(min(px) * 0.999, 7) AS best_bid_px, 1.0::DOUBLE AS best_bid_sz, min(px) AS best_ask_px,
-round(min(px) - min(px) * 0.999, 7) AS spread, round(min(px) * 0.999, 7) AS bid_depth_10, round(sum(px * sz), 4) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
+round(min(px) - min(px) * 0.999, 7) AS spread, round(min(px) * 0.999, 7) AS bid_depth_10, round(sum(px * sz) FILTER (WHERE k <= 10), 4) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
 def parsed_books(s, d):
     levels = F.from_json("levels_json", "array<array<struct<px:string,sz:string>>>").alias("levels")
     data = F.struct("coin", F.col("captured_ms").alias("time"), levels)
