@@ -355,7 +355,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     met = stored(met_rows(dealt), "met")
     at = met.filter("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "end")).alias("at"))
     ids = at.select("doc", "row")
-    wanted = docs.join(broadcast_if_small(ids, ids.count()), ["doc", "row"], "left_semi").dropDuplicates(["doc", "row"])
+    wanted = docs.join(broadcast_if_small(ids, ids.count()), ["doc", "row"], "left_semi")
     pieces = piece_rows(wanted.join(at.hint("shuffle_hash"), ["doc", "row"]))
     sorted_pieces = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc", "row", "start")
     built = stored(built_spans(sorted_pieces, length), "built")
