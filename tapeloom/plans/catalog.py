@@ -473,13 +473,13 @@ def parsed_trades(s, d):
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, round(l_extendedprice / l_quantity, 9) AS px, l_quantity AS sz, row_number() OVER (PARTITION BY l_orderkey ORDER BY round(l_extendedprice / l_quantity, 9), l_quantity, l_linenumber) AS k FROM lineitem WHERE l_quantity > 0)
 SELECT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS book_ms, round(min(px) * 0.999, 7) AS best_bid_px, 1.0::DOUBLE AS best_bid_sz, min(px) AS best_ask_px,
-round(min(px) - min(px) * 0.999, 7) AS spread, round(min(px) * 0.999, 7) AS bid_depth_10, round(sum(px * sz) FILTER (WHERE k <= 10), 4) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
+round(min(px) - min(px) * 0.999, 7) AS spread, round(min(px) * 0.999, 7) AS bid_depth_10, round(sum(px * sz) FILTER (WHERE k <= 10), 2) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
 def parsed_books(s, d):
     levels = F.from_json("levels_json", "array<array<struct<px:string,sz:string>>>").alias("levels")
     data = F.struct("coin", F.col("captured_ms").alias("time"), levels)
     raw = a.books(s, d).select("captured_ms", F.to_json(F.struct(F.lit("l2Book").alias("channel"), data.alias("data"))).alias("value"))
     x = messages.l2book(raw).drop("captured_ms", "levels_json", "best_ask_sz")
-    return x.withColumns({"best_bid_px": F.round("best_bid_px", 7), "spread": F.round("spread", 7), "bid_depth_10": F.round("bid_depth_10", 7), "ask_depth_10": F.round("ask_depth_10", 4)})
+    return x.withColumns({"best_bid_px": F.round("best_bid_px", 7), "spread": F.round("spread", 7), "bid_depth_10": F.round("bid_depth_10", 7), "ask_depth_10": F.round("ask_depth_10", 2)})
 
 
 @query(ctes("qu") + " SELECT bbo_ms, coin, round(bid_px, 6) AS bid_px, CASE WHEN bid_sz > 5 THEN bid_sz END AS bid_sz FROM qu")

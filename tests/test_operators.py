@@ -213,9 +213,9 @@ def test_runs(spark, tmp_path):
 
 
 def test_layers(spark, tmp_path):
-    d = spark.createDataFrame([(datetime(2024, 1, 1), "xyz:NVDA", 0.1, 0.0)], "ts timestamp, coin string, funding_rate double, premium double")
+    d = spark.createDataFrame([(datetime(2024, 1, 1), "dex:ABC", 0.1, 0.0)], "ts timestamp, coin string, funding_rate double, premium double")
     layers.write_layer(d, str(tmp_path), "funding")
-    assert layers.load_layer(spark, str(tmp_path), "funding", "xyz:NVDA").first()["funding_rate"] == 0.1
+    assert layers.load_layer(spark, str(tmp_path), "funding", "dex:ABC").first()["funding_rate"] == 0.1
     with pytest.raises(layers.MissingCoin):
         layers.load_layer(spark, str(tmp_path), "funding", "BTC")
 
