@@ -44,12 +44,23 @@ def stream_trades(s: SparkSession, d: str) -> DataFrame:
 
 
 def stream_bars(s: SparkSession, d: str) -> DataFrame:
-    """Hourly bars of the stream, all but those the final watermark leaves open."""
+    """Hourly bars of the stream without replays; a closing message far ahead lets the watermark pass all windows."""
     root = scratch(s, "bars")
-    trades = tape.channel_stream(tape.raw_stream(s, _raw_files(s, d, root)), "trades")
-    done = _run_to_end(tape.stream_flow_bars(tape.without_replays(trades, "60 days"), "1 hour", "60 days").filter("bar is not null"), root)
-    return done
-
-
-QUERIES = {"stream_trades": stream_trades}
-ORACLE_SQL = {"stream_trades": ctes("tr") + " SELECT coin, trade_ms, tid, side, round(px, 6) AS px, round(notional, 4) AS notional FROM tr"}
+    raw = _raw_files(s, d, root)
+    last = a.trades(s, d).agg((F.max("trade_ms") + 400 * a.DAY).alias("time"))
+    end = F.struct(F.lit("end").alias("coin"), F.lit("B").alias("side"), F.lit("1").alias("px"), F.lit("1").alias("sz"), "time", F.lit(-1).cast("long").alias("tid"))
+    closing = last.select(F.lit(0).cast("long").alias("captured_ms"), F.to_json(F.struct(F.lit("trades").alias("channel"), F.array(end).alias("data"))).alias("value"))
+    # A first run reads the trades; the second reads the closing message and emits every window.
+    trades = lambda: tape.without_replays(tape.channel_stream(tape.raw_stream(s, raw), "trades"), "60 days")
+    _run_to_end(tape.stream_flow_bars(trades(), "1 hour", None), root)
+    closing.write.mode("append").parquet(raw)
+    done = _run_to_end(tape.stream_flow_bars(trades(), "1 hour", None), root)
+    return done.select("coin", "bar", F.round("taker", 4).alias("taker"), F.round("px", 6).alias("px"), F.round("notional", 4).alias("notional"))
+
+
+QUERIES = {"stream_trades": stream_trades, "stream_bars": stream_bars}
+ORACLE_SQL = {
+    "stream_bars": ctes("tr") + """ SELECT coin, trade_ms // 3600000 * 3600000 AS bar, round(sum(CASE WHEN side = 'B' THEN notional ELSE -notional END), 4) AS taker,
+round(arg_max(px, (trade_ms, tid)), 6) AS px, round(sum(notional), 4) AS notional FROM tr GROUP BY 1, 2""",
+    "stream_trades": ctes("tr") + " SELECT coin, trade_ms, tid, side, round(px, 6) AS px, round(notional, 4) AS notional FROM tr",
+}

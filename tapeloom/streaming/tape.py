@@ -46,10 +46,12 @@ def stream_quote_bars(quotes: DataFrame, width: str, delay: str = "10 minutes")
     return out.select("coin", F.unix_millis("w.start").alias("bar"), "obi", "mid", "spread_bps")
 
 
-def stream_flow_bars(trades: DataFrame, width: str, delay: str = "10 minutes") -> DataFrame:
+def stream_flow_bars(trades: DataFrame, width: str, delay: str | None = "10 minutes") -> DataFrame:
+    """As ``stream_quote_bars``; without ``delay`` for a stream that has its watermark already."""
+    trades = trades.withWatermark("event_time", delay) if delay else trades
     w = F.window("event_time", width)
     signed = F.when(F.col("side") == "B", F.col("notional")).otherwise(-F.col("notional"))
-    out = trades.withWatermark("event_time", delay).groupBy("coin", w.alias("w")).agg(
+    out = trades.groupBy("coin", w.alias("w")).agg(
         F.sum(signed).alias("taker"), last_known(F.col("px"), "trade_ms", "tid").alias("px"), F.sum("notional").alias("notional"))
     return out.select("coin", F.unix_millis("w.start").alias("bar"), "taker", "px", "notional")
 
