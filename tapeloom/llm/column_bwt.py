@@ -20,7 +20,6 @@ rows. Ids are integers. Only the id and the text are read.
 
 from __future__ import annotations
 
-import os
 import tempfile
 from collections.abc import Iterator
 
@@ -34,7 +33,7 @@ from tapeloom.llm.minhash import mixed
 
 LENGTH, GRAM = 100, 40
 #: Strings of a block; an anchor with more is a block of its own.
-BLOCK = 4096
+BLOCK = 512
 #: Anchors a task reduces among themselves before passing them on.
 GATHERED = 2_000_000
 _BASE = 0x9E3779B97F4A7C15
@@ -56,14 +55,26 @@ def collection_bwt(strings: list[bytes], folder: str | None = None) -> tuple[np.
     columns = np.zeros((longest, m), np.uint16)  # round by string, from the ends
     for i, s in enumerate(strings):
         columns[: len(s), i] = np.frombuffer(s, np.uint8)[::-1].astype(np.uint16) + 1
-    own = tempfile.TemporaryDirectory(dir=folder)
-    try:
-        names = [os.path.join(own.name, x) for x in ("bwt", "lcp")]
-        np.zeros(m, np.uint16).tofile(names[0])
-        np.zeros(m, np.int32).tofile(names[1])
+    with tempfile.TemporaryFile(dir=folder) as of_bwt, tempfile.TemporaryFile(dir=folder) as of_lcp:
+
+        def load() -> tuple[np.ndarray, np.ndarray]:
+            of_bwt.seek(0)
+            of_lcp.seek(0)
+            return np.fromfile(of_bwt, np.uint16), np.fromfile(of_lcp, np.int32)
+
+        def save(bwt: np.ndarray, lcp: np.ndarray) -> None:
+            """Over what was there, which is never longer; a file cut first would be flushed to disk."""
+            of_bwt.seek(0)
+            of_lcp.seek(0)
+            bwt.tofile(of_bwt)
+            lcp.tofile(of_lcp)
+            of_bwt.flush()
+            of_lcp.flush()
+
+        save(np.zeros(m, np.uint16), np.zeros(m, np.int32))
         live, place = np.arange(m), np.arange(m)
         for k in range(longest):
-            bwt, lcp = np.fromfile(names[0], np.uint16), np.fromfile(names[1], np.int32)
+            bwt, lcp = load()
             symbols = columns[k, live]
             bwt[place] = symbols
             keep = symbols > 0  # a finished string keeps its 0
@@ -78,7 +89,9 @@ def collection_bwt(strings: list[bytes], folder: str | None = None) -> tuple[np.
             is_new = np.zeros(total, bool)
             is_new[m + new] = True
             # Common prefixes with the neighbour before: of the new suffixes, and of those after them.
-            touched = np.unique(np.concatenate([new, new[new + 1 < len(order)] + 1]))
+            both = np.zeros(len(order) + 1, bool)
+            both[new] = both[new + 1] = True
+            touched = np.flatnonzero(both[:-1])
             before = order[np.maximum(touched - 1, 0)]
             here = order[touched]
             same = (touched > 0) & (bwt[before] == bwt[here])
@@ -95,12 +108,9 @@ def collection_bwt(strings: list[bytes], folder: str | None = None) -> tuple[np.
             out_bwt, out_lcp = np.zeros(total, np.uint16), np.zeros(total, np.int32)
             out_bwt[~is_new], out_lcp[~is_new] = bwt, lcp
             out_lcp[m + touched] = value
-            out_bwt.tofile(names[0])
-            out_lcp.tofile(names[1])
+            save(out_bwt, out_lcp)
             live, place = live[by_rank], m + new
-        bwt, lcp = np.fromfile(names[0], np.uint16), np.fromfile(names[1], np.int32)
-    finally:
-        own.cleanup()
+        bwt, lcp = load()
     order = np.argsort(bwt, kind="stable")
     order = order[np.searchsorted(bwt[order], 1) :]
     step = np.full(len(bwt), -1, np.int64)
