@@ -10,7 +10,7 @@ documents of 100,000 bytes cannot be built that way. The strings built are there
 repeats can be: every ``length``-byte string holds the least hashed ``GRAM``-byte gram among its
 grams, its anchor, and equal strings have equal anchors at equal offsets. Occurrences of an anchor are
 brought together; those with equal surroundings are repeats at once, and the distinct surroundings
-of an anchor are the collection, in blocks of whole anchors.
+of an anchor, cut to what each shares with another, are the collection, in blocks of whole anchors.
 
 Defined results: null and empty texts have no bytes; texts shorter than ``length`` lose nothing; a
 null id counts as the smallest; rows that share an id are told apart by their text's hash, and rows
@@ -297,11 +297,11 @@ def met_rows(rows: DataFrame) -> DataFrame:
 
 
 def piece_rows(open_ones: DataFrame) -> DataFrame:
-    """``(key, doc, row, start, piece)`` of ``(doc, row, text, at)``: the surroundings themselves."""
+    """``(key, doc, row, start, middle, piece)`` of ``(doc, row, text, at)``: the surroundings, the anchor's place in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keys, docs, rows, starts, pieces = [], [], [], [], []
+            keys, docs, rows, starts, middles, pieces = [], [], [], [], [], []
             for doc, row, text, at in zip(*(b.column(i).to_pylist() for i in range(4))):
                 raw = text.encode("utf-8", "surrogatepass")
                 for x in at:
@@ -309,11 +309,37 @@ def piece_rows(open_ones: DataFrame) -> DataFrame:
                     docs.append(doc)
                     rows.append(row)
                     starts.append(x["start"])
+                    middles.append(x["pos"] - x["start"])
                     pieces.append(raw[x["start"] : x["end"]])
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip((keys, docs, rows, starts, pieces), kinds)], ["key", "doc", "row", "start", "piece"])
+            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            columns = [pa.array(v, t) for v, t in zip((keys, docs, rows, starts, middles, pieces), kinds)]
+            yield pa.RecordBatch.from_arrays(columns, ["key", "doc", "row", "start", "middle", "piece"])
 
-    return open_ones.select("doc", "row", "text", "at").mapInArrow(run, "key bigint, doc bigint, row int, start bigint, piece binary")
+    return open_ones.select("doc", "row", "text", "at").mapInArrow(run, "key bigint, doc bigint, row int, start bigint, middle bigint, piece binary")
+
+
+def _shared(keys: np.ndarray, sides: list[bytes]) -> np.ndarray:
+    """The longest prefix that each string shares with another of its key."""
+    sizes = np.array([len(x) for x in sides], np.int64)
+    order = np.array(sorted(range(len(sides)), key=lambda i: (keys[i], sides[i])), np.int64)
+    width = int(sizes.max(initial=0)) + 1
+    grid = np.frombuffer(b"".join(x.ljust(width, b"\0") for x in sides), np.uint8).reshape(len(sides), width)[order]
+    sizes, keys, out = sizes[order], keys[order], np.zeros(len(sides), np.int64)
+    differ = grid[1:] != grid[:-1]
+    same = np.where(differ.any(axis=1), differ.argmax(axis=1), width)
+    same = np.where(keys[1:] == keys[:-1], np.minimum(same, np.minimum(sizes[1:], sizes[:-1])), 0)
+    best = np.maximum(np.append(0, same), np.append(same, 0))
+    out[order] = best
+    return out
+
+
+def trimmed(keys: np.ndarray, starts: np.ndarray, middles: np.ndarray, texts: list[bytes], length: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """Which strings can share ``length`` bytes about their anchor, and these cut to what they share."""
+    left = _shared(keys, [t[:m][::-1] for t, m in zip(texts, middles)])
+    right = _shared(keys, [t[m:] for t, m in zip(texts, middles)])
+    kept = np.flatnonzero(left + right >= length)
+    cut = [texts[i][middles[i] - left[i] : middles[i] + right[i]] for i in kept]
+    return kept, starts[kept] + middles[kept] - left[kept], cut
 
 
 def _joined(string: np.ndarray, begin: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -328,9 +354,11 @@ def built_spans(pieces: DataFrame, length: int) -> DataFrame:
     """``(doc, row, start, end)`` of later occurrences, from the transforms of blocks of whole anchors."""
 
     def spans(held: list[tuple]) -> pa.RecordBatch:
-        key, doc, row, start, texts = (np.concatenate(x) if i < 4 else [p for y in x for p in y] for i, x in enumerate(zip(*held)))
+        key, doc, row, start, middle, texts = (np.concatenate(x) if i < 5 else [p for y in x for p in y] for i, x in enumerate(zip(*held)))
+        kept, start, texts = trimmed(key, start, middle, texts, length)
+        doc, row = doc[kept], row[kept]
         _, rank = np.unique(np.stack([doc, row.astype(np.int64)]), axis=1, return_inverse=True)  # in order of (doc, row)
-        who, offset = later_occurrences(texts, start, rank.reshape(-1), length)
+        who, offset = later_occurrences(texts, start, rank.reshape(-1), length) if len(kept) else (kept, kept)
         order = np.lexsort((offset, who))
         who, begin, end = _joined(who[order], offset[order], length)
         return pa.RecordBatch.from_arrays([pa.array(doc[who]), pa.array(row[who]), pa.array(start[who] + begin), pa.array(start[who] + end)], ["doc", "row", "start", "end"])
@@ -342,7 +370,7 @@ def built_spans(pieces: DataFrame, length: int) -> DataFrame:
             key = b.column(0).to_numpy()
             if not len(key):
                 continue
-            columns = [key, *(b.column(i).to_numpy() for i in (1, 2, 3)), b.column(4).to_pylist()]
+            columns = [key, *(b.column(i).to_numpy() for i in (1, 2, 3, 4)), b.column(5).to_pylist()]
             cuts = [0, *(np.flatnonzero(key[1:] != key[:-1]) + 1).tolist(), len(key)]
             for lo, hi in zip(cuts, cuts[1:]):
                 if n >= BLOCK and key[lo] != last:
@@ -363,7 +391,7 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM) -> D
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = anchor_rows(docs, length, gram).repartition(parts, "key").sortWithinPartitions("key", "kind", "c", "doc", "row", "pos")
     met = stored(met_rows(dealt), "met")
-    at = met.filter("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "end")).alias("at"))
+    at = met.filter("kind = 2").groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "end", "pos")).alias("at"))
     ids = at.select("doc", "row")
     wanted = docs.join(broadcast_if_small(ids, ids.count()), ["doc", "row"], "left_semi")
     pieces = piece_rows(wanted.join(at.hint("shuffle_hash"), ["doc", "row"]))
