@@ -8,8 +8,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom import schemas
-
 CHANNEL_OF = {"trades": "trades", "l2book": "l2Book", "bbo": "bbo", "ctx": "activeAssetCtx"}
 
 

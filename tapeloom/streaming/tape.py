@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from tapeloom.operators.bars import BPS, imbalance, last_known, mid, spread_bps
+from tapeloom.operators.bars import imbalance, last_known, mid, spread_bps
 from tapeloom.sources import messages
 from tapeloom.sources.layers import with_partitions
 from tapeloom.schemas import EVENT_MS
@@ -63,4 +63,4 @@ def sink(rows: DataFrame, channel: str, root: str, checkpoint: str, trigger: dic
     return writer.partitionBy("coin", "dt", "hr").outputMode("append").trigger(**(trigger or {"processingTime": "30 seconds"})).start()
 
 
-__all__ = ["BPS", "RAW", "channel_stream", "kafka_stream", "raw_stream", "sink", "stream_flow_bars", "stream_quote_bars", "without_replays"]
+__all__ = ["RAW", "channel_stream", "kafka_stream", "raw_stream", "sink", "stream_flow_bars", "stream_quote_bars", "without_replays"]
