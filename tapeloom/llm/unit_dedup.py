@@ -13,7 +13,6 @@ original text; an empty table gives no rows. Only the id and the text are read.
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections.abc import Iterator
 
