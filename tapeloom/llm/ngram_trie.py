@@ -2,17 +2,19 @@
 
 Level 1 holds the words as a monotone sequence of 64-bit hashes, with exact counts and, for a word as
 context, its quantised back-off weight. Level 2 holds the successors of every context: a monotone
-sequence of pointers gives a context's range, and the sequence of ``context place * 2^32 + 32-bit
-successor hash`` is searched for the successor in its context. Smoothed probabilities are quantised to
-16 bits of log10.
+sequence of pointers gives a context's range, and the sequence of ``range begin * 2^32 + range size *
+32-bit successor hash`` is searched for the successor in its context. Level 3 does the same for contexts of
+two words, known by a 64-bit hash of both, whose counts and weights are in files like those of level 1.
+A successor has its discounted share of all training tokens, quantised to 16 bits of log10.
 
-Smoothing: ``P(w | h) = max(c(h, w) - D, 0) / c(h) + b(h) P(w)`` over the kept successors (those seen
-``min_count`` times or more), ``b(h)`` being what they leave, and ``P(w)`` the base estimate.
+Smoothing: ``P(w | h) = max(c(h, w) - D, 0) / c(h) + b(h) P(w | shorter h)`` over the kept successors
+(those seen ``min_count`` times or more), ``b(h)`` being what they leave, and ``P(w)`` the base
+estimate. The query keeps every successor (``min_count`` 1) and has order 3.
 
 Counting, filtering and sorting are Spark's; a level is cut into shards of hash ranges, each written
 by one task to the shared folder, so shards grow in number and not in size (contexts with very many
 successors are cut along the successors' hashes as well). Scoring tasks map the files. The driver
-sees only the list of files and three totals.
+sees only the lists of files and a few totals.
 
 Defined results: a null text is empty and has one token, the end; rows that repeat count as often as
 they stand; a null id counts as the empty text in the fold; without training rows all counts are 0
@@ -27,6 +29,7 @@ import os
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +38,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.llm.common import LOWER_TABLE, fresh_path, session_setup, stored, table
 from tapeloom.llm.elias_fano import EliasFano
-from tapeloom.llm.minhash import WordHashes
+from tapeloom.llm.minhash import WordHashes, mixed
 from tapeloom.llm.string_kernel import folds
 
 START, END = b"\n<s>", b"\n</s>"  # no word holds a line feed
@@ -69,6 +72,11 @@ def contexts_of(tokens: np.ndarray, ends: np.ndarray, start: np.uint64) -> np.nd
     return before
 
 
+def pair_context(earlier: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """64-bit hashes of contexts of two words."""
+    return mixed(mixed(earlier) + before)
+
+
 def _summed(keys: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     if not keys:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
@@ -103,8 +111,8 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def pair_counts(docs: DataFrame) -> DataFrame:
-    """``(h, s, c)``: counts of successor ``s`` (32-bit hash) in context ``h``."""
+def gram_counts(docs: DataFrame, order: int) -> DataFrame:
+    """``(h, s, c)``: counts of successor ``s`` (32-bit hash) in context ``h`` of one or, at order 3, two words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -121,7 +129,8 @@ def pair_counts(docs: DataFrame) -> DataFrame:
 
         for b in batches:
             tokens, ends = token_hashes(b.column(0).to_pylist(), hashes)
-            before.append(contexts_of(tokens, ends, start))
+            context = contexts_of(tokens, ends, start)
+            before.append(context if order == 2 else pair_context(contexts_of(context, ends, start), context))
             after.append((tokens & _MASK32).astype(np.uint32))
             held += len(tokens)
             if held >= GATHERED:
@@ -172,7 +181,7 @@ def map_arrays(uri: str) -> dict[str, np.ndarray]:
                 while chunk := src.read(1 << 22):
                     dst.write(chunk)
             os.replace(part, path)
-    data = np.memmap(path, np.uint8, "r")
+    data = np.asarray(np.memmap(path, np.uint8, "r"))
     size = int.from_bytes(data[:8].tobytes(), "little")
     head = json.loads(data[8 : 8 + size].tobytes())
     return {name: data[8 + size + at : 8 + size + at + n * np.dtype(kind).itemsize].view(kind) for name, (kind, n, at) in head.items()}
@@ -219,39 +228,45 @@ def _shards(rows: DataFrame, folder: str, make, columns: list[str]) -> list[tupl
     return [tuple(r) for r in files.collect()]
 
 
+def _place(begin: np.ndarray, held: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """Values of successors: a context has a share of the range by their number, so that all are spread evenly."""
+    return (begin.astype(np.uint64) << np.uint64(32)) + low * held.astype(np.uint64)
+
+
 def _word_level(h: np.ndarray, c: np.ndarray, rest: np.ndarray) -> dict[str, np.ndarray]:
     words = h.view(np.uint64) ^ np.uint64(1 << 63)  # signed order is unsigned order of this
     return EliasFano.build(words, (1 << 64) - 1).arrays("words") | {"count": c.astype(np.uint64), "rest": _quantised(rest)}
 
 
-def _pair_level(h: np.ndarray, s: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
+def _successor_level(h: np.ndarray, s: np.ndarray, p: np.ndarray) -> dict[str, np.ndarray]:
     context = h.view(np.uint64) ^ np.uint64(1 << 63)
     first = np.flatnonzero(np.concatenate([[True], context[1:] != context[:-1]]))
-    place = np.cumsum(np.concatenate([[0], (context[1:] != context[:-1]).astype(np.uint64)]).astype(np.uint64), dtype=np.uint64)
-    values = place << np.uint64(32) | (s.astype(np.int64) + (1 << 31)).astype(np.uint64)
     ranges = np.append(first, len(h))
+    held = np.diff(ranges)
+    values = _place(np.repeat(first, held), np.repeat(held, held), (s.astype(np.int64) + (1 << 31)).astype(np.uint64))
     return (EliasFano.build(context[first], (1 << 64) - 1).arrays("contexts") | EliasFano.build(ranges, len(h)).arrays("ranges")
-            | EliasFano.build(values, (len(first) << 32) - 1).arrays("next") | {"p": _quantised(p)})
+            | EliasFano.build(values, max(len(h) << 32, 1) - 1).arrays("next") | {"p": _quantised(p)})
 
 
-class Trie:
-    """The files of both levels; opened in tasks."""
+@dataclass
+class Level:
+    """Files of the contexts of one length and of their successors; opened in tasks."""
 
-    def __init__(self, words: list, pairs: list, bits: int, parts: int, n: int, v: int):
-        self.words = {k: uri for k, _, uri in words}
-        self.pairs = {(k, p): uri for k, p, uri in pairs}
-        self.bits, self.parts, self.n, self.v = bits, parts, n, v
+    contexts: dict[int, str]
+    successors: dict[tuple[int, int], str]
+    bits: int
+    parts: int
 
     def shard(self, h: np.ndarray) -> np.ndarray:
         return (h >> np.uint64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(h), np.int64)
 
     def look_up(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts and back-off weights of word hashes in unsigned order."""
+        """Counts and back-off weights of context hashes."""
         count, rest = np.zeros(len(h)), np.ones(len(h))
         h = h ^ np.uint64(1 << 63)
         shard = self.shard(h)
         for k in np.unique(shard):
-            if (uri := self.words.get(int(k))) is None:
+            if (uri := self.contexts.get(int(k))) is None:
                 continue
             at = np.flatnonzero(shard == k)
             a = map_arrays(uri)
@@ -261,53 +276,69 @@ class Trie:
             rest[at] = _restored(a["rest"][place])
         return count, rest
 
-    def successors(self, context: np.ndarray, after: np.ndarray) -> np.ndarray:
-        """Discounted probabilities of 32-bit successor hashes in their contexts; 0 where not kept."""
+    def shares(self, context: np.ndarray, after: np.ndarray) -> np.ndarray:
+        """Discounted shares, of all tokens, of 32-bit successor hashes in their contexts; 0 where not kept."""
         p = np.zeros(len(context))
         h = context ^ np.uint64(1 << 63)
         low = (after.view(np.int32).astype(np.int64) + (1 << 31)).astype(np.uint64)
         shard, part = self.shard(h), (low * np.uint64(self.parts) >> np.uint64(32)).astype(np.int64)
         for k in np.unique(shard * self.parts + part):
-            if (uri := self.pairs.get((int(k // self.parts), int(k % self.parts)))) is None:
+            if (uri := self.successors.get((int(k // self.parts), int(k % self.parts)))) is None:
                 continue
             at = np.flatnonzero(shard * self.parts + part == k)
             a = map_arrays(uri)
             place, same = EliasFano.of(a, "contexts").successor(h[at])
             at, place = at[same], place[same]
             begin, end = (EliasFano.of(a, "ranges").access(place + i).astype(np.int64) for i in (0, 1))
-            found, same = EliasFano.of(a, "next").successor(place.astype(np.uint64) << np.uint64(32) | low[at])
+            found, same = EliasFano.of(a, "next").successor(_place(begin, end - begin, low[at]))
             same &= (found >= begin) & (found < end)
             p[at[same]] = _restored(a["p"][found[same]])
         return p
 
 
-def build_trie(train: DataFrame, min_count: int = 2, shard_rows: int = SHARD_ROWS) -> Trie:
-    """Count ``train (text)`` and write both levels."""
+@dataclass
+class Trie:
+    """Levels of contexts of one word, two words and so on, and the numbers of tokens and of words."""
+
+    levels: list[Level]
+    n: int
+    v: int
+
+    @property
+    def words(self) -> dict[int, str]:
+        return self.levels[0].contexts
+
+
+def build_trie(train: DataFrame, min_count: int = 2, shard_rows: int = SHARD_ROWS, order: int = 2) -> Trie:
+    """Count ``train (text)`` and write the levels."""
     spark = train.sparkSession
     session_setup(spark)
     counts = stored(word_counts(train), "word_counts")
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    pairs = stored(pair_counts(train).filter(F.col("c") >= min_count), "pair_counts")
     start, end = (int(np.uint64(WordHashes()[t]).view(np.int64)) for t in (START, END))
     as_context = counts.unionByName(counts.filter(F.col("h") == end).withColumn("h", F.lit(start)).select("h", "c"))
-    sums = pairs.groupBy("h").agg(F.sum(F.col("c") - DISCOUNT).alias("kept"), F.count("*").alias("held"))
-    sums = stored(sums, "contexts")
-    seen = sums.agg(F.coalesce(F.max("held"), F.lit(0)).alias("most"), F.coalesce(F.sum("held"), F.lit(0)).alias("all")).first()
-    bits = max(0, int(max(total["v"], seen["all"]) // shard_rows).bit_length())
-    parts = int(seen["most"] // shard_rows) + 1
-
-    def top_bits(h):
-        flipped = F.col(h).bitwiseXOR(F.lit(-(1 << 63)))
-        return F.shiftrightunsigned(flipped, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
-
-    words = as_context.join(sums.select("h", "kept"), "h", "left")
-    words = words.select(top_bits("h").alias("shard"), F.lit(0).cast("long").alias("part"), "h",
-                         F.when(F.col("h") == start, F.lit(0)).otherwise(F.col("c")).alias("c"), (1 - F.coalesce("kept", F.lit(0.0)) / F.col("c")).alias("rest"))
-    part = F.floor((F.col("s").cast("long") + (1 << 31)) * parts / (1 << 32)).cast("long")
-    nodes = pairs.join(as_context.withColumnRenamed("c", "n"), "h").select(
-        top_bits("h").alias("shard"), part.alias("part"), "h", "s", ((F.col("c") - DISCOUNT) / F.col("n")).alias("p"))
     folder = fresh_path(spark, "trie")
-    return Trie(_shards(words, f"{folder}/1", _word_level, ["h", "c", "rest"]), _shards(nodes, f"{folder}/2", _pair_level, ["h", "s", "p"]), bits, parts, total["n"], total["v"])
+    levels = []
+    for length in range(1, order):
+        grams = stored(gram_counts(train, length + 1), "gram_counts")
+        kept = F.col("c") >= min_count
+        sums = stored(grams.groupBy("h").agg(F.sum("c").alias("c"), F.sum(F.when(kept, F.col("c") - DISCOUNT)).alias("kept"), F.count(F.when(kept, 1)).alias("held")), "contexts")
+        seen = sums.agg(F.coalesce(F.max("held"), F.lit(0)).alias("most"), F.coalesce(F.sum("held"), F.lit(0)).alias("all")).first()
+        bits = max(0, int(max(total["v"], seen["all"]) // shard_rows).bit_length())
+        parts = int(seen["most"] // shard_rows) + 1
+
+        def top_bits(h, bits=bits):
+            flipped = F.col(h).bitwiseXOR(F.lit(-(1 << 63)))
+            return F.shiftrightunsigned(flipped, 64 - bits).cast("long") if bits else F.lit(0).cast("long")
+
+        contexts = as_context.join(sums.select("h", "kept"), "h", "left") if length == 1 else sums
+        contexts = contexts.select(top_bits("h").alias("shard"), F.lit(0).cast("long").alias("part"), "h", "c", (1 - F.coalesce("kept", F.lit(0.0)) / F.col("c")).alias("rest"))
+        part = F.floor((F.col("s").cast("long") + (1 << 31)) * parts / (1 << 32)).cast("long")
+        nodes = grams.filter(kept).select(top_bits("h").alias("shard"), part.alias("part"), "h", "s", ((F.col("c") - DISCOUNT) / max(total["n"], 1)).alias("p"))
+        of_contexts = _shards(contexts, f"{folder}/{length}", _word_level, ["h", "c", "rest"])
+        of_nodes = _shards(nodes, f"{folder}/{length}-next", _successor_level, ["h", "s", "p"])
+        levels.append(Level({k: uri for k, _, uri in of_contexts}, {(k, p): uri for k, p, uri in of_nodes}, bits, parts))
+    return Trie(levels, total["n"], total["v"])
 
 
 def score(docs: DataFrame, trie: Trie) -> DataFrame:
@@ -323,13 +354,22 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
         for b in batches:
             tokens, ends = token_hashes(b.column(1).to_pylist(), hashes)
             kinds, word = np.unique(np.append(tokens, start), return_inverse=True)
-            count, rest = model.look_up(kinds)
-            word = word[:-1]
+            count, rest = model.levels[0].look_up(kinds)
+            start_at, word = word[-1], word[:-1]
             base = (count + 0.1) / floor
-            before = contexts_of(word, ends, np.searchsorted(kinds, start))
-            pair, which = np.unique(before * len(kinds) + word, return_inverse=True)
-            first, second = kinds[pair // len(kinds)], pair % len(kinds)
-            p = model.successors(first, (kinds[second] & _MASK32).astype(np.uint32)) + rest[pair // len(kinds)] * base[second]
+            p, which, before, of_context = base, word, word, (kinds, count, rest)
+            for k, level in enumerate(model.levels):
+                before, after = contexts_of(before, ends, start_at), before
+                context = before
+                if k:  # two words: the pair of the token before the last and the last
+                    pairs, context = np.unique(before * len(kinds) + after, return_inverse=True)
+                    keys = pair_context(kinds[pairs // len(kinds)], kinds[pairs % len(kinds)])
+                    of_context = (keys, *level.look_up(keys))
+                keys, seen, left = of_context
+                grams, at, to = np.unique(context * len(kinds) + word, return_index=True, return_inverse=True)
+                first, second = grams // len(kinds), grams % len(kinds)
+                share = level.shares(keys[first], (kinds[second] & _MASK32).astype(np.uint32))
+                p, which = share * model.n / np.maximum(seen[first], 1) + left[first] * p[which[at]], to
             begins = np.concatenate([[0], ends[:-1]])
             add = lambda x: pa.array(np.add.reduceat(x, begins) if len(ends) else np.zeros(0, x.dtype))
             sizes = pa.array(np.diff(np.concatenate([[0], ends])))
@@ -341,6 +381,6 @@ def score(docs: DataFrame, trie: Trie) -> DataFrame:
 
 def op6_ngram_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    trie = build_trie(docs.filter(folds(F.col("doc_id"), 10) != 0))
+    trie = build_trie(docs.filter(folds(F.col("doc_id"), 10) != 0), min_count=1, order=3)
     done = score(docs, trie)
     return done.select("doc_id", (folds(F.col("doc_id"), 10) == 0).alias("held_out"), "n_tokens", "n_known", F.lit(trie.n).cast("long").alias("train_tokens"), "base_score", "score")

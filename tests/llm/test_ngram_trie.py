@@ -85,3 +85,47 @@ def test_empty_table(spark, tmp_path):
 def test_model_beats_the_base_on_held_out_documents(spark):
     rows = op6_ngram_trie(spark, "/root/testdata/sf0.001").filter("held_out").agg({"score": "sum", "base_score": "sum"}).first()
     assert rows["sum(score)"] > rows["sum(base_score)"]
+
+
+def brute_three(rows, train):
+    """Scores of order 3 from counts of all n-grams, none left out."""
+    def tokens(t):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in (t or ""))
+        return low.encode().split() + [b"</s>"]
+
+    c, grams, heads, kinds = Counter(), Counter(), Counter(), Counter()
+    for t in train:
+        w = [b"<s>", b"<s>", *tokens(t)]
+        c.update(w[2:])
+        for k in range(2, len(w)):
+            for h in (w[k - 1 : k], w[k - 2 : k]):
+                grams[*h, w[k]] += 1
+                heads[tuple(h)] += 1
+                kinds[tuple(h)] += grams[*h, w[k]] == 1
+    n, v, out = sum(c.values()), len(c), {}
+    for i, t in rows:
+        w, total = [b"<s>", b"<s>", *tokens(t)], 0.0
+        for k in range(2, len(w)):
+            p = (c[w[k]] + 0.1) / (n + 0.1 * (v + 1))
+            for h in (w[k - 1 : k], w[k - 2 : k]):
+                if seen := heads[tuple(h)]:
+                    p = (max(grams[*h, w[k]] - DISCOUNT, 0) + DISCOUNT * kinds[tuple(h)] * p) / seen
+            total += math.log10(p)
+        out[i] = total
+    return out
+
+
+@pytest.mark.parametrize("shard_rows", [None, 300])
+def test_query_keeps_every_pair_and_triple(spark, tmp_path, monkeypatch, shard_rows):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").limit(60)
+    rows = [tuple(r) for r in docs.collect()] + [(100_000, None), (100_001, ""), (100_002, "ZZZ neverseen"), (100_003, "once only once"), (100_004, "once only once")]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    if shard_rows:
+        import tapeloom.llm.ngram_trie as module
+
+        monkeypatch.setattr(module, "build_trie", lambda *a, **k: build_trie(*a, **k, shard_rows=shard_rows))
+    want = brute_three(rows, [t for i, t in rows if zlib.crc32(str(i).encode()) % 10 != 0])
+    found = op6_ngram_trie(spark, str(tmp_path)).collect()
+    assert len(found) == len(rows)
+    for r in found:
+        assert r["score"] == pytest.approx(want[r["doc_id"]], rel=2e-3, abs=0.02)
