@@ -177,7 +177,7 @@ def sweep_zones(s, d):
 
 @query()
 def bootstrap_interval(s, d):
-    return rounded(stats.bootstrap_sharpe(daily_hold(s, d), ["series"], resamples=200))
+    return rounded(stats.bootstrap_sharpe(daily_hold(s, d), ["series"]))
 
 
 @query(HOLD + """, x AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS up, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS down FROM da),

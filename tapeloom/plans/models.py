@@ -2,32 +2,55 @@
 
 from __future__ import annotations
 
+import functools
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators import features, models
 
 
+#: Rows a coin needs for a model of its own, as in the study.
+COIN_ROWS = 200
+ROUNDS = 200
+
+
+def by_coin(rows: DataFrame, made) -> DataFrame:
+    """``made(rows of a coin)`` for every coin with ``COIN_ROWS`` rows or more, with the coin in front."""
+    rows = rows.persist()
+    coins = [r["coin"] for r in models.enough(rows, COIN_ROWS).select("coin").distinct().orderBy("coin").collect()]
+    parts = [made(rows.filter(F.col("coin") == c)).select(F.lit(c).alias("coin"), "*") for c in coins]
+    # Without such a coin: the columns of a fit are not known before one, so the rows' coins are the columns.
+    return functools.reduce(DataFrame.unionByName, parts) if parts else rows.select("coin").limit(0)
+
+
 def queries(legs_of, a) -> dict:
     def rows(s, d):
         return features.feature_matrix(*legs_of(s, d))
 
     def family_comparison(s, d):
-        return models.compare(rows(s, d), iterations=10, trees=20)
+        return by_coin(rows(s, d), models.compare)
 
     def magnitude_forecast(s, d):
-        return models.magnitude(rows(s, d), iterations=10)
+        return by_coin(rows(s, d), lambda x: models.magnitude(x, iterations=ROUNDS))
 
     def tape_ablation(s, d):
         tape = features.tape_features(a.quotes(s, d), a.trades(s, d), a.contexts(s, d))
         by_hour = tape.groupBy("hour").agg(*[F.avg(c).alias(c) for c in features.TAPE_FEATURES]).withColumn("coin", F.explode(F.array(F.lit("0"), F.lit("1"))))
         both = features.fused(rows(s, d), by_hour, features.TAPE_FEATURES)
-        plain = models.compare(both, iterations=5, trees=10).withColumn("columns", F.lit("candle"))
-        fused = models.compare(both, columns=[*features.FEATURES, *features.TAPE_FEATURES], iterations=5, trees=10)
-        return plain.unionByName(fused.withColumn("columns", F.lit("candle_tape")))
+        sets = {"candle": features.FEATURES, "candle_tape": [*features.FEATURES, *features.TAPE_FEATURES]}
+
+        def made(x):
+            return functools.reduce(DataFrame.unionByName, [models.compare(x, columns=c).withColumn("columns", F.lit(n)) for n, c in sets.items()])
+
+        return by_coin(both, made)
 
     def sign_drivers(s, d):
-        model, _, test = models.train_sign_model(rows(s, d), iterations=10)
-        return models.mean_drivers(models.tree_attribution(model, test), 5)
+        def made(x):
+            model, _, test = models.train_sign_model(x, iterations=ROUNDS)
+            return models.mean_drivers(models.tree_attribution(model, test), 5)
+
+        return by_coin(rows(s, d), made)
 
     def row_drivers(s, d):
         train, test = models.split(rows(s, d))
@@ -35,7 +58,7 @@ def queries(legs_of, a) -> dict:
         return models.top_drivers(models.logistic_attribution(model, test), 3)
 
     def driver_stability(s, d):
-        return models.stability(rows(s, d), [1, 2, 3], iterations=3)
+        return by_coin(rows(s, d), lambda x: models.stability(x, [0, 1, 2, 3, 4], iterations=ROUNDS))
 
     def majority_baseline(s, d):
         train, test = models.split(rows(s, d))
