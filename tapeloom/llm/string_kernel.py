@@ -202,7 +202,29 @@ def op3_string_kernel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", held_out.alias("held_out"), F.col("__lang").alias("lang_pred"), F.col("__score").alias("score"))
 
 
-def keep_identified(docs: DataFrame, min_score: float = 0.05) -> DataFrame:
-    """Pipeline stage: documents with a language, predicted with ``min_score`` or more."""
-    done = predict(docs, fit(training_rows(docs)))
-    return done.filter((F.col("__lang") != "und") & (F.col("__score") >= min_score)).select(*docs.columns)
+def rejection_score(docs: DataFrame, model: Model, share: float = 0.001, least_rows: int = 1000) -> float:
+    """The score that all but ``share`` of the right predictions of labelled rows outside the fit reach.
+
+    Rounded down to thousandths. Below ``least_rows`` right predictions such a quantile is not known, and
+    the score is 0: only texts without a language are told apart then.
+    """
+    held_out = docs.filter((folds(F.col("doc_id"), 3) == 1) & F.col("lang").isNotNull()).select("text", "lang")
+    right = predict(held_out, model).filter(F.col("__lang") == F.col("lang"))
+    bins = right.groupBy(F.floor(F.col("__score") * 1000).cast("long").alias("bin")).count().orderBy("bin").collect()
+    total = sum(r["count"] for r in bins)
+    if total < least_rows:
+        return 0.0
+    below = 0
+    for r in bins:
+        below += r["count"]
+        if below > share * total:
+            return r["bin"] / 1000
+    return 0.0
+
+
+def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
+    """Pipeline stage: documents with a language, predicted with ``min_score`` (else ``rejection_score``) or more."""
+    model = fit(training_rows(docs))
+    least = rejection_score(docs, model) if min_score is None else min_score
+    done = predict(docs, model)
+    return done.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
