@@ -14,6 +14,8 @@ import numpy as np
 _ONE = np.uint64(1)
 _FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
 STEP = 64
+#: Values searched for at once.
+SLICE = 1 << 15
 
 
 def _select(words: np.ndarray, samples: np.ndarray, k: np.ndarray, ones: bool) -> np.ndarray:
@@ -58,21 +60,38 @@ class EliasFano:
         low_bits = max(0, (int(top) // max(n, 1)).bit_length() - 1)
         high = (values >> np.uint64(low_bits)).astype(np.int64) if n else np.zeros(0, np.int64)
         size = n + (int(top) >> low_bits) + 2
-        bits = np.zeros(size // 64 + 2, np.uint64)
+        flat = np.zeros((size // 64 + 2) * 64, bool)
         at = high + np.arange(n)
-        np.bitwise_or.at(bits, at >> 6, _ONE << (at & 63).astype(np.uint64))
-        flat = np.unpackbits(bits.view(np.uint8), bitorder="little")[:size]
-        ones, zeros = np.flatnonzero(flat)[::STEP], np.flatnonzero(flat == 0)[::STEP]
+        flat[at] = True
+        bits = np.packbits(flat, bitorder="little").view(np.uint64)
+        ones, zeros = at[::STEP], np.flatnonzero(~flat[:size])[::STEP]
         low = np.zeros(n * low_bits // 64 + 2, np.uint64)
         if low_bits and n:
             part = values & np.uint64((1 << low_bits) - 1)
             off = np.arange(n, dtype=np.int64) * low_bits
             word, shift = off >> 6, (off & 63).astype(np.uint64)
-            np.bitwise_or.at(low, word, part << shift)
-            over = np.flatnonzero((off & 63) + low_bits > 64)
-            np.bitwise_or.at(low, word[over] + 1, part[over] >> (np.uint64(64) - shift[over]))
+            first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            low[word[first]] = np.bitwise_or.reduceat(part << shift, first)
+            over = np.flatnonzero((off & 63) + low_bits > 64)  # at most one a word
+            low[word[over] + 1] |= part[over] >> (np.uint64(64) - shift[over])
         return cls(n, low_bits, low, bits, ones.astype(np.uint32), zeros.astype(np.uint32))
 
+    def values(self) -> np.ndarray:
+        """All elements in order."""
+        at = np.flatnonzero(np.unpackbits(self.high.view(np.uint8), bitorder="little"))
+        i = np.arange(self.n)
+        return (at - i).astype(np.uint64) << np.uint64(self.low_bits) | self.lows(i)
+
+    def to_bytes(self) -> bytes:
+        """A short form without samples, to be read whole by ``from_bytes``."""
+        return np.array([self.n, self.low_bits, len(self.low)], np.int64).tobytes() + self.low.tobytes() + self.high.tobytes()
+
+    @classmethod
+    def from_bytes(cls, raw: bytes) -> EliasFano:
+        n, low_bits, size = np.frombuffer(raw, np.int64, 3).tolist()
+        words = np.frombuffer(raw, np.uint64, offset=24)
+        return cls(n, low_bits, words[:size], words[size:], *(np.zeros(0, np.uint32),) * 2)
+
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:
             return np.zeros(len(i), np.uint64)
@@ -93,6 +112,9 @@ class EliasFano:
         """
         if not self.n:
             return np.zeros(len(values), np.int64), np.zeros(len(values), bool)
+        if len(values) > SLICE:  # what is worked on stays in a core's cache
+            slices = [self.successor(values[k : k + SLICE]) for k in range(0, len(values), SLICE)]
+            return np.concatenate([x[0] for x in slices]), np.concatenate([x[1] for x in slices])
         values = values.astype(np.uint64)
         high = (values >> np.uint64(self.low_bits)).astype(np.int64)
         end = _select(self.high, self.zeros, high, False) - high
