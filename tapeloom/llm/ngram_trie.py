@@ -51,6 +51,8 @@ DISCOUNT = 0.75
 SHARD_ROWS = 6_000_000
 #: Distinct words that a counting task gathers before it passes sums on.
 GATHERED = 2_000_000
+#: Bytes of texts that are split together.
+TEXT_BYTES = 8 << 20
 #: Tokens that are looked up together.
 CHUNK = 1_500_000
 #: Counts below this are kept as they are, others in so many steps of a power of ten.
@@ -64,7 +66,7 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     """``(codes, sizes, kinds)``: all tokens as places in ``kinds``, whose last is the end that closes each text."""
     lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))  # at 0x20 and 0x09-0x0D
     coded = lists.flatten().dictionary_encode()
-    codes, kinds = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_pylist()
+    codes, kinds = coded.indices.to_numpy(), coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
     held = np.diff(lists.offsets.to_numpy())
     blank = kinds.index(b"") if b"" in kinds else -1
     real = codes != blank
@@ -76,6 +78,19 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
     return out, sizes, [*kinds, END]
 
 
+def gathered(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
+    """Batches joined until their texts, column ``at``, have ``TEXT_BYTES``: words that repeat are then hashed once."""
+    held, size = [], 0
+    for b in batches:
+        held.append(b)
+        size += b.column(at).nbytes
+        if size >= TEXT_BYTES:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+    if held:
+        yield pa.concat_batches(held)
+
+
 def word_hashes(kinds: list[bytes]) -> np.ndarray:
     """64-bit hashes in the order of level 1."""
     import xxhash
@@ -113,7 +128,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             k, c = _summed(keys, counts)
             return pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c)], ["h", "c"])
 
-        for b in batches:
+        for b in gathered(batches, 0):
             codes, _, kinds = split_words(b.column(0))
             c = np.bincount(codes, minlength=len(kinds))
             keys.append(word_hashes(kinds)[c > 0])
@@ -239,10 +254,10 @@ class Words:
         """Counts of words by number, of texts for start symbols, and 0 for unknown words."""
         out = np.where(number >= self.v, float(self.texts), 0.0)
         order = sorted(self.files.values(), key=lambda x: x[1])
-        of_file = np.searchsorted(np.array([first for _, first in order], np.int64), number, "right") - 1
-        of_file[(number < 0) | (number >= self.v)] = -1
-        for k in np.unique(of_file[of_file >= 0]).tolist():
-            at = np.flatnonzero(of_file == k)
+        live = np.flatnonzero((number >= 0) & (number < self.v))
+        of_file = np.searchsorted(np.array([first for _, first in order], np.int64), number[live], "right") - 1
+        for k in np.unique(of_file).tolist() if len(order) > 1 else range(len(order)):
+            at = live[of_file == k] if len(order) > 1 else live
             out[at] = map_arrays(order[k][0])["count"][number[at] - order[k][1]]
         return out
 
@@ -282,7 +297,7 @@ def encode(docs: DataFrame, words: Words) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w = shared.value
         floor = w.n + 0.1 * (w.v + 1)
-        for b in batches:
+        for b in gathered(batches, len(others)):
             codes, sizes, kinds = split_words(b.column(len(others)))
             number = w.numbers(word_hashes(kinds))
             count = w.counts(number)
@@ -458,11 +473,10 @@ class Trie:
     def log_probabilities(self, flat: np.ndarray, begins: np.ndarray) -> np.ndarray:
         """log10 of each token's probability; 0 at start symbols."""
         w = self.words
-        kinds, to = np.unique(flat, return_inverse=True)
-        known = np.where(kinds < w.v + self.order - 1, kinds, -1)
-        count = w.counts(known)[to]
+        known = np.where(flat < w.v + self.order - 1, flat, -1)
+        count = w.counts(known)
         p = (np.where(flat < w.v, count, 0.0) + 0.1) / (w.n + 0.1 * (w.v + 1))
-        context, seen = self.contexts(np.where(flat < w.v + self.order - 1, flat, -1), begins), np.append(0.0, count[:-1])
+        context, seen = self.contexts(known, begins), np.append(0.0, count[:-1])
         for level in self.levels:
             node, count, held = level.find(context, flat)
             at = np.flatnonzero(held)
