@@ -5,7 +5,7 @@ import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tapeloom.llm.column_bwt import anchors, collection_bwt, gram_hashes, op7_column_bwt, without_repeats
+from tapeloom.llm.column_bwt import anchors, collection_bwt, gram_hashes, op7_column_bwt, stretches, without_repeats
 
 SCHEMA = "doc_id bigint, text string, more string"
 
@@ -73,6 +73,33 @@ def test_edge_cases_match_brute_force(spark):
     assert results(without_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 100)
 
 
+def test_hot_anchors_are_dealt_out(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdef é") for _ in range(n))
+    passage, sides = word(240), [word(45) for _ in range(4)]
+    rows = [(i, word(rng.randrange(40)) + rng.choice(sides)[rng.randrange(45) :] + passage[rng.randrange(60) : 240 - rng.randrange(80)] + rng.choice(sides)[: rng.randrange(45)] + word(30), "") for i in range(90)]
+    rows += [(200 + i, rows[i][1][i:], "") for i in range(40)]
+    want = brute(rows, 100)
+    df = spark.createDataFrame(rows, SCHEMA)
+    for hot in (1, 3, 20):
+        assert results(without_repeats(df, hot=hot)) == want
+
+
+def test_stretches_hold_every_beginning():
+    for level in range(7):
+        found = stretches(60, level)
+        assert [x for lo, hi in found for x in range(lo, hi + 1)] == list(range(61))
+        assert len(found) == min(2**level, 61)
+
+
+def test_very_long_text(spark):
+    """A text of a megabyte that holds passages of its own and of another, against brute force."""
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefghijklmnop \n", k=1_000_000))
+    rows = [(2, long[:600_000] + long[1000:1400] + long[600_000:], ""), (1, long[300_000:300_450] + "x" + long[700_000:700_099], "")]
+    assert results(without_repeats(spark.createDataFrame(rows, SCHEMA))) == brute(rows, 100)
+
+
 def test_repeated_rows_return_alike(spark):
     text = "".join(random.Random(1).choices("abcdefgh ", k=400))
     rows = [(1, text, ""), (1, text, ""), (2, text, "")]
