@@ -5,10 +5,11 @@ import re
 import zlib
 from collections import defaultdict
 
+import duckdb
 import pytest
 
-from tapeloom.llm import bpe, gif
-from tapeloom.llm.queries import QUERIES
+from tapeloom.llm import bpe, gif, unit_dedup
+from tapeloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import cases
 
 UP = {ord(c): chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -99,22 +100,55 @@ def test_contamination(spark, folder, rows):
     assert got(spark, folder, "op5_positional_index", *columns) == sorted(want, key=repr)
 
 
-def test_unit_hashing(spark, folder, rows):
-    seen, want = {}, []
-    keyed = sorted({(i is None, i or 0, t or "") for i, t in rows})
-    spark_row = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for _, t in rows], "t string").selectExpr("t", "xxhash64(t) h").distinct().collect()}
-    for last, i, t in sorted(keyed, key=lambda k: (k[0], k[1], spark_row.get(k[2], 0))):
-        for p, line in enumerate(t.split("\n")):
-            k = re.sub(f"[{BLANKS}]+", " ", line).strip(" ").translate(UP)
-            if len(k.split(" ")) >= 8:
-                seen.setdefault(k, (last, i, t, p))
+def brute_units(rows, order, pattern, least):
+    """``(id, units, removed, digest of what is kept)``; ``order`` ranks different texts of one id."""
+    key = lambda u: re.sub(f"[{BLANKS}]+", " ", u).strip(" ").translate(UP)
+    first = {}
+    for last, i, t in sorted({(i is None, i or 0, t or "") for i, t in rows}, key=lambda k: (k[0], k[1], order.get(k[2], 0))):
+        for p, u in enumerate(re.findall(pattern, t)):
+            first.setdefault(key(u), (last, i, t, p))
+    out = []
     for i, t in rows:
-        lines, gone = (t or "").split("\n"), []
-        for p, line in enumerate(lines):
-            k = re.sub(f"[{BLANKS}]+", " ", line).strip(" ").translate(UP)
-            gone.append(k in seen and seen[k] != (i is None, i or 0, t or "", p))
-        want.append((i, len(lines), sum(gone), sha("\n".join(x for x, g in zip(lines, gone) if not g))))
-    assert got(spark, folder, "op8_unit_hashing", "doc_id", "n_units", "n_removed", "kept_sha256") == sorted(want, key=repr)
+        units = re.findall(pattern, t or "")
+        assert "".join(units) == (t or "")
+        again = [bool(key(u)) and first[key(u)] != (i is None, i or 0, t or "", p) for p, u in enumerate(units)]
+        gone = set()
+        for p in range(len(units)):
+            for q in range(p, len(units)):
+                if not again[q]:
+                    break
+                if sum(len(key(u)) for u in units[p : q + 1]) >= least:
+                    gone |= set(range(p, q + 1))
+        out.append((i, len(units), len(gone), sha("".join(u for p, u in enumerate(units) if p not in gone))))
+    return sorted(out, key=repr)
+
+
+@pytest.mark.parametrize("unit,least", [("sentence", 150), ("sentence", 1), ("line", 40), ("paragraph", 1)])
+def test_unit_hashing(spark, tmp_path, rows, unit, least):
+    kana, passage = "かな" * 90, ". ".join(f"shared sentence number {k} of a passage" for k in range(9))
+    rows = [*(r for r in rows if r[0] not in (6, 17)), (30, kana + "。end"), (31, "start。" + kana + "。other"), (32, f"own words {passage}. more"), (33, f"A b.\n\n  {passage.upper()}! Then\n \nx"),
+            (34, "shared sentence number 3 of a passage"), (35, "  \n one.\n\ntwo three\n \t\n\nfour."), (36, "one. two three. four."), (None, passage), (37, "...!? 3.14 a.b")]
+    docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id bigint, text string, units string, pos int")
+    order = {r["t"]: r["h"] for r in docs.selectExpr("text t", "xxhash64(text) h").distinct().collect()}
+    found = unit_dedup.dedup_units(docs, unit, least).collect()
+    want = brute_units(rows, order, unit_dedup.UNITS[unit], least)
+    assert sorted(((r["doc_id"], r["n_units"], len(r["removed"]), sha(r["text"])) for r in found), key=repr) == want
+    if unit == "sentence":
+        assert sum(x[2] > 0 for x in want) >= 4
+    for r in found:  # what is kept and removed covers the original text
+        text = next((t for i, t in rows if i == r["doc_id"] and len(t or "") == max([x["end"] for x in [*r["kept"], *r["removed"]]], default=0)), "") or ""
+        assert "".join(text[x["start"] : x["end"]] for x in r["kept"]) == r["text"]
+
+
+def test_unit_hashing_query_matches_its_sql(spark, tmp_path):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    columns = ("doc_id", "n_units", "n_removed", "removed_spans", "kept_sha256")
+    want = con.execute(f"SELECT {', '.join(columns)} FROM ({ORACLE_SQL['op8_unit_hashing']})").fetchall()
+    assert got(spark, str(tmp_path), "op8_unit_hashing", *columns) == sorted(want, key=repr)
+    assert any(r[2] for r in want)
 
 
 def test_line_runs(spark, folder, rows):
