@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tapeloom.operators.align import safe_ratio
+from tapeloom.operators.align import day_of, safe_ratio
+from tapeloom.operators.stats import annualised
 
 
 def dispersion(panel: DataFrame, look: int = 720, hold: int = 720, min_alive: int = 10, coverage: float = 0.9) -> DataFrame:
@@ -33,3 +34,11 @@ def dispersion(panel: DataFrame, look: int = 720, hold: int = 720, min_alive: in
     seg = held.join(picks, ["block", "coin"]).groupBy("block", "hour").agg(
         F.avg(F.when(F.col("side") == -1, F.col("pnl"))).alias("high"), F.avg(F.when(F.col("side") == 1, F.col("pnl"))).alias("low"))
     return seg.select("block", "hour", ((F.col("low") - F.col("high")) / 2).alias("ret")).filter("ret is not null")
+
+
+def dispersion_risk(hourly: DataFrame, hold_days: float, round_trip: float) -> DataFrame:
+    """One row: days, gross and net Sharpe and APR. A block's days are its own; net of both legs re-entered in every block."""
+    daily = hourly.groupBy(F.lit("dispersion").alias("series"), "block", day_of("hour").alias("day")).agg(F.sum("ret").alias("ret"))
+    daily = daily.withColumn("net", F.col("ret") - 2 * round_trip / hold_days)
+    gross, net = (annualised(daily, ["series"], c).select("series", "n", F.col("sharpe").alias(f"{k}_sharpe"), F.col("apr").alias(f"{k}_apr")) for c, k in (("ret", "gross"), ("net", "net")))
+    return gross.join(net.drop("n"), "series")

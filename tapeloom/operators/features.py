@@ -11,39 +11,41 @@ from tapeloom.operators.align import DAY_MS, HOUR_MS, by_time, leg_panel, outer_
 from tapeloom.operators.bars import hourly_context, hourly_quotes, hourly_taker
 from tapeloom.operators.flow import hourly_cohort
 
+#: Rows that returns and lags look back, and rows of a rolling value.
+RETURNS, LAGS, ROLLED = (1, 24), (1, 4, 24), 24
+#: The 18 model inputs; the current funding rate is not one.
 FEATURES = [
-    "basis", "funding_rate", "spot_ret_1", "spot_ret_24", "perp_ret_1", "perp_ret_24",
-    "basis_lag_1", "basis_lag_4", "basis_lag_24", "funding_lag_1", "funding_lag_4", "funding_lag_24",
-    "basis_std_24", "funding_mean_24", "hour_sin", "hour_cos", "dow_sin", "dow_cos",
+    "basis", *[f"{leg}_ret_{k}" for k in RETURNS for leg in ("spot", "perp")], *[f"{of}_lag_{k}" for of in ("basis", "funding") for k in LAGS],
+    *[f"{of}_{ROLLED}" for of in ("basis_std", "funding_mean", "funding_std")], *[f"{of}_{f}" for of in ("hour", "dow") for f in ("sin", "cos")],
 ]
 TAPE_FEATURES = ["obi_mean", "spread_bps_mean", "taker_imbalance", "premium_mean", "premium_last"]
 
 
 def feature_matrix(spot: DataFrame, perp: DataFrame, funding: DataFrame, complete: bool = True) -> DataFrame:
-    """``(coin, hour, features, target_fund, label)``; with ``complete``, rows without a null only."""
+    """``(coin, hour, features, funding_rate, target_fund, label)``; with ``complete``, rows without a null only."""
     w = by_time(["coin"], "hour")
-    back = w.rowsBetween(-23, 0)
+    back = w.rowsBetween(1 - ROLLED, 0)
 
     def rolled(f, c: str):
-        return F.when(F.count(c).over(back) == 24, f(c).over(back))
+        return F.when(F.count(c).over(back) == ROLLED, f(c).over(back))
 
     p = leg_panel(spot, perp, funding).withColumn("basis", safe_ratio(F.col("perp") - F.col("spot"), F.col("spot")))
     cols = {}
     for leg in ("spot", "perp"):
-        for k in (1, 24):
+        for k in RETURNS:
             cols[f"{leg}_ret_{k}"] = safe_ratio(F.col(leg), F.lag(leg, k).over(w)) - 1
     for name, c in (("basis", "basis"), ("funding", "funding_rate")):
-        for k in (1, 4, 24):
+        for k in LAGS:
             cols[f"{name}_lag_{k}"] = F.lag(c, k).over(w)
-    cols["basis_std_24"] = rolled(F.stddev_samp, "basis")
-    cols["funding_mean_24"] = rolled(F.avg, "funding_rate")
+    for of, f, c in (("basis_std", F.stddev_samp, "basis"), ("funding_mean", F.avg, "funding_rate"), ("funding_std", F.stddev_samp, "funding_rate")):
+        cols[f"{of}_{ROLLED}"] = rolled(f, c)
     hour = F.floor(F.col("hour") / HOUR_MS) % 24
     weekday = (F.floor(F.col("hour") / DAY_MS) + 3) % 7  # 1970-01-01 was a Thursday; Monday is 0
     for name, x, n in (("hour", hour, 24), ("dow", weekday, 7)):
         cols[f"{name}_sin"], cols[f"{name}_cos"] = F.sin(x * (2 * math.pi / n)), F.cos(x * (2 * math.pi / n))
     cols["target_fund"] = F.lead("funding_rate").over(w)
     out = p.withColumns(cols).withColumn("label", (F.col("target_fund") > 0).cast("int"))
-    out = out.select("coin", "hour", *FEATURES, "target_fund", "label")
+    out = out.select("coin", "hour", *FEATURES, "funding_rate", "target_fund", "label")
     return out.dropna(subset=[*FEATURES, "target_fund"]) if complete else out
 
 

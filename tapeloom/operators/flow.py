@@ -6,25 +6,46 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.align import HOUR_MS, bucket, ms_window, safe_ratio
+from tapeloom.operators.bars import rolling_sum
+from tapeloom.operators.ic import top_decile, with_horizons
 
-#: Wallets of a cohort up to which its table is broadcast; callers count it.
-COHORT_ROWS = 1_000_000
+#: Wallets of a cohort up to which its table is broadcast: some 20 MB of 42-character addresses.
+COHORT_ROWS = 200_000
 
 
-def _cohort(smart: DataFrame, name: str) -> DataFrame:
-    wallets = smart.select(F.col("wallet").alias(name)).distinct().withColumn(f"in_{name}", F.lit(True))
-    return F.broadcast(wallets) if smart.limit(COHORT_ROWS + 1).count() <= COHORT_ROWS else wallets
+def _cohort(smart: DataFrame, *names: str) -> list[DataFrame]:
+    """The cohort's wallets under each name, flagged; counted once, and broadcast where they are few."""
+    few = smart.limit(COHORT_ROWS + 1).count() <= COHORT_ROWS
+    each = [smart.select(F.col("wallet").alias(n)).distinct().withColumn(f"in_{n}", F.lit(True)) for n in names]
+    return [F.broadcast(x) if few else x for x in each]
 
 
 def signed_flows(trades: DataFrame, smart: DataFrame) -> DataFrame:
     """``inf_net``: + notional if the buyer is in the cohort, - if the seller is; ``taker``: aggressor's sign."""
-    t = trades.join(_cohort(smart, "users_buyer"), "users_buyer", "left").join(_cohort(smart, "users_seller"), "users_seller", "left")
+    buyers, sellers = _cohort(smart, "users_buyer", "users_seller")
+    t = trades.join(buyers, "users_buyer", "left").join(sellers, "users_seller", "left")
     part = lambda flag: F.when(F.col(flag), F.col("notional")).otherwise(0.0)
     return t.select(
         "coin", "trade_ms", "tid", "px", "notional", (part("in_users_buyer") - part("in_users_seller")).alias("inf_net"),
         F.when(F.col("side") == "B", F.col("notional")).otherwise(-F.col("notional")).alias("taker"))
 
 
+def flow_rates(flow_bars: DataFrame, rows: int = 4, places: int = 3) -> DataFrame:
+    """``(coin, bar, px, inf_rate, taker_rate)``: cohort and taker flow summed over ``rows`` bars, null until these are there."""
+    rate = lambda c: F.round(rolling_sum(c, rows, ["coin"], "bar"), places)
+    return flow_bars.select("coin", "bar", "px", rate("inf_net").alias("inf_rate"), rate("taker").alias("taker_rate"))
+
+
+def informed_edge(rates: DataFrame, spreads: DataFrame, horizon: int, fee_bps: float, min_bars: int = 200) -> DataFrame:
+    """``(coin, bars, move_bps, spread_bps, cost_bps, edge_bps)``: the mean move after top-decile cohort flow against a round trip."""
+    pairs = with_horizons(rates, "px", {"h": horizon}, "inf_rate")
+    moves = top_decile(pairs, ["coin"], "signal", "fwd").select("coin", F.col("move").alias("move_bps"))
+    counts = rates.groupBy("coin").agg(F.count("*").alias("bars")).filter(F.col("bars") >= min_bars)
+    out = counts.join(moves, "coin").join(spreads.select("coin", F.col("median_spread_bps").alias("spread_bps")), "coin")
+    cost = F.col("spread_bps") + 2 * fee_bps
+    return out.select("coin", "bars", "move_bps", "spread_bps", cost.alias("cost_bps"), (F.col("move_bps") - cost).alias("edge_bps"))
+
+
 def legs(trades: DataFrame) -> DataFrame:
     """Two rows a trade, the buyer's and the seller's, from one scan; absent wallets have no leg."""
     leg = lambda wallet, sign: F.struct(F.col(wallet).alias("wallet"), F.lit(sign).alias("sign"))
@@ -55,7 +76,7 @@ def wallet_labels(trades: DataFrame, marks: DataFrame, end_ms: int, min_legs: in
 
 def hourly_cohort(trades: DataFrame, smart: DataFrame) -> DataFrame:
     """``(coin, hour, cohort_net_share)`` over both legs."""
-    each = legs(trades).join(_cohort(smart, "wallet"), "wallet", "left")
+    each = legs(trades).join(*_cohort(smart, "wallet"), "wallet", "left")
     net = F.sum(F.when(F.col("in_wallet"), F.col("signed")).otherwise(0.0))
     return each.groupBy("coin", bucket("trade_ms", HOUR_MS).alias("hour")).agg(safe_ratio(net, F.sum("notional")).alias("cohort_net_share"))
 
@@ -66,7 +87,7 @@ def lean(net: Column) -> Column:
 
 def cohort_snapshot(trades: DataFrame, smart: DataFrame, start_ms: int = 0, end_ms: int = 1 << 62) -> DataFrame:
     """A row a coin: the cohort's net and turnover, its share of all turnover, and its lean."""
-    each = legs(ms_window(trades, "trade_ms", start_ms, end_ms)).join(_cohort(smart, "wallet"), "wallet", "left")
+    each = legs(ms_window(trades, "trade_ms", start_ms, end_ms)).join(*_cohort(smart, "wallet"), "wallet", "left")
     of_cohort = lambda c: F.sum(F.when(F.col("in_wallet"), c).otherwise(0.0))
     sums = each.groupBy("coin").agg(
         of_cohort(F.col("signed")).alias("net_notional"), of_cohort(F.col("notional")).alias("cohort_notional"), F.count_if("in_wallet").alias("n_legs"),

@@ -170,6 +170,13 @@ def mean_drivers(attributions: DataFrame, k: int = 5) -> DataFrame:
     return held.orderBy(F.desc("mean_abs"), "feature").limit(k)
 
 
+def sign_summary(model: PipelineModel, train: DataFrame, test: DataFrame, k: int = 5) -> DataFrame:
+    """``(feature, mean_abs, n_test, auc, accuracy, naive_accuracy)``: the first drivers and the skill behind them, beside the majority's."""
+    skill = scores(model, test, "boosted").select(F.col("n").alias("n_test"), "auc", "accuracy")
+    naive = majority_accuracy(train, test).select(F.col("accuracy").alias("naive_accuracy"))
+    return mean_drivers(tree_attribution(model, test), k).crossJoin(F.broadcast(skill)).crossJoin(F.broadcast(naive))
+
+
 def stability(rows: DataFrame, seeds: list[int], columns: list[str] = FEATURES, iterations: int = 20) -> DataFrame:
     """``(leader, lead_share)``: the most frequent first driver over refits."""
     leaders = None

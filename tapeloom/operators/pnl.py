@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.align import by_time, common_days, day_of, leg_panel, safe_ratio
-from tapeloom.operators.stats import annualised
+from tapeloom.operators.stats import annualised, deflation_bar, psr, psr_inputs
 
 DAYS = 365
 
@@ -113,6 +113,49 @@ def ladder(carry: DataFrame, drift: DataFrame, round_trip: float) -> DataFrame:
     return net_of_costs(each, round_trip, F.col("drag"), keys=("series", "rung")).drop("drag")
 
 
+def one_window(kinds: dict[str, DataFrame], exclude: tuple[str, ...]) -> DataFrame:
+    """``(kind, series, day, ret)`` on the days that every series of every kind has, with the equal-weight
+    baskets of each kind: of all its series, and without those of ``exclude``.
+    """
+    parts = [x.select(F.lit(kind).alias("kind"), "series", "day", "ret") for kind, x in kinds.items()]
+    both = parts[0]
+    for x in parts[1:]:
+        both = both.unionByName(x)
+    held = common_days(both.withColumn("of", F.concat_ws(":", "kind", "series")), "of").drop("of")
+    names = F.array(F.lit("BASKET"), F.when(~F.col("series").isin(list(exclude)), F.lit("BASKET_DROP")))
+    baskets = held.withColumn("name", F.explode(names)).filter("name is not null").groupBy("kind", F.col("name").alias("series"), "day").agg(F.avg("ret").alias("ret"))
+    return held.select("kind", "series", "day", "ret").unionByName(baskets)
+
+
+def window_rungs(window: DataFrame, round_trip: float) -> DataFrame:
+    """``(series, rung, day, ret, net)`` of every series and basket of ``one_window`` on each rung."""
+    rungs = F.array(*[F.struct(F.lit(r).alias("rung"), F.lit(k).alias("of"), F.lit(d).alias("drag")) for r, k, d in LADDER])
+    each = window.withColumn("r", F.explode(rungs)).filter("kind = r.of").select("series", "day", "ret", "r.rung", "r.drag")
+    return net_of_costs(each, round_trip, F.col("drag"), keys=("series", "rung")).drop("drag")
+
+
+#: Compared strategies: name, kind, series (None: the first one named) and daily drag in bps.
+BASELINES = [
+    ("buy_and_hold", "hold", None, 0.0), ("equal_weight_spot", "hold", "BASKET", 0.0), ("naive_carry", "carry", "BASKET_DROP", 0.0),
+    ("basis_drift", "drift", "BASKET_DROP", 0.0), ("realistic", "drift", "BASKET_DROP", 2.0), ("realistic_b", "drift", "BASKET_DROP", 1.0)]
+
+
+def strategy_baselines(window: DataFrame, first: str, round_trip: float) -> DataFrame:
+    """``(strategy, n, sharpe, apr, n_all, var_all, dsr_all, n_hedged, var_hedged, dsr_hedged)`` on one window.
+
+    Sharpes are deflated by all rungs of all series and baskets, and by the hedged rungs alone.
+    """
+    rows = F.array(*[F.struct(F.lit(n).alias("strategy"), F.lit(k).alias("of"), F.lit(x or first).alias("name"), F.lit(d).alias("drag")) for n, k, x, d in BASELINES])
+    each = window.withColumn("b", F.explode(rows)).filter("kind = b.of and series = b.name").select(F.col("b.strategy").alias("strategy"), "day", "ret", "b.drag")
+    net = net_of_costs(each, round_trip, F.col("drag"), keys=("strategy",))
+    trials = psr_inputs(window_rungs(window, round_trip), ["series", "rung"], "net")
+    out = annualised(net, ["strategy"], "net").select("strategy", "n", "sharpe", "apr").join(psr_inputs(net, ["strategy"], "net"), "strategy")
+    for name, kept in (("all", trials), ("hedged", trials.filter("rung <> 'funding_only'"))):
+        bar = deflation_bar(kept).select(F.col("n_trials").alias(f"n_{name}"), F.col("var_sr").alias(f"var_{name}"), F.col("sr_star").alias("bar"))
+        out = out.crossJoin(F.broadcast(bar)).withColumn(f"dsr_{name}", psr(*map(F.col, ("sr", "t", "skew", "kurt", "bar")))).drop("bar")
+    return out.select("strategy", "n", "sharpe", "apr", *[f"{c}_{k}" for k in ("all", "hedged") for c in ("n", "var", "dsr")])
+
+
 def with_fallback(preferred: DataFrame, other: DataFrame) -> DataFrame:
     """The preferred daily series of each name, the other only where there is none."""
     rest = other.join(preferred.select("series").distinct(), "series", "left_anti")
@@ -120,19 +163,28 @@ def with_fallback(preferred: DataFrame, other: DataFrame) -> DataFrame:
 
 
 def cost_sweep(daily: DataFrame, costs: DataFrame, round_trip: float) -> DataFrame:
-    """Annualised net Sharpe in every cell of ``costs (drift_bps, borrow_bps, fee_mult)``; the grid is small."""
-    cells = daily.crossJoin(F.broadcast(costs))
-    keys = ["series", "drift_bps", "borrow_bps", "fee_mult"]
-    net = net_of_costs(cells, F.lit(round_trip) * F.col("fee_mult"), F.col("drift_bps") + F.col("borrow_bps"), keys=tuple(keys))
-    return annualised(net, keys, "net")
+    """Annualised net Sharpe in every cell of ``costs (drift_bps, borrow_bps, fee_mult)``.
+
+    A cell takes the same from each day of a series, so means fall and deviations stay: the days are
+    aggregated once, and a row a series meets the grid.
+    """
+    sums = annualised(daily, ["series"]).select("series", "n", "apr", "vol")
+    cost = F.lit(round_trip) * F.col("fee_mult") / F.col("n") + (F.col("drift_bps") + F.col("borrow_bps")) / 10_000
+    apr = F.col("apr") - cost * DAYS
+    sharpe = F.when(F.col("vol") > 0, apr / F.col("vol")).otherwise(0.0)
+    return sums.crossJoin(costs).select("series", "drift_bps", "borrow_bps", "fee_mult", "n", sharpe.alias("sharpe"), apr.alias("apr"), "vol")
 
 
 def sweep_zones(cells: DataFrame) -> DataFrame:
-    """Per series: all cells, cells with a positive net Sharpe, and the plausible zone (drags of 2 bp at most, plain fees)."""
+    """Per series: all cells, cells with a positive net Sharpe, the plausible zone (drags of 2 bp at most, plain
+    fees), and the central (1 bp each), zero and stress (5 bp each, double fees) cells.
+    """
+    cell = lambda bps, fee: F.max(F.when((F.col("drift_bps") == bps) & (F.col("borrow_bps") == bps) & (F.col("fee_mult") == fee), F.col("sharpe")))
     plausible = (F.col("drift_bps") <= 2) & (F.col("borrow_bps") <= 2) & (F.col("fee_mult") == 1)
     return cells.groupBy("series").agg(
         F.count("*").alias("n_cells"), F.count_if(F.col("sharpe") > 0).alias("n_positive"), F.count_if(plausible).alias("n_plausible"),
-        F.count_if(plausible & (F.col("sharpe") > 0)).alias("n_plausible_positive"), F.median(F.when(plausible, F.col("sharpe"))).alias("plausible_median"))
+        F.count_if(plausible & (F.col("sharpe") > 0)).alias("n_plausible_positive"), F.median(F.when(plausible, F.col("sharpe"))).alias("plausible_median"),
+        cell(1, 1).alias("central_sharpe"), cell(0, 1).alias("zero_sharpe"), cell(5, 2).alias("stress_sharpe"))
 
 
 def carry_ledger(daily: DataFrame, fees: float, slip_in: Column | float, slip_out: Column | float, borrow_bps: float) -> DataFrame:

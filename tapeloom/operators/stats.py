@@ -33,8 +33,9 @@ def psr_inputs(daily: DataFrame, keys: list[str], value: str = "ret") -> DataFra
 
 
 def psr_z(sr: Column, t: Column, skew: Column, kurt: Column, sr_star: Column) -> Column:
-    """The argument of the normal distribution in the probabilistic Sharpe ratio."""
-    return (sr - sr_star) * F.sqrt(t - 1) / F.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr)
+    """The argument of the normal distribution in the probabilistic Sharpe ratio; the variance is 1e-12, the observations less one are 1, at least."""
+    variance = F.greatest(F.lit(1e-12), 1 - skew * sr + (kurt - 1) / 4 * sr * sr)
+    return (sr - sr_star) * F.sqrt(F.greatest(F.lit(1.0), t - 1.0)) / F.sqrt(variance)
 
 
 def psr(sr: Column, t: Column, skew: Column, kurt: Column, sr_star: Column) -> Column:
@@ -51,12 +52,16 @@ def expected_max_sharpe(var_sr: Column, n_trials: Column) -> Column:
 def deflated(daily: DataFrame, keys: list[str], value: str = "net") -> DataFrame:
     """Deflated Sharpe of every key, the keys being the trials: their count and Sharpe variance set the bar."""
     inputs = psr_inputs(daily, keys, value)
-    trials = inputs.agg(F.count("*").alias("n_trials"), F.coalesce(F.var_samp("sr"), F.lit(0.0)).alias("var_sr"))
-    bar = expected_max_sharpe(F.col("var_sr"), F.col("n_trials"))
-    with_bar = inputs.crossJoin(F.broadcast(trials.withColumn("sr_star", bar)))
+    with_bar = inputs.crossJoin(F.broadcast(deflation_bar(inputs)))
     return with_bar.withColumn("dsr", psr(F.col("sr"), F.col("t"), F.col("skew"), F.col("kurt"), F.col("sr_star")))
 
 
+def deflation_bar(trials: DataFrame) -> DataFrame:
+    """One row ``(n_trials, var_sr, sr_star)`` of trials with their ``sr``."""
+    sums = trials.agg(F.count("*").alias("n_trials"), F.coalesce(F.var_samp("sr"), F.lit(0.0)).alias("var_sr"))
+    return sums.withColumn("sr_star", expected_max_sharpe(F.col("var_sr"), F.col("n_trials")))
+
+
 def indexed(daily: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
     return daily.withColumn("i", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1)
 
@@ -64,14 +69,15 @@ def indexed(daily: DataFrame, keys: list[str], order: str = "day") -> DataFrame:
 def bootstrap_sharpe(daily: DataFrame, keys: list[str], value: str = "ret", resamples: int = 1000, block: int = 10, seed: int = 42, ci: float = 0.95) -> DataFrame:
     """``(keys, lo, hi)``: moving-block bootstrap interval of the annualised Sharpe.
 
-    Block starts are hashes of (seed, resample, block number), so partitioning never changes them. A
+    Block starts are MD5 sums of ``seed-resample-block``, so partitioning never changes them. A
     series shorter than a block is taken whole. Deviations inside a resample are of the population.
     """
     rows = indexed(daily.filter(F.col(value).isNotNull()), keys).select(*keys, "i", F.col(value).alias("v"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
     draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
-    start = F.pmod(F.xxhash64(F.lit(seed), "r", "b"), F.greatest(F.lit(1), F.col("n") - block + 1))
+    digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "r", "b")), 1, 8), 16, 10).cast("bigint")
+    start = F.pmod(digest, F.greatest(F.lit(1), F.col("n") - block + 1))
     at = draws.withColumn("s", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
     at = at.filter((F.col("b") * block + F.col("k") < F.col("n")) & (F.col("s") + F.col("k") < F.col("n"))).withColumn("i", (F.col("s") + F.col("k")).cast("int"))
     drawn = at.join(rows, [*keys, "i"]).groupBy(*keys, "r").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))

@@ -151,14 +151,18 @@ def trial_variance(s, d):
     return rounded(x.agg(F.count("*").alias("n_trials"), F.var_samp("sr").alias("var_sr")), 9)
 
 
+SWEPT = [0.0, 0.5, 1.0, 2.0, 5.0]
+
+
 def _cells(s, d):
-    grid = s.range(5).select(F.col("id").cast("double").alias("drift_bps")).crossJoin(s.range(5).select(F.col("id").cast("double").alias("borrow_bps")))
+    bps = s.createDataFrame([(x,) for x in SWEPT], "bps double")
+    grid = bps.select(F.col("bps").alias("drift_bps")).crossJoin(bps.select(F.col("bps").alias("borrow_bps")))
     grid = grid.crossJoin(s.range(1, 3).select(F.col("id").cast("double").alias("fee_mult")))
     return pnl.cost_sweep(daily_hold(s, d), grid, RT)
 
 
 SWEEP_SQL = HOLD + f""",
-g AS (SELECT CAST(x AS DOUBLE) AS drift_bps, CAST(y AS DOUBLE) AS borrow_bps, CAST(z AS DOUBLE) AS fee_mult FROM range(5) a(x), range(5) b(y), range(1, 3) c(z)),
+g AS (SELECT CAST(x AS DOUBLE) AS drift_bps, CAST(y AS DOUBLE) AS borrow_bps, CAST(z AS DOUBLE) AS fee_mult FROM (SELECT unnest({SWEPT})) a(x), (SELECT unnest({SWEPT})) b(y), range(1, 3) c(z)),
 ne AS (SELECT series, drift_bps, borrow_bps, fee_mult, ret - {RT!r} * fee_mult / count(*) OVER (PARTITION BY series, drift_bps, borrow_bps, fee_mult) - (drift_bps + borrow_bps) / 10000 AS net FROM da, g),
 ce AS (SELECT series, drift_bps, borrow_bps, fee_mult, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(net) * 365 AS apr, coalesce(stddev_samp(net), 0) * sqrt(365) AS vol FROM ne GROUP BY ALL)"""
 
@@ -169,13 +173,19 @@ def cost_sweep(s, d):
 
 
 @query(SWEEP_SQL + """ SELECT series, count(*) AS n_cells, count(*) FILTER (WHERE sharpe > 0) AS n_positive, count(*) FILTER (WHERE p) AS n_plausible,
-count(*) FILTER (WHERE p AND sharpe > 0) AS n_plausible_positive, round(median(sharpe) FILTER (WHERE p), 6) AS plausible_median
+count(*) FILTER (WHERE p AND sharpe > 0) AS n_plausible_positive, round(median(sharpe) FILTER (WHERE p), 6) AS plausible_median,
+round(max(sharpe) FILTER (WHERE drift_bps = 1 AND borrow_bps = 1 AND fee_mult = 1), 6) AS central_sharpe, round(max(sharpe) FILTER (WHERE drift_bps = 0 AND borrow_bps = 0 AND fee_mult = 1), 6) AS zero_sharpe,
+round(max(sharpe) FILTER (WHERE drift_bps = 5 AND borrow_bps = 5 AND fee_mult = 2), 6) AS stress_sharpe
 FROM (SELECT *, drift_bps <= 2 AND borrow_bps <= 2 AND fee_mult = 1 AS p FROM ce) GROUP BY series""")
 def sweep_zones(s, d):
     return rounded(pnl.sweep_zones(_cells(s, d)))
 
 
-@query()
+@query(HOLD + """, x AS (SELECT series, ret, row_number() OVER (PARTITION BY series ORDER BY day) - 1 AS i FROM da), n AS (SELECT series, count(*) AS n FROM x GROUP BY series),
+b AS (SELECT series, n, r, b, CAST('0x' || substr(md5('42-' || r || '-' || b), 1, 8) AS BIGINT) % greatest(1, n - 9) AS s FROM n, range(1000) t(r), range(100000) u(b) WHERE b < ceil(n / 10.0)),
+k AS (SELECT series, r, s + k AS i FROM b, range(10) v(k) WHERE b * 10 + k < n AND s + k < n),
+z AS (SELECT series, r, CASE WHEN stddev_pop(ret) > 0 THEN avg(ret) / stddev_pop(ret) * sqrt(365) ELSE 0 END AS sharpe FROM k JOIN x USING (series, i) GROUP BY series, r)
+SELECT series, round(quantile_cont(sharpe, 0.025), 6) AS lo, round(quantile_cont(sharpe, 0.975), 6) AS hi FROM z GROUP BY series""")
 def bootstrap_interval(s, d):
     return rounded(stats.bootstrap_sharpe(daily_hold(s, d), ["series"]))
 
@@ -193,6 +203,43 @@ def series_fallback(s, d):
     return rounded(pnl.with_fallback(daily_drift(s, d).filter("series = '0'"), pnl.to_daily(pnl.funding_carry(a.funding(s, d)))), 9)
 
 
+WINDOW_SQL = DRIFT + f""",
+hs AS (SELECT coin AS series, DATE '1970-01-01' + CAST(hour // 86400000 AS INT) AS day, arg_max(spot, hour) AS close FROM sp GROUP BY 1, 2),
+hr AS (SELECT series, day, close / nullif(lag(close) OVER (PARTITION BY series ORDER BY day), 0) - 1 AS ret FROM hs),
+un AS (SELECT 'carry' AS kind, series, day, ret FROM ca UNION ALL SELECT 'drift', series, day, ret FROM da UNION ALL SELECT 'hold', series, day, ret FROM hr WHERE ret IS NOT NULL),
+cd AS (SELECT day FROM un GROUP BY day HAVING count(DISTINCT kind || ':' || series) = (SELECT count(DISTINCT kind || ':' || series) FROM un)),
+co AS (SELECT kind, series, un.day, ret FROM un JOIN cd ON un.day = cd.day),
+he AS (SELECT * FROM co UNION ALL SELECT kind, 'BASKET', day, avg(ret) FROM co GROUP BY kind, day UNION ALL SELECT kind, 'BASKET_DROP', day, avg(ret) FROM co WHERE series <> '1' GROUP BY kind, day),
+rg AS (SELECT * FROM (VALUES ('funding_only', 'carry', 0.0), ('basis_drift', 'drift', 0.0), ('realistic', 'drift', 2.0), ('realistic_b', 'drift', 1.0)) AS t(rung, kind, drag)),
+rn AS (SELECT series, rung, day, ret - {RT!r} / count(*) OVER (PARTITION BY series, rung) - CAST(drag AS DOUBLE) / 10000 AS net FROM he JOIN rg USING (kind)),
+rs AS (SELECT series, rung, count(*) AS n, {SHARPE.format('net')} AS sharpe, avg(net) * 365 AS apr, CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END AS sr FROM rn GROUP BY series, rung)"""
+
+
+def _window(s, d):
+    hold = pnl.buy_and_hold(pnl.daily_last(a.spot(s, d), value="spot"))
+    return pnl.one_window({"carry": pnl.to_daily(pnl.funding_carry(a.funding(s, d))), "drift": daily_drift(s, d), "hold": hold}, exclude=("1",))
+
+
+@query(WINDOW_SQL + " SELECT series, rung, n, round(sharpe, 6) AS sharpe, round(apr, 6) AS apr FROM rs")
+def window_rungs(s, d):
+    return rounded(stats.annualised(pnl.window_rungs(_window(s, d), RT), ["series", "rung"], "net").drop("vol"))
+
+
+@query(WINDOW_SQL + f""", st AS (SELECT * FROM (VALUES ('buy_and_hold', 'hold', '0', 0.0), ('equal_weight_spot', 'hold', 'BASKET', 0.0), ('naive_carry', 'carry', 'BASKET_DROP', 0.0),
+('basis_drift', 'drift', 'BASKET_DROP', 0.0), ('realistic', 'drift', 'BASKET_DROP', 2.0), ('realistic_b', 'drift', 'BASKET_DROP', 1.0)) AS t(strategy, kind, series, drag)),
+sn AS (SELECT strategy, ret - {RT!r} / count(*) OVER (PARTITION BY strategy) - CAST(drag AS DOUBLE) / 10000 AS net FROM he JOIN st USING (kind, series)),
+tr AS (SELECT count(*) AS n_all, var_samp(sr) AS var_all, count(*) FILTER (WHERE rung <> 'funding_only') AS n_hedged, var_samp(sr) FILTER (WHERE rung <> 'funding_only') AS var_hedged FROM rs)
+SELECT strategy, count(*) AS n, round({SHARPE.format('net')}, 6) AS sharpe, round(avg(net) * 365, 6) AS apr, any_value(n_all) AS n_all, round(any_value(var_all), 6) AS var_all,
+any_value(n_hedged) AS n_hedged, round(any_value(var_hedged), 6) AS var_hedged FROM sn, tr GROUP BY strategy""")
+def strategy_baselines(s, d):
+    return rounded(pnl.strategy_baselines(_window(s, d), "0", RT).drop("dsr_all", "dsr_hedged"))
+
+
+@query()
+def baseline_deflation(s, d):
+    return rounded(pnl.strategy_baselines(_window(s, d), "0", RT).select("strategy", "dsr_all", "dsr_hedged"))
+
+
 # ---- bars, signals, flows ----
 
 @query(ctes("qu") + f""" SELECT coin, bbo_ms // {BAR} * {BAR} AS bar, round(avg((bid_sz - ask_sz) / nullif(bid_sz + ask_sz, 0)), 9) AS obi, round(arg_max((bid_px + ask_px) / 2, (bbo_ms, seq)), 9) AS mid,
@@ -239,6 +286,40 @@ def flow_bars(s, d):
     return rounded(bars.flow_bars(flow.signed_flows(a.trades(s, d), _smart(s, d)), BAR), 4)
 
 
+FLOW_HORIZONS = {"h1": 1, "h2": 2, "h10": 10, "h30": 30}
+RATE_SQL = LABEL_SQL + f""", fl AS (SELECT coin, trade_ms, tid, px, notional, CASE WHEN users_buyer IN (SELECT wallet FROM sm) THEN notional ELSE 0 END - CASE WHEN users_seller IN (SELECT wallet FROM sm) THEN notional ELSE 0 END AS inf,
+CASE WHEN side = 'B' THEN notional ELSE -notional END AS tk FROM tr),
+fb AS (SELECT coin, trade_ms // {BAR} * {BAR} AS bar, round(sum(inf), 4) AS inf_net, round(sum(tk), 4) AS taker, round(arg_max(px, (trade_ms, tid)), 4) AS px FROM fl GROUP BY 1, 2),
+ro AS (SELECT coin, bar, px, CASE WHEN count(inf_net) OVER r = 4 THEN round(sum(inf_net) OVER r, 3) END AS inf_rate, CASE WHEN count(taker) OVER r = 4 THEN round(sum(taker) OVER r, 3) END AS taker_rate
+FROM fb WINDOW r AS (PARTITION BY coin ORDER BY bar ROWS BETWEEN 3 PRECEDING AND CURRENT ROW))"""
+_FLOW_PAIRS = ", pr AS (" + " UNION ALL ".join(
+    f"SELECT coin, '{c}' AS rate, '{n}' AS horizon, {c} AS signal, (lead(px, {h}) OVER (PARTITION BY coin ORDER BY bar) / nullif(px, 0) - 1) * 10000 AS fwd FROM ro" for c in ("inf_rate", "taker_rate") for n, h in FLOW_HORIZONS.items()) + """),
+pp AS (SELECT * FROM pr WHERE fwd IS NOT NULL AND signal IS NOT NULL)"""
+
+
+def _rates(s, d):
+    return flow.flow_rates(flow_bars(s, d))
+
+
+@query(RATE_SQL + _FLOW_PAIRS + """, rk AS (SELECT coin, rate, horizon, rank() OVER (PARTITION BY coin, rate, horizon ORDER BY signal) + (count(*) OVER (PARTITION BY coin, rate, horizon, signal) - 1) / 2.0 AS rs,
+rank() OVER (PARTITION BY coin, rate, horizon ORDER BY fwd) + (count(*) OVER (PARTITION BY coin, rate, horizon, fwd) - 1) / 2.0 AS rf FROM pp)
+SELECT coin, rate, horizon, count(*) AS n, CASE WHEN count(*) >= 100 THEN round(corr(rs, rf), 6) END AS ic FROM rk GROUP BY 1, 2, 3""")
+def informed_flow_ic(s, d):
+    rates = _rates(s, d)
+    pairs = [ic.with_horizons(rates, "px", FLOW_HORIZONS, c).withColumn("rate", F.lit(c)) for c in ("inf_rate", "taker_rate")]
+    return rounded(ic.spearman(pairs[0].unionByName(pairs[1]), ["coin", "rate", "horizon"], "signal", "fwd"))
+
+
+@query(RATE_SQL + _FLOW_PAIRS + "," + ctes("qu")[5:].replace(a.CTES["ev"] + ",\n", "", 1) + f""",
+qb AS (SELECT coin, bbo_ms // {BAR} * {BAR} AS bar, round(avg((ask_px - bid_px) / nullif((ask_px + bid_px) / 2, 0)) * 10000, 6) AS spread_bps FROM qu GROUP BY 1, 2),
+sp AS (SELECT coin, median(spread_bps) AS spread FROM qb GROUP BY coin), nb AS (SELECT coin, count(*) AS bars FROM ro GROUP BY coin HAVING count(*) >= 200),
+pt AS (SELECT coin, signal, fwd FROM pp WHERE rate = 'inf_rate' AND horizon = 'h30'), cu AS (SELECT coin, quantile_cont(signal, 0.9) AS cut FROM pt GROUP BY coin),
+mv AS (SELECT coin, avg(fwd) AS move FROM pt JOIN cu USING (coin) WHERE signal >= cut GROUP BY coin)
+SELECT coin, bars, round(move, 4) AS move_bps, round(spread, 4) AS spread_bps, round(spread + 9, 4) AS cost_bps, round(move - spread - 9, 4) AS edge_bps FROM nb JOIN mv USING (coin) JOIN sp USING (coin)""")
+def informed_flow_edge(s, d):
+    return rounded(flow.informed_edge(_rates(s, d), book.median_spread(quote_bars(s, d)), 30, 4.5), 4)
+
+
 @query(LABEL_SQL + f""", al AS (SELECT coin, trade_ms, users_buyer AS w, notional AS sg, notional AS n FROM tr UNION ALL SELECT coin, trade_ms, users_seller, -notional, notional FROM tr),
 x AS (SELECT coin, sum(CASE WHEN w IN (SELECT wallet FROM sm) THEN sg ELSE 0 END) AS net, sum(CASE WHEN w IN (SELECT wallet FROM sm) THEN n ELSE 0 END) AS co,
 count(*) FILTER (WHERE w IN (SELECT wallet FROM sm)) AS n_legs, sum(n) AS tot, min(trade_ms) AS a, max(trade_ms) AS b FROM al WHERE trade_ms >= {MID_MS} AND trade_ms < {END_MS} GROUP BY coin)
@@ -349,9 +430,10 @@ def book_slippage(s, d):
     return rounded(book.slippage_summary(a.books(s, d), [10_000, 100_000]), 4)
 
 
-@query(BOOK_SQL + """ SELECT coin, captured_ms, round(mid, 8) AS mid, notional, round(slip, 6) AS slip FROM (SELECT *, row_number() OVER (PARTITION BY coin, notional ORDER BY captured_ms) AS r FROM s) WHERE (r - 1) % 60 = 0""")
+@query(BOOK_SQL + """ SELECT coin, captured_ms, round(mid, 8) AS mid, notional, round(slip, 6) AS slip FROM (SELECT *, row_number() OVER (PARTITION BY coin, captured_ms // 3600000, notional ORDER BY captured_ms) AS r FROM s) WHERE (r - 1) % 60 = 0""")
 def sampled_slippage(s, d):
-    held = book.every_nth(a.books(s, d), ["coin"], ["captured_ms"])
+    by_hour = a.books(s, d).withColumn("hour", F.floor(F.col("captured_ms") / 3_600_000))
+    held = book.every_nth(by_hour, ["coin", "hour"], ["captured_ms"])
     x = book.slippage(held, [10_000, 100_000])
     return x.select("coin", "captured_ms", F.round("mid", 8).alias("mid"), "notional", F.round("slip", 6).alias("slip"))
 
@@ -361,11 +443,11 @@ pl AS (SELECT mk.coin, mk.hour, spot, perp, coalesce(funding_rate, 0) AS f, (per
 x AS (SELECT coin, hour, b AS basis, f AS funding_rate,
  spot / nullif(lag(spot) OVER w, 0) - 1 AS spot_ret_1, spot / nullif(lag(spot, 24) OVER w, 0) - 1 AS spot_ret_24, perp / nullif(lag(perp) OVER w, 0) - 1 AS perp_ret_1, perp / nullif(lag(perp, 24) OVER w, 0) - 1 AS perp_ret_24,
  lag(b) OVER w AS basis_lag_1, lag(b, 4) OVER w AS basis_lag_4, lag(b, 24) OVER w AS basis_lag_24, lag(f) OVER w AS funding_lag_1, lag(f, 4) OVER w AS funding_lag_4, lag(f, 24) OVER w AS funding_lag_24,
- CASE WHEN count(b) OVER r = 24 THEN stddev_samp(b) OVER r END AS basis_std_24, CASE WHEN count(f) OVER r = 24 THEN avg(f) OVER r END AS funding_mean_24,
+ CASE WHEN count(b) OVER r = 24 THEN stddev_samp(b) OVER r END AS basis_std_24, CASE WHEN count(f) OVER r = 24 THEN avg(f) OVER r END AS funding_mean_24, CASE WHEN count(f) OVER r = 24 THEN stddev_samp(f) OVER r END AS funding_std_24,
  sin(2 * pi() * (hour // 3600000 % 24) / 24) AS hour_sin, cos(2 * pi() * (hour // 3600000 % 24) / 24) AS hour_cos,
  sin(2 * pi() * ((hour // 86400000 + 3) % 7) / 7) AS dow_sin, cos(2 * pi() * ((hour // 86400000 + 3) % 7) / 7) AS dow_cos, lead(f) OVER w AS target_fund
  FROM pl WINDOW w AS (PARTITION BY coin ORDER BY hour), r AS (PARTITION BY coin ORDER BY hour ROWS BETWEEN 23 PRECEDING AND CURRENT ROW))"""
-_ROUND_ALL = ", ".join(f"round({c}, 9) AS {c}" for c in [*features.FEATURES, "target_fund"])
+_ROUND_ALL = ", ".join(f"round({c}, 9) AS {c}" for c in [*features.FEATURES, "funding_rate", "target_fund"])
 _NOT_NULL = " AND ".join(f"{c} IS NOT NULL" for c in [*features.FEATURES, "target_fund"])
 
 
@@ -389,18 +471,28 @@ def always_on(s, d):
     return rounded(ledger.always_on(features.feature_matrix(*legs_of(s, d)), 18.0))
 
 
-@query(ctes("pn") + """, ax AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT hour FROM pn)),
+DISPERSION_SQL = ctes("pn") + """, ax AS (SELECT hour, row_number() OVER (ORDER BY hour) - 1 AS i, count(*) OVER () AS n FROM (SELECT DISTINCT hour FROM pn)),
 p AS (SELECT pn.*, i, n FROM pn JOIN ax USING (hour)), q AS (SELECT p.coin, p.hour, p.i, p.n, p.funding_rate, p.mark / nullif(b.mark, 0) - 1 - p.funding_rate AS pnl FROM p LEFT JOIN p b ON b.coin = p.coin AND b.i = p.i - 1),
 bl AS (SELECT CAST(b AS INT) AS block, 6 + b * 6 AS at0 FROM range(100) t(b) WHERE 6 + b * 6 < (SELECT max(n) FROM ax) - 1),
 m AS (SELECT block, coin, avg(funding_rate) AS f, count(*) AS h FROM bl JOIN q ON i < at0 AND i >= at0 - 6 GROUP BY 1, 2 HAVING count(*) / 6.0 > 0.9),
 k AS (SELECT block, coin, row_number() OVER (PARTITION BY block ORDER BY f, coin) AS r, count(*) OVER (PARTITION BY block) AS al FROM m),
 s AS (SELECT block, coin, CASE WHEN r <= greatest(2, al // 5) THEN 1 WHEN r > al - greatest(2, al // 5) THEN -1 END AS side FROM k WHERE al >= 10),
-g AS (SELECT block, q.hour, avg(pnl) FILTER (WHERE side = -1) AS hi, avg(pnl) FILTER (WHERE side = 1) AS lo FROM bl JOIN s USING (block) JOIN q USING (coin) WHERE side IS NOT NULL AND i >= at0 AND i < at0 + 6 GROUP BY 1, 2)
-SELECT block, hour, round((lo - hi) / 2, 6) AS ret FROM g WHERE lo IS NOT NULL AND hi IS NOT NULL""")
+g AS (SELECT block, q.hour, avg(pnl) FILTER (WHERE side = -1) AS hi, avg(pnl) FILTER (WHERE side = 1) AS lo FROM bl JOIN s USING (block) JOIN q USING (coin) WHERE side IS NOT NULL AND i >= at0 AND i < at0 + 6 GROUP BY 1, 2)"""
+
+
+@query(DISPERSION_SQL + " SELECT block, hour, round((lo - hi) / 2, 6) AS ret FROM g WHERE lo IS NOT NULL AND hi IS NOT NULL")
 def funding_dispersion(s, d):
     return rounded(dispersion.dispersion(a.panel(s, d), look=6, hold=6))
 
 
+@query(DISPERSION_SQL + f""", dd AS (SELECT block, hour * 8 // 24 AS day, sum((lo - hi) / 2) AS ret, sum((lo - hi) / 2) - 2 * {RT!r} / 2 AS net FROM g WHERE lo IS NOT NULL AND hi IS NOT NULL GROUP BY 1, 2)
+SELECT 'dispersion' AS series, count(*) AS n, round({SHARPE.format('ret')}, 6) AS gross_sharpe, round(avg(ret) * 365, 6) AS gross_apr, round({SHARPE.format('net')}, 6) AS net_sharpe, round(avg(net) * 365, 6) AS net_apr FROM dd HAVING count(*) > 0""")
+def dispersion_risk(s, d):
+    """A row of the panel's axis stands for eight hours, so a block of six is held for two days."""
+    hourly = dispersion.dispersion(a.panel(s, d), look=6, hold=6)
+    return rounded(dispersion.dispersion_risk(hourly.withColumn("hour", F.col("hour") * 8 * 3_600_000), 2, RT))
+
+
 # ---- tape quality ----
 
 def _channels(s, d):

@@ -47,8 +47,7 @@ def queries(legs_of, a) -> dict:
 
     def sign_drivers(s, d):
         def made(x):
-            model, _, test = models.train_sign_model(x, iterations=ROUNDS)
-            return models.mean_drivers(models.tree_attribution(model, test), 5)
+            return models.sign_summary(*models.train_sign_model(x, iterations=ROUNDS), k=5)
 
         return by_coin(rows(s, d), made)
 

@@ -23,8 +23,7 @@ def calls(spark, monkeypatch):
     for name in ("compare", "magnitude", "stability"):
         record(name, one)
     record("train_sign_model", (None, None, None))
-    monkeypatch.setattr(models, "tree_attribution", lambda *a: None)
-    monkeypatch.setattr(models, "mean_drivers", lambda *a: one)
+    monkeypatch.setattr(models, "sign_summary", lambda *a, **k: one)
     names = ["coin", *features.FEATURES, "hour"]
     rows = spark.range(410).selectExpr("cast(if(id < 400, id % 2, 7) as string) coin", *[f"0D {c}" for c in features.FEATURES], "id hour").select(*names)
     monkeypatch.setattr(features, "feature_matrix", lambda *a: rows)

@@ -1,7 +1,10 @@
 """Hand-computed cases of the table operators."""
 
 import math
+import random
+import statistics
 from datetime import date, datetime, timedelta
+from statistics import NormalDist
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +265,44 @@ def test_models_learn_and_attributions_add_up(spark):
     assert acc["accuracy"] == pytest.approx(2 / 3)
     rmse = models.persistence_rmse(spark.createDataFrame([(1.0, 1.0), (3.0, 1.0), (0.0, 2.0)], "a double, p double"), "a", "p").first()["rmse"]
     assert rmse == pytest.approx(math.sqrt(8 / 3))
+
+
+def test_the_18_inputs_by_name():
+    # The inputs of the study, the current funding rate not among them.
+    want = {
+        "basis", "spot_ret_1", "perp_ret_1", "spot_ret_24", "perp_ret_24", "basis_lag_1", "basis_lag_4", "basis_lag_24", "funding_lag_1", "funding_lag_4",
+        "funding_lag_24", "basis_std_24", "funding_mean_24", "funding_std_24", "hour_sin", "hour_cos", "dow_sin", "dow_cos"}
+    assert set(features.FEATURES) == want and len(features.FEATURES) == 18
+
+
+@pytest.mark.parametrize("sr, t, skew, kurt", [(0.2, 50, -0.5, 4.0), (0.2, 1, 0.0, 3.0), (2.0, 10, 3.0, 1.0), (1.0, 0, 1.0, 1.0)])
+def test_probabilistic_sharpe_of_degenerate_inputs(spark, sr, t, skew, kurt):
+    row = spark.range(1).select(stats.psr(*map(F.lit, (sr, t, skew, kurt, 0.1))).alias("p")).first()
+    z = (sr - 0.1) * math.sqrt(max(1, t - 1)) / math.sqrt(max(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr))
+    assert row["p"] == pytest.approx(NormalDist().cdf(z), abs=1e-6)
+
+
+def test_baselines_deflate_by_all_and_by_hedged_rungs(spark):
+    rng = random.Random(4)
+    make = lambda mu: spark.createDataFrame([(c, date(2024, 1, 1) + timedelta(k), mu + rng.gauss(0, 0.01)) for c in "ab" for k in range(60)], "series string, day date, ret double")
+    window = pnl.one_window({"carry": make(0.002), "drift": make(0.001), "hold": make(0.0)}, exclude=("b",)).persist()
+    got = {r["strategy"]: r for r in pnl.strategy_baselines(window, "a", 0.001).collect()}
+    assert set(got) == {n for n, *_ in pnl.BASELINES}
+    held = {}
+    for r in window.collect():
+        held.setdefault((r["kind"], r["series"]), []).append(r["ret"])
+    assert held["drift", "BASKET_DROP"] == pytest.approx(held["drift", "a"]) and len(held["drift", "BASKET"]) == 60
+    ratio = lambda x: statistics.mean(x) / statistics.stdev(x)
+    net = lambda kind, series, drag: [x - 0.001 / 60 - drag / 1e4 for x in held[kind, series]]
+    rungs = {(s, n): ratio(net(k, s, drag)) for n, k, drag in pnl.LADDER for s in ("a", "b", "BASKET", "BASKET_DROP")}
+    for name, kind, series, drag in pnl.BASELINES:
+        x = net(kind, series or "a", drag)
+        sr, m, n = ratio(x), statistics.mean(x), len(x)
+        g1, g2 = (sum((v - m) ** p for v in x) / n / (statistics.pvariance(x) ** (p / 2)) for p in (3, 4))
+        skew, kurt = g1 * math.sqrt(n * (n - 1)) / (n - 2), (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * (g2 - 3) + 6) + 3
+        for of, trials in (("all", list(rungs.values())), ("hedged", [v for (_, r), v in rungs.items() if r != "funding_only"])):
+            k, sd, inv = len(trials), statistics.stdev(trials), NormalDist().inv_cdf
+            bar = sd * ((1 - stats.EULER) * inv(1 - 1 / k) + stats.EULER * inv(1 - 1 / (k * math.e)))
+            want = NormalDist().cdf((sr - bar) * math.sqrt(n - 1) / math.sqrt(1 - skew * sr + (kurt - 1) / 4 * sr * sr))
+            assert got[name][f"n_{of}"] == k and got[name][f"dsr_{of}"] == pytest.approx(want, abs=1e-6)
+        assert got[name]["sharpe"] == pytest.approx(sr * math.sqrt(365))
