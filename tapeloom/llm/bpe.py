@@ -91,25 +91,30 @@ def decode(rows: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id
     return rows.select(id_col, ids_col).mapInArrow(run, f"`{id_col}` {kind}, bytes binary")
 
 
-def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode and decode in one pass; only counts and digests leave the Python worker."""
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
+    """Encode and decode in one pass: counts and digests and, with ``keep_ids``, the ids."""
     session_setup(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding = load_encoding(ranks_path, pattern)
         for b in batches:
-            counts, of_ids, of_bytes = [], [], []
+            counts, of_ids, of_bytes, kept = [], [], [], []
             for text in b.column(1):
                 ids = encode_ids(encoding, text.as_py() or "")
                 counts.append(len(ids))
                 of_ids.append(hashlib.sha256(ids.tobytes()).hexdigest())
                 of_bytes.append(hashlib.sha256(encoding.decode_bytes(ids.tolist())).hexdigest())
+                if keep_ids:
+                    kept.append(ids.astype(np.int32))
             columns = [b.column(0), pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_bytes, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
+            if keep_ids:
+                flat = np.concatenate(kept) if kept else np.zeros(0, np.int32)
+                columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts], dtype=np.int32)), pa.array(flat)))
+            yield pa.RecordBatch.from_arrays(columns, [id_col, "n_tokens", "ids_sha256", "decoded_sha256", "ids"][: len(columns)])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(id_col, text_col).mapInArrow(
-        run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
+        run, f"`{id_col}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * keep_ids
     )
 
 

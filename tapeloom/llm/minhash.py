@@ -172,7 +172,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: int = 40, rows: int = 6) -> DataFrame:
-    """One row per document row: ``doc_id, row, n_shingles, component_id, kept``.
+    """One row per document row: ``doc_id, row, part, n_shingles, component_id, kept``; ``part`` names the component.
 
     ``size`` words a shingle, similarity of ``percent`` hundredths or more.
     """
@@ -225,17 +225,35 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     least = at.filter("n > 0").groupBy("part").agg(F.min("doc").alias("least"))
     done = at.join(least, "part", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
-    return done.select(F.col("doc").alias("doc_id"), "row", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
+    return done.select(F.col("doc").alias("doc_id"), "row", "part", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
 
 
 def op10_circulant_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2).drop("row")
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), size=2).drop("row", "part")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: one document of each group; the columns of ``docs``."""
-    gone = near_duplicates(docs.select("doc_id", "text")).filter("not kept").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"))
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["__doc"]) & (F.xxhash64(docs["text"]) == gone["__row"]), "left_anti")
+    """Pipeline stage: one document of each group; the columns of ``docs``.
+
+    It is the one with the least id, a null id being the largest, then the least text hash. Rows that repeat
+    it whole, id and text, go as well. Documents without words are in no group and all stay.
+    """
+    near = stored(near_duplicates(docs.select("doc_id", "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "part"), "near")
+    rank = F.struct(F.col("__doc").isNull().alias("last"), "__doc", "__row")
+    groups = near.groupBy("part").agg(F.min(rank).alias("first"), F.count("*").alias("held")).filter("held > 1")
+    others = near.join(groups, "part").filter(rank != F.col("first"))
+    first = groups.select(F.col("first.__doc").alias("__doc"), F.col("first.__row").alias("__row"))
+
+    def at(keys: DataFrame):
+        return docs["doc_id"].eqNullSafe(keys["__doc"]) & (F.xxhash64(docs["text"]) == keys["__row"])
+
+    kept = docs.join(others.select("__doc", "__row"), at(others), "left_anti")
+    twice = near.groupBy("__doc", "__row").agg(F.count("*").alias("held")).filter("held > 1").select("__doc", "__row")
+    if not twice.head(1):  # no id and text repeat together
+        return kept
+    twice = stored(twice.join(first, twice["__doc"].eqNullSafe(first["__doc"]) & (twice["__row"] == first["__row"]), "left_semi"), "twice")
+    once = kept.join(twice, at(twice), "left_semi").withColumn("__row", F.xxhash64("text")).dropDuplicates(["doc_id", "__row"]).drop("__row")
+    return kept.join(twice, at(twice), "left_anti").unionByName(once)
 
 
 OP10_SQL = r"""

@@ -223,8 +223,12 @@ def rejection_score(docs: DataFrame, model: Model, share: float = 0.001, least_r
 
 
 def keep_identified(docs: DataFrame, min_score: float | None = None) -> DataFrame:
-    """Pipeline stage: documents with a language, predicted with ``min_score`` (else ``rejection_score``) or more."""
+    """Pipeline stage: documents with a language, predicted with ``min_score`` (else ``rejection_score``) or more.
+
+    A document whose language is not given gets the predicted one.
+    """
     model = fit(training_rows(docs))
     least = rejection_score(docs, model) if min_score is None else min_score
     done = predict(docs, model)
-    return done.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*docs.columns)
+    lang = F.coalesce("lang", "__lang").alias("lang")
+    return done.filter((F.col("__lang") != "und") & (F.col("__score") >= least)).select(*[lang if c == "lang" else c for c in docs.columns])

@@ -1,11 +1,13 @@
 """The pipeline's stages, each against a brute-force version on its own input."""
 
+import hashlib
 import re
 
 import pytest
 
 import corpus_pipeline
 from tapeloom.llm import bpe
+from tapeloom.llm.minhash import drop_near_duplicates
 from tests.llm import cases
 
 UP = {ord(c): chr(ord(c) + 32) for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -94,6 +96,30 @@ def test_decontamination_and_tokens(steps):
     assert sorted((key(r), r["n_tokens"]) for r in tokens.collect()) == sorted((key(r), len(encoding.encode_ordinary(r["text"] or ""))) for r in clean.collect())
 
 
+def test_token_ids_are_those_of_the_digest(steps):
+    _, (*_, tokens) = steps
+    for r in tokens.collect():
+        assert len(r["ids"]) == r["n_tokens"]
+        assert hashlib.sha256(b"".join(x.to_bytes(4, "little") for x in r["ids"])).hexdigest() == r["ids_sha256"]
+
+
+def test_language_stage_names_the_language(steps):
+    _, (docs, kept, *_) = steps
+    given = {(r["doc_id"], r["text"]): r["lang"] for r in docs.collect()}
+    assert all(r["lang"] and r["lang"] == (given[r["doc_id"], r["text"]] or r["lang"]) for r in kept.collect())
+
+
+def test_one_row_of_each_group_stays(spark):
+    a, b = cases.prose(60), cases.prose(60)
+    near = a.rsplit(" ", 1)[0]
+    rows = [(5, a), (5, a), (5, near), (7, a), (None, b), (None, b), (None, b + " x"), (3, None), (3, None), (4, " "), (9, "own words of one row only here"), (9, "own words of one row only here")]
+    docs = spark.createDataFrame([(*r, "x", k) for k, r in enumerate(rows)], "doc_id bigint, text string, part string, row int")
+    found = drop_near_duplicates(docs).collect()
+    assert sorted(repr(r["doc_id"]) for r in found) == ["3", "3", "4", "5", "9", "None"]
+    assert {r["text"] for r in found if r["doc_id"] == 5} <= {a, near}
+    assert found[0].asDict().keys() == set(docs.columns)
+
+
 def test_run_equals_the_stages(spark, steps):
     folder, out = steps
     assert sorted(map(str, corpus_pipeline.run(spark, folder).collect())) == sorted(map(str, out[-1].collect()))
