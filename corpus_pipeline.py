@@ -13,7 +13,7 @@ from tapeloom.llm.string_kernel import keep_identified
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter or without a clear language."""
+    """Drop documents without a letter or without a clear language; name the language where it is not given."""
     return keep_identified(docs)
 
 
@@ -33,8 +33,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of what is left, with counts and digests."""
-    return bpe.round_trip(docs, *bpe.multi_50k())
+    """Token ids of what is left, with counts and digests of the ids and of what they decode to."""
+    return bpe.round_trip(docs, *bpe.multi_50k(), keep_ids=True)
 
 
 STAGES = [
