@@ -307,8 +307,12 @@ def encode_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, media binary")
 
 
-def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per frame: number, start and length in ms, place, canvas pixels (RGB), histogram."""
+def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media", max_pixels: int = 1 << 26) -> DataFrame:
+    """One row per frame: number, start and length in ms, place, canvas pixels (RGB), histogram.
+
+    Null media, bytes that are no GIF, a GIF without images, and a canvas of more than ``max_pixels`` pixels have one row
+    with nulls and the ``error``; a GIF that breaks off has the frames before, then such a row.
+    """
     session_setup(media.sparkSession)
     kind = media.schema[id_col].dataType.simpleString()
     schema = (f"`{id_col}` {kind}, frame_no int, start_ms bigint, delay_ms bigint, left int, top int, width int, height int, "
@@ -321,6 +325,10 @@ def frames(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -
             if data is None:
                 raise ValueError("no media")
             width, height, images = parse(data)
+            if not images:
+                raise ValueError("no images")
+            if width * height > max_pixels:
+                raise ValueError("canvas too large")
             found, start = expand_images(images), 0
             for k, (image, canvas) in enumerate(zip(images, shown(width, height, images, found))):
                 yield (k, start, image.delay_cs * 10, image.left, image.top, image.width, image.height, width, height,

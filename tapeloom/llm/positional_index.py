@@ -100,7 +100,8 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
 def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFrame:
     """``(query_id, doc_id, row, pos)``: places of a query's rarest term with all its terms within ``slop`` words.
 
-    ``queries`` has ``query_id`` and ``terms`` (an array; null or empty arrays match nothing).
+    ``queries`` has ``query_id`` and ``terms`` (an array; null or empty arrays match nothing). A null id is an id like
+    others; of terms of equal frequency the first by name is the rarest; rows that repeat a document match once.
     """
     terms = queries.select("query_id", F.explode(F.array_distinct("terms")).alias("term"))
     hits = index.join(terms, "term")
@@ -109,8 +110,10 @@ def proximity_matches(index: DataFrame, queries: DataFrame, slop: int) -> DataFr
     wanted = terms.groupBy("query_id").agg(F.count("*").alias("n_terms"))
     block = F.floor(F.col("pos") / (slop + 1))
     first = hits.join(rarest, "query_id").filter(F.col("term") == F.col("rare"))
-    first = first.select("query_id", *DOC, F.col("pos").alias("at"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
-    near = hits.withColumn("block", block).join(first, ["query_id", *DOC, "block"]).filter(F.abs(F.col("pos") - F.col("at")) <= slop)
+    first = first.select("query_id", *[F.col(c).alias(f"{c}1") for c in DOC], F.col("pos").alias("at"), F.explode(F.array(block - 1, block, block + 1)).alias("block"))
+    same = F.expr("h.query_id = f.query_id AND h.block = f.block AND h.doc_id <=> f.doc_id1 AND h.row <=> f.row1")
+    near = hits.withColumn("block", block).alias("h").join(first.alias("f"), same)
+    near = near.filter(F.abs(F.col("pos") - F.col("at")) <= slop).select("h.query_id", *DOC, "at", "term")
     full = near.groupBy("query_id", *DOC, "at").agg(F.count_distinct("term").alias("n")).join(wanted, "query_id")
     return full.filter(F.col("n") == F.col("n_terms")).select("query_id", *DOC, F.col("at").alias("pos"))
 

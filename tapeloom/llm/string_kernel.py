@@ -7,9 +7,9 @@ landmark texts, and one kernel ridge regression per language (one versus rest) i
 ``k(x, landmarks)`` is a matrix product of presence rows, scores of a block of whole texts are one
 product ``presence @ weights``.
 
-Bounds of the fit (documented parameters of ``fit``): ``per_lang`` texts of each language, those with
-the least hashed ids among texts of at most ``max_chars`` characters; ``landmarks`` of them a
-language; the ``max_langs`` most frequent languages. Every text is scored whole.
+Bounds of the fit (documented parameters of ``fit``): ``per_lang`` different texts of each language, those
+with the least hashed ids among texts of at most ``max_chars`` characters, and ``landmarks`` of them a language; with many
+languages fewer, so that all are learned from ``rows`` texts and ``marks`` landmarks, but one each at least. Every text is scored whole.
 
 Defined results: null texts and texts without a letter are ``und`` with score 0, and so is every text
 when nothing could be learned; ties go to the language that sorts first; repeated rows get equal
@@ -122,17 +122,18 @@ class Model:
         return names, scores
 
 
-def fit(docs: DataFrame, per_lang: int = 300, landmarks: int = 40, max_chars: int = 50_000, max_langs: int = 100, ridge: float = 1e-3) -> Model:
+def fit(docs: DataFrame, per_lang: int = 300, landmarks: int = 40, max_chars: int = 50_000, rows: int = 2_000, marks: int = 400, ridge: float = 1e-3) -> Model:
     """Learn from ``docs (doc_id, text, lang)``; rows without text or language are left out."""
-    labelled = docs.filter("lang is not null and text is not null").withColumn("h", F.xxhash64("doc_id"))
-    per = Window.partitionBy("lang").orderBy("h")
-    langs = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).select("lang")
-    short = labelled.filter(F.char_length("text") <= max_chars)
-    cut = short.select("lang", "h").withColumn("k", F.row_number().over(per)).filter(F.col("k") <= per_lang)
-    cut = cut.groupBy("lang").agg(F.max("h").alias("last")).join(F.broadcast(langs), "lang")
-    chosen = short.join(broadcast_if_small(cut, max_langs), "lang").filter(F.col("h") <= F.col("last"))
-    rows = chosen.orderBy("lang", "h", "text").select("lang", "text").limit(per_lang * max_langs).collect()
-    return solve([r["text"] for r in rows], [r["lang"] for r in rows], landmarks, ridge)
+    hashes = {"h": F.xxhash64("doc_id"), "of_text": F.xxhash64("text")}
+    short = docs.filter("lang is not null and text is not null").filter(F.char_length("text") <= max_chars).withColumns(hashes)
+    n = max(1, short.select("lang").distinct().count())
+    held = max(1, min(per_lang, rows // n))
+    per = Window.partitionBy("lang").orderBy("h", "of_text")
+    place = F.struct("h", "of_text")
+    cut = short.select("lang", *hashes).withColumn("k", F.row_number().over(per)).filter(F.col("k") <= held).groupBy("lang").agg(F.max(place).alias("last"))
+    chosen = short.join(broadcast_if_small(cut, n), "lang").filter(place <= F.col("last")).dropDuplicates(["lang", *hashes])
+    found = chosen.orderBy("lang", *hashes).select("lang", "text").limit(held * n).collect()
+    return solve([r["text"] for r in found], [r["lang"] for r in found], max(1, min(landmarks, marks // n)), ridge)
 
 
 def solve(texts: list[str], langs: list[str], landmarks: int, ridge: float) -> Model:

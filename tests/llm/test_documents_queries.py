@@ -1,14 +1,17 @@
 """Every document query over the awkward documents, against a brute-force version, and over an empty table."""
 
 import hashlib
+import math
+import random
 import re
 import zlib
 from collections import defaultdict
 
 import duckdb
+import numpy as np
 import pytest
 
-from tapeloom.llm import bpe, gif, unit_dedup
+from tapeloom.llm import bpe, gif, positional_index, string_kernel, unit_dedup
 from tapeloom.llm.queries import ORACLE_SQL, QUERIES
 from tests.llm import cases
 
@@ -79,6 +82,53 @@ def test_gif_frames(spark, folder):
     assert [r["frame_no"] for r in gif.frames(bad).collect()] == [None, None]
 
 
+def lzw(pixels, size):
+    """A plain LZW code stream: one clear code, then literals and another clear before codes grow."""
+    clear, bits, out = 1 << size, [], bytearray()
+    for k, p in enumerate(pixels):
+        if k % ((1 << size) - 2) == 0:
+            bits += [clear >> i & 1 for i in range(size + 1)]
+        bits += [p >> i & 1 for i in range(size + 1)]
+    bits += [clear + 1 >> i & 1 for i in range(size + 1)]
+    for k in range(0, len(bits), 8):
+        out.append(sum(b << i for i, b in enumerate(bits[k : k + 8])))
+    return bytes([size]) + b"".join(bytes([len(out[k : k + 255])]) + out[k : k + 255] for k in range(0, len(out), 255)) + b"\0"
+
+
+def made_gif(width, height, images):
+    """A GIF of ``(disposal, transparent, delay, left, top, width, height, interlaced, local palette, pixels)``."""
+    colours = [(0, 0, 0), (255, 0, 0), (0, 255, 0), (0, 0, 255)]
+    flat = lambda p: bytes(x for c in p for x in c)
+    out = b"GIF89a" + width.to_bytes(2, "little") + height.to_bytes(2, "little") + bytes([0x81, 0, 0]) + flat(colours)
+    for disposal, clear, delay, left, top, w, h, woven, local, pixels in images:
+        out += b"\x21\xf9\x04" + bytes([disposal << 2 | (clear is not None)]) + delay.to_bytes(2, "little") + bytes([clear or 0, 0])
+        out += b"," + b"".join(x.to_bytes(2, "little") for x in (left, top, w, h)) + bytes([(0x81 if local else 0) | (0x40 if woven else 0)]) + (flat(local) if local else b"")
+        order = [r for s, d in ((0, 8), (4, 8), (2, 4), (1, 2)) for r in range(s, h, d)] if woven else range(h)
+        out += lzw([pixels[r * w + c] for r in order for c in range(w)], 2)
+    return out + b";"
+
+
+def test_gif_disposal_transparency_interlace_and_palettes(spark):
+    local = [(9, 9, 9), (90, 90, 90), (200, 200, 200), (250, 250, 250)]
+    images = [
+        (1, None, 5, 0, 0, 3, 2, False, None, [1, 1, 1, 2, 2, 2]), (3, 0, 7, 1, 0, 2, 2, False, None, [0, 3, 3, 0]), (2, None, 0, 0, 1, 2, 1, False, local, [2, 3]),
+        (0, 2, 1, 0, 0, 3, 2, True, None, [2, 2, 3, 2, 2, 2])]
+    r, g, b, k = (255, 0, 0), (0, 255, 0), (0, 0, 255), (0, 0, 0)
+    want = [[r, r, r, g, g, g], [r, r, b, g, b, g], [r, r, r, local[2], local[3], g], [r, r, b, k, k, g]]
+    rows = [(1, bytearray(made_gif(3, 2, images))), (2, bytearray(made_gif(3, 2, []))), (3, bytearray(made_gif(65_535, 65_535, images[:1]))), (4, None), (5, bytearray(made_gif(3, 2, images)[:60]))]
+    tall = (1, None, 2, 0, 0, 2, 9, True, None, [x % 4 for x in range(18)])
+    rows.append((6, bytearray(made_gif(2, 9, [tall]))))
+    found = gif.frames(spark.createDataFrame(rows, "doc_id bigint, media binary")).orderBy("doc_id", "frame_no").collect()
+    by = {i: [x for x in found if x["doc_id"] == i] for i in range(1, 7)}
+    assert [bytes(x["pixels"]) for x in by[1]] == [bytes(v for c in w for v in c) for w in want]
+    assert [(x["start_ms"], x["delay_ms"]) for x in by[1]] == [(0, 50), (50, 70), (120, 0), (120, 10)]
+    assert by[1][0]["histogram"][48] == 3 and by[1][0]["histogram"][12] == 3
+    assert [x["error"] for i in (2, 3, 4) for x in by[i]] == ["no images", "canvas too large", "no media"]
+    assert by[5][-1]["error"] and by[5][-1]["frame_no"] is None
+    colours = [k, r, g, b]
+    assert bytes(by[6][0]["pixels"]) == bytes(v for p in tall[-1] for v in colours[p])
+
+
 def words13(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(UP))
 
@@ -200,6 +250,74 @@ def test_language(spark, folder, rows):
         assert (lang == "und") == (not any(c.isalpha() for c in t or ""))
 
 
+def test_kernel_model_matches_brute_force():
+    rng = random.Random(2)
+    bases = {"aa": "abcdeé", "bb": "defghÄ", "cc": "ghiabñ"}
+    make = lambda lang: "".join(rng.choice(bases[lang] + " 1A") for _ in range(rng.randrange(3, 60)))
+    train = [(make(lang) + "a", lang) for lang in list(bases) * 12]
+    asked = [make(rng.choice(list(bases))) + "b" for _ in range(20)] + ["日本語 text", "x"]
+    seen = {c for t, _ in train for c in t.lower() if c.isalpha()}
+
+    def grams(t):
+        chars = [c.lower() if c.lower() in seen else "?" if c.isalpha() else " " for c in t]
+        return {tuple(chars[i : i + n]) for n in (1, 2, 3) for i in range(len(chars) - n + 1)}
+
+    kernel = lambda xs, zs: np.array([[len(x & z) / math.sqrt(len(x) * len(z)) for z in zs] for x in xs])
+    langs = sorted(bases)
+    sets = [grams(t) for t, _ in train]
+    held, marks = defaultdict(int), []
+    for s, (_, lang) in zip(sets, train):
+        if held[lang] < 5:
+            held[lang] += 1
+            marks.append(s)
+    values, vectors = np.linalg.eigh(kernel(marks, marks))
+    good = values > values[-1] * 1e-6
+    to = vectors[:, good] / np.sqrt(values[good])
+    x, y = kernel(sets, marks) @ to, np.array([[1.0 if lang == n else -1.0 for n in langs] for _, lang in train])
+    mean, centre = x.mean(axis=0), y.mean(axis=0)
+    beta = np.linalg.solve((x - mean).T @ (x - mean) + 1e-3 * len(x) * np.eye(x.shape[1]), (x - mean).T @ (y - centre))
+    want = (kernel([grams(t) for t in asked], marks) @ to - mean) @ beta + centre
+    model = string_kernel.solve([t for t, _ in train], [lang for _, lang in train], 5, 1e-3)
+    names, scores = model.predict(asked)
+    for row, name, score in zip(want, names, scores):
+        best = row.max()
+        assert row[langs.index(name)] == pytest.approx(best, abs=1e-3)
+        assert score == pytest.approx(min(1 / np.exp(6 * (row - best)).sum(), 1 / (1 + math.exp(-6 * best))), abs=1e-3)
+
+
+def test_kernel_fit_takes_ties_repeats_and_many_languages(spark):
+    rows = [(1, "same text here", "a0")] * 40 + [(1, f"other text {k}", "a1") for k in range(30)] + [(k, f"{chr(97 + k % 26) * 4} {chr(97 + k // 26) * 5}", f"l{k:03d}") for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    model = string_kernel.fit(docs, rows=300)
+    assert len(model.langs) == 152
+    first = string_kernel.predict(docs, model).select("doc_id", "text", "__lang", "__score").collect()
+    again = string_kernel.predict(docs.repartition(5), string_kernel.fit(docs.repartition(7), rows=300)).select("doc_id", "text", "__lang", "__score").collect()
+    plain = lambda rows: sorted({(r["doc_id"], r["text"], r["__lang"], round(r["__score"], 4)) for r in rows})
+    assert plain(first) == plain(again)
+
+
+def test_proximity_matches(spark):
+    rng = random.Random(6)
+    docs = [(1, "alpha beta gamma delta alpha"), (2, "alpha x x x x x beta"), (3, "Beta alpha"), (None, "alpha beta"), (None, "alpha beta"), (4, None), (5, "")]
+    docs += [(10 + k, " ".join(rng.choice(["alpha", "beta", "gamma", "x", "y"]) for _ in range(40))) for k in range(12)]
+    queries = [(1, ["alpha", "beta"]), (2, ["missing", "alpha"]), (3, None), (4, []), (5, ["gamma", "alpha", "beta", "gamma"])]
+    index = positional_index.build_index(spark.createDataFrame(docs, "doc_id bigint, text string"))
+    asked = spark.createDataFrame(queries, "query_id bigint, terms array<string>")
+    for slop in (1, 3):
+        got_rows = {(r["query_id"], r["doc_id"], r["pos"]) for r in positional_index.proximity_matches(index, asked, slop).collect()}
+        want = set()
+        for q, terms in ((1, {"alpha", "beta"}), (5, {"alpha", "beta", "gamma"})):
+            words = [(i, words13(t)) for i, t in docs]
+            holders = [(i, w) for i, w in words if w]
+            df = {t: sum(w.count(t) for _, w in holders) for t in terms}
+            rare = min(terms, key=lambda t: (df[t], t))
+            for i, w in holders:
+                for p, x in enumerate(w):
+                    if x == rare and terms <= set(w[max(0, p - slop) : p + slop + 1]):
+                        want.add((q, i, p))
+        assert got_rows == want and got_rows
+
+
 def test_language_accuracy_on_held_out_documents(spark):
     sf = "/root/testdata/sf0.01"
     done = QUERIES["op3_string_kernel"](spark, sf).filter("held_out").join(spark.read.parquet(f"{sf}/documents.parquet"), "doc_id")
