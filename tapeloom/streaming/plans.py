@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -15,7 +16,10 @@ from tapeloom.streaming import tape
 
 def scratch(spark: SparkSession, tag: str) -> str:
     """A folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
     return f"{root.rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
 
 
