@@ -454,11 +454,11 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot:
     # At most one key in ``hot`` rows; each level halves the stretches, down to single beginnings.
     level = F.least(F.lit((length - gram).bit_length()), F.ceil(F.log2(F.col("held") / hot))).cast("int")
     levels = stored(several.groupBy("key").agg(F.count("*").alias("held")).filter(F.col("held") > hot).select("key", level.alias("level")), "hot_anchors")
-    levels = broadcast_if_small(levels, levels.count())
+    levels = broadcast_if_small(levels)
     placed = several.join(levels, "key", "left").withColumn("level", F.coalesce("level", F.lit(0)))
     at = placed.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "start", "end", "pos", "level")).alias("at"))
     ids = at.select("doc", "row")
-    wanted = docs.join(broadcast_if_small(ids, ids.count()), ["doc", "row"], "left_semi")
+    wanted = docs.join(broadcast_if_small(ids), ["doc", "row"], "left_semi")
     pieces = piece_rows(wanted.join(at.hint("shuffle_hash"), ["doc", "row"]), length, gram)
     sorted_pieces = pieces.repartition(parts, "key").sortWithinPartitions("key", "doc", "row", "start")
     built = stored(built_spans(sorted_pieces, length, gram), "built")

@@ -18,8 +18,10 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LOWER_TABLE = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of one Arrow batch: texts can be long, so a batch stays at some tens of MB.
 ARROW_ROWS = 256
-#: Rows below which a lookup table may be broadcast; it is counted before.
-BROADCAST_ROWS = 500_000
+#: Rows and bytes up to which a lookup table may be broadcast; both are measured before.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 32_000_000
+#: A key with more than one in HOT_SHARE of all rows of a join is hot, so fewer than HOT_SHARE keys can be.
+HOT_SHARE, SALTS = 200, 32
 
 
 def session_setup(spark: SparkSession) -> None:
@@ -62,6 +64,44 @@ def ascii_lower(c: Column) -> Column:
     )
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """A broadcast hint, only where the counted ``rows`` are within ``limit``; else Spark shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+def _width(name: str, kind: str) -> Column:
+    """Bytes of a value: strings and arrays of strings by their text, arrays by their elements, others as 16."""
+    c = F.col(f"`{name}`")
+    if kind in ("string", "binary"):
+        n = F.octet_length(c)
+    elif kind == "array<string>":
+        n = F.aggregate(c, F.lit(0), lambda n, x: n + F.coalesce(F.octet_length(x), F.lit(0)) + 8)
+    elif kind.startswith("array"):
+        n = F.size(c) * 16
+    else:
+        return F.lit(16)
+    return F.coalesce(n, F.lit(0)) + 16
+
+
+def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A broadcast hint, only where the measured rows and bytes are within their limits; else Spark shuffles."""
+    widths = [_width(n, t) for n, t in df.dtypes]
+    rows, size = df.select(sum(widths[1:], widths[0]).alias("w")).agg(F.count("*"), F.sum("w")).first()
+    return F.broadcast(df) if rows <= limit and (size or 0) <= BROADCAST_BYTES else df
+
+
+def hot_keys(rows: DataFrame, key: str) -> list:
+    """The keys that hold more than one in ``HOT_SHARE`` of ``rows``, a stored table: fewer than ``HOT_SHARE`` by construction."""
+    total = rows.count()
+    counts = rows.groupBy(key).agg(F.count("*").alias("held"))
+    return [k for (k,) in counts.filter(F.col("held") * HOT_SHARE > total).select(key).collect()]
+
+
+def join_hot(rows: DataFrame, ones: DataFrame, key: str, how: str = "inner", hot: list | None = None) -> DataFrame:
+    """``rows`` joined with ``ones``, which has few rows a key: rows of hot keys are dealt over ``SALTS`` tasks.
+
+    The salt is a hash of the row, so that a task run again deals alike. ``key`` is never null.
+    """
+    hot = hot_keys(rows, key) if hot is None else hot
+    if not hot:
+        return rows.join(ones, key, how)
+    is_hot, one = F.col(key).isin(hot), F.lit(0).cast("bigint")
+    dealt = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS))).otherwise(one))
+    every = F.sequence(one, F.lit(SALTS - 1).cast("bigint"))
+    spread = ones.withColumn("__salt", F.explode(F.when(is_hot, every).otherwise(F.array(one))))
+    return dealt.join(spread, [key, "__salt"], how).drop("__salt")

@@ -5,13 +5,16 @@ anew, and coordinate k is the least value of a second permutation shifted circul
 permutations thus give all ``bands * rows`` coordinates. At similarity 0.8 a pair misses all of 40
 bands of 6 rows with probability 5e-6.
 
-Documents with equal shingle sets form one node (64-bit digest of the sorted set), so copies cost
-nothing further. Nodes of a bucket are compared with the bucket's leader on full sets; links give
+Documents with equal shingle sets form one node, so copies cost nothing further. A node is a 64-bit
+digest of the sorted set; sets that share it by chance are told apart by 64 more bits. Nodes of a bucket are compared with the bucket's leader on full sets; links give
 components. Where buckets still hold several components, their nodes in different components are
 compared further, but for pairs that exact bounds rule out: two sets of the wanted similarity share one
 of each other's rarest shingles, and so early in order of rarity that enough can follow.
 So no link between such nodes is lost, and pairs that are connected already are never made.
 
+A group of copies may hold a third of all rows: joins by node, component, bucket and leader deal the rows
+of such keys over many tasks (``join_hot``).
+
 Defined results: null, empty or wordless texts have no shingles and are their own component; texts
 with fewer words than a shingle have one shingle, the whole sequence; a null id is never the
 smallest of a component that has others; repeated rows are copies and each returns; an empty table
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import LOWER_TABLE, broadcast_if_small, session_setup, stored, table
+from tapeloom.llm.common import LOWER_TABLE, broadcast_if_small, hot_keys, join_hot, session_setup, stored, table
 
 UNIVERSE = 1 << 20
 #: Shingles whose coordinates are made at once: the block stays in a core's cache.
@@ -110,24 +113,36 @@ def _lists(parts: list[np.ndarray]) -> pa.Array:
 
 
 def signed_documents(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """``(doc, row, n, node, keys)``: id, text hash, shingles, digest of the set, bucket keys."""
+    """``(doc, row, n, node, more, keys)``: id, text hash, shingles, 128-bit digest of the set, bucket keys."""
     session_setup(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
         for b in batches:
-            n, node, keys = [], [], []
+            n, digests, keys = [], b"", []
             for text in b.column(2):
                 found = shingle_set(text.as_py(), size, hashes)
                 n.append(len(found))
-                node.append(int.from_bytes(hashlib.blake2b(found.tobytes(), digest_size=8).digest(), "little", signed=True))
+                digests += hashlib.blake2b(found.tobytes(), digest_size=16).digest()
                 keys.append(band_keys(signature(found, bands * rows), bands) if len(found) else found)
-            columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), _lists(keys)]
-            yield pa.RecordBatch.from_arrays(columns, ["doc", "row", "n", "node", "keys"])
+            node, more = np.frombuffer(digests, np.int64).reshape(-1, 2).T.copy()
+            columns = [b.column(0), b.column(1), pa.array(n, pa.int64()), pa.array(node), pa.array(more), _lists(keys)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc", "row", "n", "node", "more", "keys"])
 
     rows_in = docs.select(F.col("doc_id").alias("doc"), F.xxhash64("text").alias("row"), "text")
-    return rows_in.mapInArrow(run, f"doc {kind}, row bigint, n bigint, node bigint, keys array<bigint>")
+    return rows_in.mapInArrow(run, f"doc {kind}, row bigint, n bigint, node bigint, more bigint, keys array<bigint>")
+
+
+def told_apart(signed: DataFrame) -> DataFrame:
+    """``signed`` without ``more``: rows whose ``node`` other sets have too get a node of all 128 bits."""
+    clashes = signed.groupBy("node").agg(F.min("more").alias("lo"), F.max("more").alias("hi")).filter("lo <> hi").select("node")
+    if not clashes.head(1):
+        return signed.drop("more")
+    clashes = clashes.withColumn("clash", F.lit(True))
+    node = F.when(F.col("clash"), F.xxhash64("node", "more")).otherwise(F.col("node"))
+    both = join_hot(signed, clashes, "node", "left")
+    return stored(both.withColumn("node", node).select(*[c for c in signed.columns if c != "more"]), "signed")
 
 
 def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
@@ -143,11 +158,11 @@ def shingle_sets(texts: DataFrame, size: int) -> DataFrame:
 
 
 def measured(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """``pairs (a, b)`` with ``both`` and ``either``: sizes of intersection and union of the full sets."""
+    """``pairs (a, b)``, a stored table, with ``both`` and ``either``: sizes of intersection and union of the full sets."""
     left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb"))
     both = F.size(F.array_intersect("sa", "sb"))
-    out = pairs.join(left, "a").join(right, "b").withColumn("both", both)
+    out = join_hot(pairs, left, "a").join(right, "b").withColumn("both", both)
     return out.select("a", "b", "both", (F.size("sa") + F.size("sb") - F.col("both")).alias("either"))
 
 
@@ -159,9 +174,10 @@ def components(links: DataFrame) -> DataFrame:
     """
     both = links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
     both = stored(both, "links")
+    hubs = hot_keys(both, "b")
     labels = stored(both.groupBy(F.col("a").alias("node")).agg(F.least("a", F.min("b")).alias("label")), "labels")
     while True:
-        seen = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        seen = join_hot(both, labels.withColumnRenamed("node", "b"), "b", hot=hubs).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         least = labels.join(seen, "node").select("node", "label", F.least("label", "near").alias("new"))
         up = labels.select(F.col("node").alias("new"), F.col("label").alias("above"))
         step = stored(least.join(up, "new", "left").select("node", "label", F.least("new", "above").alias("next")), "labels")
@@ -176,26 +192,27 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
 
     ``size`` words a shingle, similarity of ``percent`` hundredths or more.
     """
-    signed = stored(signed_documents(docs, size, bands, rows), "signed")
+    signed = told_apart(stored(signed_documents(docs, size, bands, rows), "signed"))
     nodes = signed.filter("n > 0").select("node", "n", "keys").dropDuplicates(["node"])
     in_buckets = stored(nodes.select("node", "n", F.explode("keys").alias("bucket")), "buckets")
     shared = stored(in_buckets.groupBy("bucket").agg(F.count("*").alias("held")).filter("held > 1"), "shared")
-    held = in_buckets.join(broadcast_if_small(shared, shared.count()), "bucket")
+    held = in_buckets.join(broadcast_if_small(shared), "bucket")
     # The leader of a bucket is its most central node: the one with most company over all its buckets.
     weights = held.groupBy("node").agg(F.sum("held").alias("weight"))
     held = stored(held.drop("held").join(weights, "node"), "held")
     leaders = held.groupBy("bucket").agg(F.max(F.struct("weight", "node")).getField("node").alias("leader"))
-    members = stored(held.drop("weight").join(leaders, "bucket"), "members")
+    members = stored(join_hot(held.drop("weight"), leaders, "bucket"), "members")
 
     needed = members.select("node").distinct()
     one_row = signed.join(needed, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc", "row")).alias("at"))
     one_row = stored(one_row.select("node", F.col("at.doc").alias("doc"), F.col("at.row").alias("row")), "needed")
-    small = broadcast_if_small(one_row, one_row.count())
+    small = broadcast_if_small(one_row)
     texts = docs.join(small, docs["doc_id"].eqNullSafe(small["doc"]) & (F.xxhash64(docs["text"]) == small["row"])).select("node", docs["text"])
     sets = stored(shingle_sets(texts, size).dropDuplicates(["node"]), "sets")
 
     is_link = f"100 * both >= {percent} * either"
     first = members.filter("node <> leader").select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
+    first = stored(first, "first")
     tested = stored(measured(first, sets), "tested")
     labels = components(tested.filter(is_link))
 
@@ -217,13 +234,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, bands: in
     at_most = F.least(F.col("n") - F.col("k"), F.col("n2") - F.col("k2")) + 1
     may_link = (F.col("label") != F.col("label2")) & (percent * (F.col("n") + F.col("n2")) <= (100 + percent) * at_most)
     more = x.join(y, "s").filter(may_link).select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
+    more = stored(more, "more")
     late = stored(measured(more, sets).filter(is_link), "late")
     if late.head(1):
         labels = components(tested.filter(is_link).select("a", "b").unionByName(late.select("a", "b")))
 
-    at = signed.select("doc", "row", "n", "node").join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    at = join_hot(signed.select("doc", "row", "n", "node"), labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
+    at = stored(at, "parts")
     least = at.filter("n > 0").groupBy("part").agg(F.min("doc").alias("least"))
-    done = at.join(least, "part", "left")
+    done = join_hot(at, least, "part", "left")
     component = F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc"))
     return done.select(F.col("doc").alias("doc_id"), "row", "part", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc")).alias("kept"))
 
@@ -241,7 +260,7 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     near = stored(near_duplicates(docs.select("doc_id", "text")).filter("n_shingles > 0").select(F.col("doc_id").alias("__doc"), F.col("row").alias("__row"), "part"), "near")
     rank = F.struct(F.col("__doc").isNull().alias("last"), "__doc", "__row")
     groups = near.groupBy("part").agg(F.min(rank).alias("first"), F.count("*").alias("held")).filter("held > 1")
-    others = near.join(groups, "part").filter(rank != F.col("first"))
+    others = join_hot(near, groups, "part").filter(rank != F.col("first"))
     first = groups.select(F.col("first.__doc").alias("__doc"), F.col("first.__row").alias("__row"))
 
     def at(keys: DataFrame):

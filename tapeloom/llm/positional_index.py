@@ -64,28 +64,26 @@ def _rare_pairs(items: DataFrame, counts: DataFrame) -> DataFrame:
 def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     """Occurrences ``(item, item_id, doc_id, row, start, length)``: maximal runs of matched words.
 
-    ``items`` is what ``item_words`` gives. It is broadcast only where its counted words are few.
+    ``items`` is what ``item_words`` gives. It is broadcast only where its rows and bytes, measured before, are few.
     """
     items = stored(items, "items")
     each = items.select("item", "n", "span", F.posexplode("terms").alias("i", "term"))
-    n_words = items.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    vocabulary = broadcast_if_small(each.select("term").distinct(), n_words)
+    vocabulary = broadcast_if_small(each.select("term").distinct())
     counts = stored(index.join(vocabulary, "term").groupBy("term").agg(F.count("*").alias("df")), "df")
     pairs = stored(_rare_pairs(items, counts), "pairs")
 
     marks = pairs.select("item", F.explode(F.array("a", "b")).alias("i")).distinct().join(each.select("item", "i", "term"), ["item", "i"])
-    lists = index.join(broadcast_if_small(marks, n_words), "term").select("item", *DOC, (F.col("pos") - F.col("i")).alias("shift"), "i")
+    lists = index.join(broadcast_if_small(marks), "term").select("item", *DOC, (F.col("pos") - F.col("i")).alias("shift"), "i")
     met = lists.groupBy("item", *DOC, "shift").agg(F.collect_set("i").alias("at"))
     by_item = pairs.groupBy("item").agg(F.collect_list(F.struct("a", "b")).alias("ab"))
-    both = met.join(broadcast_if_small(by_item, n_words), "item").filter(
+    both = met.join(broadcast_if_small(by_item), "item").filter(
         F.exists("ab", lambda p: F.array_contains(F.col("at"), p["a"]) & F.array_contains(F.col("at"), p["b"])))
     found = stored(both.select("item", *DOC, "shift"), "candidates")
 
-    n_found = found.count()
-    near = broadcast_if_small(found.select(*DOC).distinct(), n_found)
+    near = broadcast_if_small(found.select(*DOC).distinct())
     near_at = [index[c].eqNullSafe(near[c]) for c in DOC]
     of_docs = index.join(vocabulary, "term", "left_semi").join(near, near_at, "left_semi")
-    wanted = found.join(broadcast_if_small(each, n_words), "item").select("item", "span", *DOC, "shift", "i", (F.col("shift") + F.col("i")).alias("pos"), "term")
+    wanted = found.join(broadcast_if_small(each), "item").select("item", "span", *DOC, "shift", "i", (F.col("shift") + F.col("i")).alias("pos"), "term")
     p = of_docs.select(F.col("doc_id").alias("p_doc"), F.col("row").alias("p_row"), F.col("pos").alias("p_pos"), F.col("term").alias("p_term")).distinct()
     on = wanted["doc_id"].eqNullSafe(p["p_doc"]) & (F.col("row") == F.col("p_row")) & (F.col("pos") == F.col("p_pos")) & (F.col("term") == F.col("p_term"))
     matched = wanted.join(p, on, "left_semi")
@@ -93,7 +91,7 @@ def phrase_matches(index: DataFrame, items: DataFrame) -> DataFrame:
     runs = places.select("item", "span", *DOC, "shift", F.posexplode("at").alias("k", "i"))
     runs = runs.groupBy("item", "span", *DOC, "shift", (F.col("i") - F.col("k")).alias("run")).agg(F.min("i").alias("i0"), F.count("*").alias("length"))
     runs = runs.filter(F.col("length") >= F.col("span"))
-    ids = broadcast_if_small(items.select("item", "item_id"), n_words)
+    ids = broadcast_if_small(items.select("item", "item_id"))
     return runs.join(ids, "item").select("item", "item_id", *DOC, (F.col("shift") + F.col("i0")).alias("start"), "length")
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import broadcast_if_small, session_setup, table
+from tapeloom.llm.common import broadcast_if_small, session_setup, stored, table
 
 #: Classes of characters: 0 blank, 1..126 learned letters, 127 other letters.
 CLASSES = 128
@@ -131,7 +131,8 @@ def fit(docs: DataFrame, per_lang: int = 300, landmarks: int = 40, max_chars: in
     per = Window.partitionBy("lang").orderBy("h", "of_text")
     place = F.struct("h", "of_text")
     cut = short.select("lang", *hashes).withColumn("k", F.row_number().over(per)).filter(F.col("k") <= held).groupBy("lang").agg(F.max(place).alias("last"))
-    chosen = short.join(broadcast_if_small(cut, n), "lang").filter(place <= F.col("last")).dropDuplicates(["lang", *hashes])
+    cut = stored(cut, "cut")
+    chosen = short.join(broadcast_if_small(cut), "lang").filter(place <= F.col("last")).dropDuplicates(["lang", *hashes])
     found = chosen.orderBy("lang", *hashes).select("lang", "text").limit(held * n).collect()
     return solve([r["text"] for r in found], [r["lang"] for r in found], max(1, min(landmarks, marks // n)), ridge)
 
