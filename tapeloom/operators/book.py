@@ -55,6 +55,18 @@ def edge_slippage(books: DataFrame, notional: float, first: bool, n: int = 60) -
     return slippage(held, [notional]).groupBy("coin", "dt").agg(F.median("slip").alias("slip"))
 
 
+def round_trip_slippage(books: DataFrame, notional: float, n: int = 60) -> DataFrame:
+    """``(coin, slip_in, slip_out)``: of the first hour of a coin's first day and the last hour of its last day.
+
+    Coins without a filled book at both ends have no row.
+    """
+    ends = F.broadcast(books.groupBy("coin").agg(F.min("dt").alias("first_dt"), F.max("dt").alias("last_dt")))  # a row a coin
+    at = books.join(ends, "coin")
+    into = edge_slippage(at.filter("dt = first_dt"), notional, True, n).select("coin", F.col("slip").alias("slip_in"))
+    out = edge_slippage(at.filter("dt = last_dt"), notional, False, n).select("coin", F.col("slip").alias("slip_out"))
+    return into.join(out, "coin").filter("slip_in is not null and slip_out is not null")
+
+
 def first_hours(tape: DataFrame, k: int, keys=("coin",)) -> DataFrame:
     """Rows of the first ``k`` hour partitions of each key."""
     hours = tape.select(*keys, "dt", "hr").distinct()

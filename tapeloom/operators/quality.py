@@ -21,6 +21,21 @@ def coverage(channels: dict[str, DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, [one(n, d) for n, d in channels.items()])
 
 
+def selected_coverage(tapes: dict[str, tuple[DataFrame, str]], coins: list[str], anchored: dict[str, str], days: int = 90) -> DataFrame:
+    """``(channel, coin, n_rows, first_ms, last_ms)`` of some coins over all channels at once.
+
+    ``tapes`` names the time column of each channel; channels in ``anchored`` are cut to ``days`` before the last row of the
+    coin given there. Trades count distinct ids, as a reconnect replays some.
+    """
+    def one(name: str, df: DataFrame, ms: str) -> DataFrame:
+        held = anchored_window(df, ms, anchored[name], days) if name in anchored else df
+        n = F.count_distinct("tid") if name == "trades" else F.count("*")
+        each = held.filter(F.col("coin").isin(coins)).groupBy("coin").agg(n.alias("n_rows"), F.min(ms).alias("first_ms"), F.max(ms).alias("last_ms"))
+        return each.select(F.lit(name).alias("channel"), "*")
+
+    return reduce(DataFrame.unionByName, [one(n, *t) for n, t in tapes.items()])
+
+
 def anchored_window(df: DataFrame, ms: str, anchor_coin: str, days: int) -> DataFrame:
     """Rows strictly within ``days`` before the anchor coin's last row."""
     last = df.filter(F.col("coin") == anchor_coin).agg((F.max(ms) - days * 24 * HOUR_MS).alias("after"))

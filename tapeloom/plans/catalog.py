@@ -438,6 +438,35 @@ def sampled_slippage(s, d):
     return x.select("coin", "captured_ms", F.round("mid", 8).alias("mid"), "notional", F.round("slip", 6).alias("slip"))
 
 
+BOOKED_SQL = DRIFT + ", " + BOOK_SQL[5:] + """,
+e AS (SELECT coin, slip, captured_ms, captured_ms // 1440 AS dt, captured_ms // 60 AS hr FROM s WHERE notional = 10000), b AS (SELECT coin, min(dt) AS lo, max(dt) AS hi FROM e GROUP BY coin),
+f AS (SELECT e.coin, slip, dt = lo AND hr = min(hr) OVER y AS at_in, dt = hi AND hr = max(hr) OVER y AS at_out, (row_number() OVER (PARTITION BY e.coin, hr ORDER BY captured_ms) - 1) % 60 = 0 AS held
+  FROM e JOIN b ON b.coin = e.coin WINDOW y AS (PARTITION BY e.coin, dt)),
+rt AS (SELECT coin AS series, median(slip) FILTER (WHERE at_in AND held) AS slip_in, median(slip) FILTER (WHERE at_out AND held) AS slip_out FROM f GROUP BY coin)"""
+
+
+def _round_trips(s, d):
+    """The number of a book is taken as its minute."""
+    held = a.books(s, d).withColumns({"dt": F.floor(F.col("captured_ms") / 1440), "hr": F.floor(F.col("captured_ms") / 60)})
+    return book.round_trip_slippage(held, 10_000).withColumnRenamed("coin", "series")
+
+
+@query(BOOKED_SQL + " SELECT series, round(slip_in, 9) AS slip_in, round(slip_out, 9) AS slip_out FROM rt WHERE slip_in IS NOT NULL AND slip_out IS NOT NULL")
+def round_trip_slippage(s, d):
+    return rounded(_round_trips(s, d), 9)
+
+
+@query(BOOKED_SQL + f""", x AS (SELECT da.*, slip_in, slip_out, row_number() OVER (PARTITION BY series ORDER BY day) AS up, row_number() OVER (PARTITION BY series ORDER BY day DESC) AS down
+  FROM da JOIN rt USING (series) WHERE slip_in IS NOT NULL AND slip_out IS NOT NULL),
+ne AS (SELECT series, day, ret, ret - 1.0 / 10000 - CASE WHEN up = 1 THEN {4 * COSTS.taker_fee!r} / 2 + 2 * slip_in ELSE 0 END - CASE WHEN down = 1 THEN {4 * COSTS.taker_fee!r} / 2 + 2 * slip_out ELSE 0 END AS net FROM x)
+SELECT series, day, round(ret, 6) AS ret, round(net, 6) AS net, round(sum(net) OVER (PARTITION BY series ORDER BY day), 6) AS cum_net FROM ne""")
+def booked_carry_ledger(s, d):
+    """The carry ledger with the slippage of each coin's own books at entry and exit."""
+    daily = daily_drift(s, d).join(F.broadcast(_round_trips(s, d)), "series")  # a row a coin
+    out = pnl.carry_ledger(daily, 4 * COSTS.taker_fee, F.col("slip_in"), F.col("slip_out"), 1.0)
+    return rounded(out.drop("slip_in", "slip_out"))
+
+
 FEATURE_SQL = ctes("mk", "sp", "fu") + """,
 pl AS (SELECT mk.coin, mk.hour, spot, perp, coalesce(funding_rate, 0) AS f, (perp - spot) / nullif(spot, 0) AS b FROM mk JOIN sp USING (coin, hour) LEFT JOIN fu USING (coin, hour)),
 x AS (SELECT coin, hour, b AS basis, f AS funding_rate,
@@ -508,6 +537,24 @@ def tape_coverage(s, d):
     return quality.coverage(_channels(s, d))
 
 
+SELECTED = ["0", "1", "2", "view", "click"]
+_OF = "FROM {} WHERE coin IN ('0', '1', '2', 'view', 'click')"
+_SINCE = " AND hour > (SELECT max(hour) - 7776000000 FROM {} WHERE coin = '0')"
+
+
+@query(ctes("mk", "fu", "tr", "qu", "cx") + ", bk AS (SELECT DISTINCT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS ms FROM lineitem WHERE l_quantity > 0)"
+       + " SELECT 'funding' AS channel, coin, count(*) AS n_rows, min(hour) AS first_ms, max(hour) AS last_ms " + _OF.format("fu") + _SINCE.format("fu") + " GROUP BY coin"
+       + " UNION ALL SELECT 'marks', coin, count(*), min(hour), max(hour) " + _OF.format("mk") + _SINCE.format("mk") + " GROUP BY coin"
+       + " UNION ALL SELECT 'trades', coin, count(DISTINCT tid), min(captured_ms), max(captured_ms) " + _OF.format("tr") + " GROUP BY coin"
+       + " UNION ALL SELECT 'l2book', coin, count(*), min(ms), max(ms) " + _OF.format("bk") + " GROUP BY coin"
+       + " UNION ALL SELECT 'bbo', coin, count(*), min(bbo_ms), max(bbo_ms) " + _OF.format("qu") + " GROUP BY coin"
+       + " UNION ALL SELECT 'ctx', coin, count(*), min(captured_ms), max(captured_ms) " + _OF.format("cx") + " GROUP BY coin")
+def selected_coverage(s, d):
+    tapes = {"funding": (a.funding(s, d), "hour"), "marks": (a.marks(s, d), "hour"), "trades": (a.trades(s, d), "captured_ms"),
+             "l2book": (a.books(s, d), "captured_ms"), "bbo": (a.quotes(s, d), "bbo_ms"), "ctx": (a.contexts(s, d), "captured_ms")}
+    return quality.selected_coverage(tapes, SELECTED, {"funding": "0", "marks": "0"})
+
+
 @query(ctes("tr") + """, w AS (SELECT * FROM tr WHERE trade_ms > (SELECT max(trade_ms) - 7 * 86400000 FROM tr WHERE coin = 'view'))
 SELECT 'trades' AS channel, coin, count(*) AS n_rows, min(trade_ms) AS first_ms, max(trade_ms) AS last_ms, count(DISTINCT tid) AS distinct_ids FROM w GROUP BY coin""")
 def anchored_coverage(s, d):
