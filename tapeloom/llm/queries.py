@@ -7,6 +7,7 @@ from tapeloom.llm.column_bwt import op7_column_bwt
 from tapeloom.llm.gif import op4_gif
 from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
 from tapeloom.llm.minhash import OP10_SQL, op10_circulant_minhash
+from tapeloom.llm.multi_index import OP11_SQL, op11_inverted_multi_index
 from tapeloom.llm.ngram_trie import op6_ngram_trie
 from tapeloom.llm.positional_index import OP5_SQL, op5_positional_index
 from tapeloom.llm.string_kernel import op3_string_kernel
@@ -24,6 +25,7 @@ QUERIES = {
     "op8_unit_hashing": op8_unit_hashing,
     "op9_line_runs": op9_line_runs,
     "op10_circulant_minhash": op10_circulant_minhash,
+    "op11_inverted_multi_index": op11_inverted_multi_index,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -31,4 +33,5 @@ ORACLE_SQL: dict[str, str] = {
     "op8_unit_hashing": OP8_SQL,
     "op9_line_runs": OP9_SQL,
     "op10_circulant_minhash": OP10_SQL,
+    "op11_inverted_multi_index": OP11_SQL,
 }
