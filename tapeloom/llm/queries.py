@@ -9,6 +9,7 @@ from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
 from tapeloom.llm.minhash import OP10_SQL, op10_circulant_minhash
 from tapeloom.llm.multi_index import OP11_SQL, op11_inverted_multi_index
 from tapeloom.llm.ngram_trie import op6_ngram_trie
+from tapeloom.llm.periodic_runs import op12_periodic_runs
 from tapeloom.llm.positional_index import OP5_SQL, op5_positional_index
 from tapeloom.llm.string_kernel import op3_string_kernel
 from tapeloom.llm.unit_dedup import OP8_SQL, op8_unit_hashing
@@ -26,6 +27,7 @@ QUERIES = {
     "op9_line_runs": op9_line_runs,
     "op10_circulant_minhash": op10_circulant_minhash,
     "op11_inverted_multi_index": op11_inverted_multi_index,
+    "op12_periodic_runs": op12_periodic_runs,
 }
 
 ORACLE_SQL: dict[str, str] = {
