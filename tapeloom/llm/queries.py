@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tapeloom.llm.bpe import op1_byte_bpe
+from tapeloom.llm.collocations import OP13_SQL, op13_fm_collocations
 from tapeloom.llm.column_bwt import op7_column_bwt
 from tapeloom.llm.gif import op4_gif
 from tapeloom.llm.line_runs import OP9_SQL, op9_line_runs
@@ -28,6 +29,7 @@ QUERIES = {
     "op10_circulant_minhash": op10_circulant_minhash,
     "op11_inverted_multi_index": op11_inverted_multi_index,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_fm_collocations": op13_fm_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -36,4 +38,5 @@ ORACLE_SQL: dict[str, str] = {
     "op9_line_runs": OP9_SQL,
     "op10_circulant_minhash": OP10_SQL,
     "op11_inverted_multi_index": OP11_SQL,
+    "op13_fm_collocations": OP13_SQL,
 }
