@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.sources import adapters as a
 from tapeloom.sources.adapters import ctes
-from tapeloom.streaming import tape
+from tapeloom.streaming import alerts, tape
 
 
 def scratch(spark: SparkSession, tag: str) -> str:
@@ -32,6 +32,13 @@ def _raw_files(s: SparkSession, d: str, root: str) -> str:
     return f"{root}/raw"
 
 
+def _closing(s: SparkSession, d: str) -> DataFrame:
+    """A message far ahead of all trades, of a coin of its own."""
+    last = a.trades(s, d).agg((F.max("trade_ms") + 400 * a.DAY).alias("time"))
+    end = F.struct(F.lit("end").alias("coin"), F.lit("B").alias("side"), F.lit("1").alias("px"), F.lit("1").alias("sz"), "time", F.lit(-1).cast("long").alias("tid"))
+    return last.select(F.lit(0).cast("long").alias("captured_ms"), F.to_json(F.struct(F.lit("trades").alias("channel"), F.array(end).alias("data"))).alias("value"))
+
+
 def _run_to_end(rows: DataFrame, root: str) -> DataFrame:
     out, s = f"{root}/out", rows.sparkSession
     q = rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{root}/check").outputMode("append").trigger(availableNow=True).start()
@@ -51,9 +58,7 @@ def stream_bars(s: SparkSession, d: str) -> DataFrame:
     """Hourly bars of the stream without replays; a closing message far ahead lets the watermark pass all windows."""
     root = scratch(s, "bars")
     raw = _raw_files(s, d, root)
-    last = a.trades(s, d).agg((F.max("trade_ms") + 400 * a.DAY).alias("time"))
-    end = F.struct(F.lit("end").alias("coin"), F.lit("B").alias("side"), F.lit("1").alias("px"), F.lit("1").alias("sz"), "time", F.lit(-1).cast("long").alias("tid"))
-    closing = last.select(F.lit(0).cast("long").alias("captured_ms"), F.to_json(F.struct(F.lit("trades").alias("channel"), F.array(end).alias("data"))).alias("value"))
+    closing = _closing(s, d)
     # A first run reads the trades; the second reads the closing message and emits every window.
     trades = lambda: tape.without_replays(tape.channel_stream(tape.raw_stream(s, raw), "trades"), "60 days")
     _run_to_end(tape.stream_flow_bars(trades(), "1 hour", None), root)
@@ -62,9 +67,23 @@ def stream_bars(s: SparkSession, d: str) -> DataFrame:
     return done.select("coin", "bar", F.round("taker", 4).alias("taker"), F.round("px", 6).alias("px"), F.round("notional", 4).alias("notional"))
 
 
-QUERIES = {"stream_trades": stream_trades, "stream_bars": stream_bars}
+def stream_stalls(s: SparkSession, d: str) -> DataFrame:
+    """Stalls and recoveries of each coin's trades, told by timers; the closing message lets the watermark pass the last row."""
+    root = scratch(s, "stalls")
+    raw = _raw_files(s, d, root)
+    alarms = lambda: alerts.stall_alerts(tape.channel_stream(tape.raw_stream(s, raw), "trades"), ["coin"], delay="60 days").filter("coin <> 'end'")
+    _run_to_end(alarms(), root)
+    closing = _closing(s, d).withColumn("captured_ms", F.get_json_object("value", "$.data[0].time").cast("long"))
+    closing.write.mode("append").parquet(raw)
+    return _run_to_end(alarms(), root)
+
+
+QUERIES = {"stream_trades": stream_trades, "stream_bars": stream_bars, "stream_stalls": stream_stalls}
 ORACLE_SQL = {
     "stream_bars": ctes("tr") + """ SELECT coin, trade_ms // 3600000 * 3600000 AS bar, round(sum(CASE WHEN side = 'B' THEN notional ELSE -notional END), 4) AS taker,
 round(arg_max(px, (trade_ms, tid)), 6) AS px, round(sum(notional), 4) AS notional FROM tr GROUP BY 1, 2""",
+    "stream_stalls": ctes("tr") + """, g AS (SELECT coin, captured_ms AS last_ms, lead(captured_ms) OVER (PARTITION BY coin ORDER BY captured_ms) AS nxt FROM (SELECT DISTINCT coin, captured_ms FROM tr)),
+k AS (SELECT * FROM g WHERE nxt IS NULL OR nxt - last_ms >= 240000)
+SELECT coin, 'stall' AS kind, last_ms, last_ms + 240000 AS at_ms FROM k UNION ALL SELECT coin, 'recovered', last_ms, nxt FROM k WHERE nxt IS NOT NULL""",
     "stream_trades": ctes("tr") + " SELECT coin, trade_ms, tid, side, round(px, 6) AS px, round(notional, 4) AS notional FROM tr",
 }

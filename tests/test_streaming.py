@@ -39,3 +39,46 @@ def test_sink_partitions_by_event_hour(spark, tmp_path):
     back = spark.read.parquet(f"{tmp_path}/tape/bbo")
     assert sorted((str(r["dt"]), int(r["hr"])) for r in back.collect()) == [("1970-01-01", 0), ("1970-01-01", 1)]
     assert back.first()["coin"] == "dex:ABC"
+
+
+def stalls(rows):
+    return sorted((r["coin"], r["kind"], r["last_ms"], r["at_ms"]) for r in rows.collect())
+
+
+def test_stalls_of_a_stream_out_of_order_and_restarted(spark, tmp_path):
+    """One file a batch, rows out of order within the delay, a restart between batches: as the table of all rows has it."""
+    from tapeloom.streaming import alerts
+
+    minute = 60_000
+    feeds = {"a": [0, 1, 2, 9, 10, 11, 30, 31, 60, 61, 62], "b": list(range(0, 61, 3)), "c": [5, 9], "d": [0, 4, 8, 11]}
+    began = 1000 * minute  # rows at the time 0 are behind any watermark
+    rows = sorted((began + m * minute, c) for c, ms in feeds.items() for m in ms)
+    batches = [[r for r in rows if lo <= r[0] - began < lo + 10 * minute] for lo in range(0, 70 * minute, 10 * minute)]
+    # Each batch gives some of its rows to the next one: they come late, within the delay.
+    late = [[r for i, r in enumerate(b) if i % 3 == 1] for b in batches]
+    files = [[*(r for r in b if r not in late[k]), *(late[k - 1] if k else [])][::-1] for k, b in enumerate(batches)]
+    files += [late[-1], [(3000 * minute, "end")], [(3000 * minute, "end")]]
+    schema, path = "captured_ms bigint, coin string", f"{tmp_path}/rows"
+
+    def stream():
+        return alerts.stall_alerts(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path), ["coin"], delay="25 minutes").filter("coin <> 'end'")
+
+    for f in files:
+        spark.createDataFrame(f, schema).coalesce(1).write.mode("append").parquet(path)
+        got = finished(stream(), tmp_path)  # a run of its own: state and timers come from the checkpoint
+    table = spark.createDataFrame(rows, schema).repartition(3)
+    want = stalls(alerts.stall_table(table, ["coin"], 3000 * minute))
+    assert stalls(got) == want and len(want) > 12
+    kinds = [(k, last // minute - 1000, at // minute - 1000) for c, k, last, at in want if c == "a"]
+    assert kinds == [("recovered", 2, 9), ("recovered", 11, 30), ("recovered", 31, 60), ("stall", 2, 6), ("stall", 11, 15), ("stall", 31, 35), ("stall", 62, 66)]
+
+
+def test_state_of_a_feed_grows_with_gaps_only():
+    from tapeloom.streaming import alerts
+
+    lo, hi = alerts.merged([], [], list(range(0, 100_000, 7)), 60)
+    assert (lo, hi) == ([0], [99_995])
+    lo, hi = alerts.merged(lo, hi, [200_000, 100_054, 100_055], 60)
+    assert (lo, hi) == ([0, 200_000], [100_055, 200_000])
+    said, stalled, lo, hi = alerts.decided(False, lo, hi, 150_000, 60)
+    assert said == [("stall", 100_055, 100_115)] and stalled and lo == [0, 200_000]
