@@ -30,7 +30,7 @@ from tapeloom.llm.minhash import mixed
 
 DEPTH, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Words and separators that a task holds before it closes the largest shard.
-PENDING = 4_000_000
+PENDING = 1_500_000
 SLOT_BITS = 28
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, a tab as a space, separators of pieces as line feeds.
@@ -109,24 +109,24 @@ class Phrases:
         self.bwt = np.frombuffer(bwt, np.int32)
         counts = np.bincount(self.bwt, minlength=len(self.words) + 1)
         self.first = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
-        self.right = np.argsort(self.bwt, kind="stable")  # from a row to the row of what follows its first word
+        self.right = np.argsort(self.bwt, kind="stable").astype(np.int32)  # from a row to the row of what follows its first word
 
     def sizes(self, depth: int, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """``(numbers, counts)`` of all phrases of 1 to ``depth`` words; ``keep(numbers)`` tells which pairs longer ones may hold."""
-        rows = np.arange(len(self.first))
+        rows = len(self.first)
         group, live = self.first, self.first > 0
         for size in range(1, depth + 1):
             if size > 1:
                 after = group[self.right]
                 live = (self.first > 0) & live[self.right]
-                edge = np.ones(len(rows), bool)
+                edge = np.ones(rows, bool)
                 edge[1:] = (self.first[1:] != self.first[:-1]) | (after[1:] != after[:-1])
                 group = np.cumsum(edge, dtype=np.int32) - 1
             else:
-                edge = np.ones(len(rows), bool)
+                edge = np.ones(rows, bool)
                 edge[1:] = group[1:] != group[:-1]
             begin = np.flatnonzero(edge)
-            counts = np.diff(begin, append=len(rows))
+            counts = np.diff(begin, append=rows)
             good = live[begin]
             begin, counts = begin[good], counts[good]
             numbers, at = [], begin
