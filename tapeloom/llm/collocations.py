@@ -30,7 +30,9 @@ from tapeloom.llm.minhash import mixed
 
 DEPTH, LEAST, INSIDE, TOP = 3, 10, 50, 2000
 #: Words and separators that a task holds before it closes the largest shard.
-PENDING = 1_500_000
+PENDING = 600_000
+#: Bytes of a batch of shards on its way to Python.
+BATCH_BYTES = 8_388_608
 SLOT_BITS = 28
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, a tab as a space, separators of pieces as line feeds.
@@ -221,6 +223,7 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside
     that holds it occurs ``inside`` hundredths as often.
     """
     session_setup(docs.sparkSession)
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
     index = stored(shards(texts, depth, pending), "shards")
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
