@@ -25,6 +25,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tapeloom.sources.layers import stored
+
 SCALE = 30
 #: Rows of a block: hourly rows of one coin over seven years.
 BLOCK = 65_536
@@ -229,10 +231,10 @@ def _in_place(blocks: DataFrame, keys: list[str], size: Size, seeds: list[int],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for row in b.to_pylist():
-                made = pd.DataFrame(list(grown(row, size, seeds, features)), columns=names).astype({n: "int32" for n in names[:5]})
-                for i, k in enumerate(keys):
-                    made.insert(i, k, row[k])
-                yield pa.RecordBatch.from_pandas(made, preserve_index=False)
+                made = list(zip(*grown(row, size, seeds, features)))
+                own = [pa.array([row[k]] * len(made[0]), b.schema.field(k).type) for k in keys]
+                rest = [pa.array(x, pa.int32() if i < 5 else pa.float64()) for i, x in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([*own, *rest], [*keys, *names])
 
     return blocks.mapInArrow(run, f"{kinds}, {_ROW}")
 
@@ -265,7 +267,7 @@ def _exchanged(blocks: DataFrame, keys: list[str], size: Size, seeds: list[int],
                                 margin += t.value[t.descend(bins)]
                         sums = tree.sums(bins, *gradients(size, margin, y, seed, number, ids))
                         node, feature, at = np.nonzero((sums != 0).any(axis=0))
-                        columns = [pa.array([row[k]] * len(node)) for k in keys]
+                        columns = [pa.array([row[k]] * len(node), b.schema.field(k).type) for k in keys]
                         columns += [pa.array(x.astype(np.int32)) for x in (np.full(len(node), seed), node, feature, at)]
                         columns += [pa.array(s[node, feature, at].astype(np.int64)) for s in sums]
                         yield pa.RecordBatch.from_arrays(columns, [*keys, "seed", "node", "feature", "bin", "g", "h"])
@@ -301,22 +303,15 @@ def fit(rows: DataFrame, keys: list[str], columns: list[str], label: str = "labe
     """The tree table of a model for each key of ``rows`` and each seed; rows have no null in ``columns``."""
     blocks, cuts = blocks_of(rows, keys, columns, label, order, size, block)
     found = _in_place(blocks.filter("blocks = 1"), keys, size, seeds, len(columns))
-    many = blocks.filter("blocks > 1")
-    if many.select("blocks").head(1):
-        made = _exchanged(many, keys, size, seeds, len(columns))
+    if rows.groupBy(*keys).count().filter(F.col("count") > block).head(1):
+        made = _exchanged(blocks.filter("blocks > 1"), keys, size, seeds, len(columns))
         found = found.unionByName(rows.sparkSession.createDataFrame(made, found.schema))
     cut = F.when(F.col("feature") >= 0, F.col("cuts")[F.col("feature")][F.col("bin")])
-    return found.join(cuts, keys).select(*keys, "seed", "tree", "node", "feature", cut.alias("cut"), "value", "cover")
-
-
-def packed_trees(trees: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
-    """One row per key: its nodes as an array."""
-    node = F.struct("seed", "tree", "node", "feature", "cut", "value", "cover")
-    return trees.groupBy(*keys).agg(F.collect_list(node).alias("nodes"))
+    return stored(found.join(cuts, keys).select(*keys, "seed", "tree", "node", "feature", cut.alias("cut"), "value", "cover"), "trees")
 
 
 def with_trees(rows: DataFrame, trees: DataFrame, keys: list[str], columns: list[str], order: str, keep: list[str], made, out: str, block: int = BLOCK) -> DataFrame:
-    """``made(matrix, {seed: [tree]})`` of blocks of rows and their key's trees; gives ``(rows, columns of out)`` arrays by seed."""
+    """``(keys, order, keep, seed, columns of out)``: ``made(matrix, model)`` of each block of rows with each seed's trees of its key."""
     kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in [*keys, order, *keep])
     rows = rows.join(trees.select(*keys).distinct(), keys, "left_semi")
     count = rows.groupBy(*keys).agg(F.ceil(F.count("*") / block).alias("blocks"))

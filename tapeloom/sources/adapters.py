@@ -25,27 +25,32 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "events").select("event_id", epoch_ms("ts").alias("ms"), "user_id", "event_type", "value", k.alias("k"))
 
 
-def trades(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _coin(by_leg: bool):
+    """The coin of an event on the tape: its type, or the coin of the candle legs."""
+    return (F.col("user_id") % 2).cast("string").alias("coin") if by_leg else F.col("event_type").alias("coin")
+
+
+def trades(spark: SparkSession, sf_dir: str, by_leg: bool = False) -> DataFrame:
     e = events(spark, sf_dir)
     sz = F.col("k") + F.lit(1.0)
     return e.select(
-        (F.col("ms") + F.col("k") * 10).alias("captured_ms"), F.col("ms").alias("trade_ms"), F.col("event_type").alias("coin"),
+        (F.col("ms") + F.col("k") * 10).alias("captured_ms"), F.col("ms").alias("trade_ms"), _coin(by_leg),
         F.when(F.col("event_id") % 2 == 0, "B").otherwise("A").alias("side"), F.col("value").alias("px"), sz.alias("sz"),
         (F.col("value") * sz).alias("notional"), F.col("event_id").alias("tid"), F.col("user_id").cast("string").alias("users_buyer"),
         ((F.col("user_id") * 7 + 3) % 150).cast("string").alias("users_seller"))
 
 
-def quotes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def quotes(spark: SparkSession, sf_dir: str, by_leg: bool = False) -> DataFrame:
     e = events(spark, sf_dir)
     return e.select(
-        F.col("ms").alias("captured_ms"), F.col("ms").alias("bbo_ms"), F.col("event_type").alias("coin"), F.col("value").alias("bid_px"),
+        F.col("ms").alias("captured_ms"), F.col("ms").alias("bbo_ms"), _coin(by_leg), F.col("value").alias("bid_px"),
         (F.col("k") + F.lit(1.0)).alias("bid_sz"), (F.col("value") * (1 + (F.col("k") + 1) / 10000)).alias("ask_px"),
         (F.col("user_id") + F.lit(1.0)).alias("ask_sz"), F.col("event_id").alias("seq"))
 
 
-def contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def contexts(spark: SparkSession, sf_dir: str, by_leg: bool = False) -> DataFrame:
     e = events(spark, sf_dir)
-    return e.select(F.col("ms").alias("captured_ms"), F.col("event_type").alias("coin"), ((F.col("k") - 50) / 1e6).alias("premium"),
+    return e.select(F.col("ms").alias("captured_ms"), _coin(by_leg), ((F.col("k") - 50) / 1e6).alias("premium"),
                     ((F.col("user_id") - 75) / 1e6).alias("funding"), F.col("event_id").alias("seq"))
 
 

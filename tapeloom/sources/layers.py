@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,22 @@ class MissingCoin(LookupError):
     """A layer holds no rows of the coin."""
 
 
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A new folder that driver and executors share, below ``spark.checkpoint.dir``."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    root = root or "file://" + tempfile.mkdtemp(prefix="spark-shared-")
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, tag: str) -> DataFrame:
+    """``df`` written to a shared folder and read back: computed once, and found again after an executor is lost."""
+    path = scratch(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def load_layer(spark: SparkSession, root: str, layer: str, coin: str | None = None) -> DataFrame:
     """A layer partitioned by coin; with ``coin``, that coin's rows, or MissingCoin."""
     df = spark.read.schema(schemas.LAYERS[layer.split("_")[0]]).parquet(f"{root}/{layer}")

@@ -2,27 +2,15 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tapeloom.sources import adapters as a
 from tapeloom.sources.adapters import ctes
+from tapeloom.sources.layers import scratch
 from tapeloom.streaming import alerts, tape
 
 
-def scratch(spark: SparkSession, tag: str) -> str:
-    """A folder that driver and executors share."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-    root = root or "file://" + tempfile.mkdtemp(prefix="spark-stream-")
-    return f"{root.rstrip('/')}/stream-{tag}-{uuid.uuid4().hex}"
-
-
 def _raw_files(s: SparkSession, d: str, root: str) -> str:
     """Trade messages by day of capture, each sent twice as a reconnect would; a last late message closes all windows."""
     t = a.trades(s, d)
@@ -48,7 +36,7 @@ def _run_to_end(rows: DataFrame, root: str) -> DataFrame:
 
 def stream_trades(s: SparkSession, d: str) -> DataFrame:
     """Parsed trades of the stream without replays."""
-    root = scratch(s, "trades")
+    root = scratch(s, "stream-trades")
     trades = tape.channel_stream(tape.raw_stream(s, _raw_files(s, d, root)), "trades")
     done = _run_to_end(tape.without_replays(trades, "60 days"), root)
     return done.select("coin", "trade_ms", "tid", "side", F.round("px", 6).alias("px"), F.round("notional", 4).alias("notional"))
@@ -56,7 +44,7 @@ def stream_trades(s: SparkSession, d: str) -> DataFrame:
 
 def stream_bars(s: SparkSession, d: str) -> DataFrame:
     """Hourly bars of the stream without replays; a closing message far ahead lets the watermark pass all windows."""
-    root = scratch(s, "bars")
+    root = scratch(s, "stream-bars")
     raw = _raw_files(s, d, root)
     closing = _closing(s, d)
     # A first run reads the trades; the second reads the closing message and emits every window.
@@ -69,7 +57,7 @@ def stream_bars(s: SparkSession, d: str) -> DataFrame:
 
 def stream_stalls(s: SparkSession, d: str) -> DataFrame:
     """Stalls and recoveries of each coin's trades, told by timers; the closing message lets the watermark pass the last row."""
-    root = scratch(s, "stalls")
+    root = scratch(s, "stream-stalls")
     raw = _raw_files(s, d, root)
     alarms = lambda: alerts.stall_alerts(tape.channel_stream(tape.raw_stream(s, raw), "trades"), ["coin"], delay="60 days").filter("coin <> 'end'")
     _run_to_end(alarms(), root)

@@ -245,26 +245,13 @@ def test_freshness_and_coverage(spark):
     assert quality.hourly_coverage(t, "trade_ms").first()["missing_pct"] == pytest.approx(100 * 4 / 6)
 
 
-def test_models_learn_and_attributions_add_up(spark):
-    import random
-
-    rng = random.Random(2)
-    cols = ["basis", "funding_rate"]
-    made = [("x", i * H, (b := rng.uniform(-1, 1)), rng.uniform(-1, 1), b * 0.01, int(b > 0)) for i in range(400)]
-    d = spark.createDataFrame(made, "coin string, hour bigint, basis double, funding_rate double, target_fund double, label int")
-    model, train, test = models.train_sign_model(d, columns=cols, iterations=5)
-    assert test.count() == 120 and train.agg(F.max("hour")).first()[0] < test.agg(F.min("hour")).first()[0]
-    assert models.scores(model, test, "boosted").first()["auc"] > 0.6
-    parts = models.tree_attribution(model, test, cols)
-    assert models.mean_drivers(parts, 1).first()["feature"] == "basis"
-    margin = {r["hour"]: float(r["rawPrediction"][1]) for r in model.transform(test).collect()}
-    sums = {r["hour"]: r["s"] for r in parts.groupBy("hour").agg(F.sum("attribution").alias("s")).collect()}
-    scale = [margin[h] / sums[h] for h in margin if abs(sums[h]) > 1e-9]
-    assert max(scale) - min(scale) < 1e-6  # the margin is a fixed multiple of the sum of the trees
-    acc = models.majority_accuracy(spark.createDataFrame([(1,), (1,), (1,), (0,)], "label int"), spark.createDataFrame([(1,), (0,), (1,)], "label int")).first()
-    assert acc["accuracy"] == pytest.approx(2 / 3)
-    rmse = models.persistence_rmse(spark.createDataFrame([(1.0, 1.0), (3.0, 1.0), (0.0, 2.0)], "a double, p double"), "a", "p").first()["rmse"]
-    assert rmse == pytest.approx(math.sqrt(8 / 3))
+def test_baselines_by_coin(spark):
+    rows = lambda held: spark.createDataFrame(held, "coin string, label int")
+    train, test = rows([("x", 1), ("x", 1), ("x", 0), ("y", 0)]), rows([("x", 1), ("x", 0), ("x", 1), ("y", 0), ("z", 1)])
+    got = {r["coin"]: (r["majority"], r["accuracy"]) for r in models.majority_accuracy(train, test).collect()}
+    assert got == {"x": (1, pytest.approx(2 / 3)), "y": (0, 1.0)}
+    pairs = spark.createDataFrame([("x", 1.0, 1.0), ("x", 3.0, 1.0), ("x", 0.0, 2.0), ("y", 1.0, 0.0)], "coin string, a double, p double")
+    assert {r["coin"]: r["rmse"] for r in models.persistence_rmse(pairs, "a", "p").collect()} == {"x": pytest.approx(math.sqrt(8 / 3)), "y": 1.0}
 
 
 def test_the_18_inputs_by_name():
