@@ -6,9 +6,9 @@ to ``depth`` words. Phrases are enumerated by interval: a row's left neighbour i
 rows of the phrases extended to the left, and the way back leads from a phrase's row to the row of its right part. So the intervals of one more word
 are the stretches of rows whose first word and whose right part's interval stay the same: an interval's size is the phrase's count in the shard.
 
-Counts of shards are summed. A phrase of three words can be frequent only where both of its pairs are, so pairs are counted first, by slots of a
-hash; the slots that reach the least count, as bits of at most ``2 ** SLOT_BITS / 8`` bytes at any input, go to the tasks, which extend the pairs
-in those slots only. A slot that pairs share adds work, never a result: phrases are summed by their words afterwards.
+Counts of shards are summed. A phrase can be frequent only where its parts are, so phrases are counted size by size, by slots of a hash; the slots
+that reach the least count, as bits of ``2 ** SLOT_BITS / 8`` bytes at any input, go to the tasks, which extend the phrases in those slots only.
+A slot that phrases share adds work, never a result: what is left is summed by its words.
 
 Scores are exact: products are decimals of 38 digits, which counts up to 10 ** 15 keep within.
 
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -113,20 +114,19 @@ class Phrases:
         self.first = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
         self.right = np.argsort(self.bwt, kind="stable").astype(np.int32)  # from a row to the row of what follows its first word
 
-    def sizes(self, depth: int, keep=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """``(numbers, counts)`` of all phrases of 1 to ``depth`` words; ``keep(numbers)`` tells which pairs longer ones may hold."""
+    def sizes(self, depth: int, keep) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """``(numbers, counts)`` of the phrases of 1 to ``depth`` words whose parts all pass ``keep(numbers)``; the last size is not asked about."""
         rows = len(self.first)
         group, live = self.first, self.first > 0
         for size in range(1, depth + 1):
-            if size > 1:
+            edge = np.ones(rows, bool)
+            if size == 1:
+                edge[1:] = group[1:] != group[:-1]
+            else:
                 after = group[self.right]
                 live = (self.first > 0) & live[self.right]
-                edge = np.ones(rows, bool)
                 edge[1:] = (self.first[1:] != self.first[:-1]) | (after[1:] != after[:-1])
-                group = np.cumsum(edge, dtype=np.int32) - 1
-            else:
-                edge = np.ones(rows, bool)
-                edge[1:] = group[1:] != group[:-1]
+            group = np.cumsum(edge, dtype=np.int32) - 1
             begin = np.flatnonzero(edge)
             counts = np.diff(begin, append=rows)
             good = live[begin]
@@ -136,69 +136,124 @@ class Phrases:
                 numbers.append(self.first[at])
                 at = self.right[at]
             numbers = np.column_stack(numbers) if len(begin) else np.zeros((0, size), np.int32)
-            if size == 2 and keep is not None:
-                good = keep(numbers)
-                rare = np.zeros(int(group[-1]) + 1, bool)
-                rare[group[begin[~good]]] = True
-                live = live & ~rare[group]
-                numbers, counts = numbers[good], counts[good]
-            elif size > 2 and keep is not None and len(numbers):
-                good = keep(numbers[:, :2])
-                numbers, counts = numbers[good], counts[good]
-            yield numbers, counts
+            good = np.ones(len(numbers), bool) if size == 1 else keep(numbers[:, :-1])
+            if size < depth:
+                good[good] = keep(numbers[good])
+                kept = np.zeros(int(group[-1]) + 1 if rows else 0, bool)
+                kept[group[begin[good]]] = True
+                live = live & kept[group]
+            yield numbers[good], counts[good]
+
+
+class Slots:
+    """Slots of an index's phrases, by a hash of the language and the words, and the bits that say which are full."""
+
+    def __init__(self, lang: str, words: list[bytes], bits: np.ndarray):
+        import xxhash
+
+        self.own = np.array([0, *map(xxhash.xxh3_64_intdigest, words)], np.uint64)
+        self.seed, self.bits = np.uint64(xxhash.xxh3_64_intdigest(lang)), bits
+
+    def of(self, numbers: np.ndarray) -> np.ndarray:
+        h = np.full(len(numbers), self.seed)
+        for column in numbers.T:
+            h = mixed(h * _GOLD + self.own[column])
+        return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
+    def full(self, numbers: np.ndarray) -> np.ndarray:
+        at = self.of(numbers)
+        return (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
-def slots(lang: str, words: list[bytes], numbers: np.ndarray) -> np.ndarray:
-    """Slots of pairs of words, by a hash of the language and both words."""
-    import xxhash
 
-    own = np.array([0, *map(xxhash.xxh3_64_intdigest, words)], np.uint64)
-    seed = np.uint64(xxhash.xxh3_64_intdigest(lang))
-    h = mixed(mixed(own[numbers[:, 0]] + seed) * _GOLD + own[numbers[:, 1]])
-    return (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+def sliced(data: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """Binary values of the stretches of ``data`` between ``cuts``."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * data.itemsize).astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
 
 
-def pair_slots(index: DataFrame) -> DataFrame:
-    """``(slot, held)``: counts of the pairs of each shard by slot."""
+def slot_counts(index: DataFrame, size: int, held: Broadcast) -> DataFrame:
+    """``(range, low, count)``: for each shard, counts of its phrases of ``size`` words by slot, slots of a range together.
+
+    ``low`` has two bytes a phrase, ``count`` one; a count above 255 takes more places.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lang, words, bwt in zip(*(b.column(i) for i in range(3))):
                 phrases = Phrases(words.as_py(), bwt.as_py())
-                *_, (numbers, counts) = phrases.sizes(2)
-                at = slots(lang.as_py(), phrases.words, numbers)
-                for i in range(0, len(at), _ROWS):
-                    yield pa.RecordBatch.from_arrays([pa.array(at[i : i + _ROWS].astype(np.int32)), pa.array(counts[i : i + _ROWS].astype(np.int64))], ["slot", "held"])
+                slots = Slots(lang.as_py(), phrases.words, held.value)
+                *_, (numbers, counts) = phrases.sizes(size, slots.full)
+                at = slots.of(numbers)
+                order = np.argsort(at)
+                at, counts = at[order], counts[order]
+                places = -(-counts // 255)
+                last = counts - 255 * (places - 1)
+                ends = np.cumsum(places) - 1
+                at, count = np.repeat(at, places), np.full(int(places.sum()), 255, np.uint8)
+                count[ends] = last
+                of_range = at >> 16
+                cuts = np.flatnonzero(np.diff(of_range, prepend=-1, append=1 << 40))
+                columns = [pa.array(of_range[cuts[:-1]].astype(np.int32)), sliced((at & 0xFFFF).astype(np.uint16), cuts), sliced(count, cuts)]
+                yield pa.RecordBatch.from_arrays(columns, ["range", "low", "count"])
+
+    return index.select("lang", "words", "bwt").mapInArrow(run, "range int, low binary, count binary")
+
+
+def full_slots(counts: DataFrame, least: int) -> np.ndarray:
+    """Bits of the slots that add up to ``least`` or more. A task holds the counters of one range at a time."""
+    parts = int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = counts.repartition(parts, "range").sortWithinPartitions("range")
 
-    return index.select("lang", "words", "bwt").mapInArrow(run, "slot int, held bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, sums = -1, np.zeros(1 << 16)
 
+        def told() -> Iterator[pa.RecordBatch]:
+            if (sums >= least).any():
+                bits = np.packbits(sums >= least, bitorder="little")
+                yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([bits.tobytes()], pa.binary())], ["range", "bits"])
+
+        for b in batches:
+            ranges = b.column(0).to_numpy()
+            for lo, hi in zip(cuts := np.flatnonzero(np.diff(ranges, prepend=-2)), [*cuts[1:], len(ranges)]):
+                if ranges[lo] != at:
+                    yield from told()
+                    at, sums = int(ranges[lo]), np.zeros(1 << 16)
+                low, count = (b.column(i).slice(lo, hi - lo) for i in (1, 2))
+                sums += np.bincount(_bytes(low, np.uint16), _bytes(count, np.uint8), 1 << 16)
+        yield from told()
 
-def frequent_bits(index: DataFrame, least: int) -> np.ndarray:
-    """Bits of the slots whose pairs add up to ``least`` or more, as 64-bit words."""
-    full = pair_slots(index).groupBy("slot").agg(F.sum("held").alias("held")).filter(F.col("held") >= least)
-    bit = F.expr("shiftleft(1L, slot & 63)")
-    packed = full.groupBy(F.shiftright("slot", 6).alias("at")).agg(F.bit_or(bit).alias("bits")).toArrow()
-    out = np.zeros(1 << (SLOT_BITS - 6), np.int64)
-    out[packed.column("at").to_numpy()] = packed.column("bits").to_numpy()
-    return out.view(np.uint64)
+    found = dealt.mapInArrow(run, "range int, bits binary").toArrow()
+    out = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    for at, bits in zip(found.column("range").to_pylist(), found.column("bits").to_pylist()):
+        out[at << 13 : (at + 1) << 13] = np.frombuffer(bits, np.uint8)
+    return out
+
+
+def _bytes(column: pa.Array, kind) -> np.ndarray:
+    """All values of a binary column, one after another."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    return np.frombuffer(memoryview(column.buffers()[2])[offsets[0] : offsets[-1]], kind)
 
 
 def counted(index: DataFrame, depth: int, least: int) -> DataFrame:
     """``(lang, size, phrase, f)``: phrases of 1 to ``depth`` words that occur ``least`` times or more, over all shards."""
-    held = index.sparkSession.sparkContext.broadcast(frequent_bits(index, least))
+    context = index.sparkSession.sparkContext
+    bits = np.zeros(1 << (SLOT_BITS - 3), np.uint8)
+    for size in range(1, depth + 1):
+        held = context.broadcast(bits)
+        bits = bits | full_slots(slot_counts(index, size, held), least)
+        held.unpersist()
+    held = context.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = held.value
         for b in batches:
             for lang, words, bwt in zip(*(b.column(i) for i in range(3))):
                 name, phrases = lang.as_py(), Phrases(words.as_py(), bwt.as_py())
-
-                def keep(numbers: np.ndarray) -> np.ndarray:
-                    at = slots(name, phrases.words, numbers)
-                    return (bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
-
+                slots = Slots(name, phrases.words, held.value)
                 spelled = np.array([b"", *phrases.words], object)
-                for size, (numbers, counts) in enumerate(phrases.sizes(depth, keep), 1):
+                for size, (numbers, counts) in enumerate(phrases.sizes(depth, slots.full), 1):
+                    if size == depth:
+                        good = slots.full(numbers)
+                        numbers, counts = numbers[good], counts[good]
                     for i in range(0, len(counts), _ROWS):
                         part = numbers[i : i + _ROWS]
                         text = list(map(b" ".join, zip(*(spelled[part[:, k]] for k in range(size)))))

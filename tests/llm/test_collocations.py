@@ -68,10 +68,20 @@ def test_without_words(spark):
 
 def test_slots_shared_by_chance_change_nothing(spark, rows, monkeypatch):
     """With all bits set nothing is pruned before the counts are summed."""
-    monkeypatch.setattr(c, "frequent_bits", lambda index, least: np.full(1 << (c.SLOT_BITS - 6), 2**64 - 1, np.uint64))
+    monkeypatch.setattr(c, "full_slots", lambda counts, least: np.full(1 << (c.SLOT_BITS - 3), 255, np.uint8))
     assert run(spark, rows) == brute(rows)
 
 
+def test_slots_add_up_over_shards(spark):
+    """Counts above 255 and of several shards: a slot is full from exactly the least count on."""
+    texts = spark.createDataFrame([("en", "often " * 700 + "rare " * 9 + ". " + "ten " * 5), ("en", "often " + "ten " * 5)], "lang string, text string").repartition(2)
+    index = c.shards(texts, 3, 100).persist()
+    held = spark.sparkContext.broadcast(np.zeros(1 << (c.SLOT_BITS - 3), np.uint8))
+    for least, words in ((701, {b"often"}), (702, set()), (10, {b"often", b"ten"}), (9, {b"often", b"ten", b"rare"})):
+        slots = c.Slots("en", [b"often", b"rare", b"ten"], c.full_slots(c.slot_counts(index, 1, held), least))
+        assert {w for w, full in zip([b"often", b"rare", b"ten"], slots.full(np.array([[1], [2], [3]]))) if full} == words
+
+
 def test_large_counts_are_exact(spark):
     big = 10**15 - 1
     row = spark.createDataFrame([(big - 7, big, big - 3)], "a bigint, l bigint, r bigint").select(c.ratio("a", "l", "r").alias("s")).first()
