@@ -158,8 +158,9 @@ class Tree:
         return node
 
     def sums(self, bins: np.ndarray, g: np.ndarray, h: np.ndarray) -> np.ndarray:
-        lo = self.first()
-        return histogram(bins, self.descend(bins) - lo, 2**self.level, g, h, self.size)
+        at = self.descend(bins) - self.first()
+        # Leaves need no more than the sums of one column.
+        return histogram(bins[:, :1] if self.level == self.size.depth else bins, at, 2**self.level, g, h, self.size)
 
     def rows(self) -> list[tuple]:
         return [(int(n), int(self.feature[n]), int(self.bin[n]), float(self.value[n]), float(self.cover[n])) for n in np.flatnonzero(self.made)]
