@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators import align, bars, book, dispersion, features, flow, ic, ledger, pnl, quality, runs, stats
 from tapeloom.plans import models as model_plans
+from tapeloom.plans import raw
 from tapeloom.sources import adapters as a
 from tapeloom.sources import messages
 from tapeloom.sources.adapters import ctes
@@ -596,17 +597,9 @@ def feed_freshness(s, d):
 
 # ---- messages, pages, runs ----
 
-def raw_trades(s, d) -> DataFrame:
-    """Exchange messages of the adapted trades, two a message."""
-    t = a.trades(s, d)
-    one = F.struct("coin", "side", F.col("px").cast("string").alias("px"), F.col("sz").cast("string").alias("sz"), F.col("trade_ms").alias("time"), "tid", F.hex("tid").alias("hash"), F.array("users_buyer", "users_seller").alias("users"))
-    m = t.groupBy(F.floor(F.col("tid") / 2).alias("m")).agg(F.max("captured_ms").alias("captured_ms"), F.collect_list(one).alias("data"))
-    return m.select("captured_ms", F.to_json(F.struct(F.lit("trades").alias("channel"), "data")).alias("value"))
-
-
 @query(ctes("tr") + """ SELECT trade_ms, coin, side, round(px, 6) AS px, sz, round(notional, 4) AS notional, tid, hex(tid) AS hash, users_buyer, users_seller FROM tr WHERE coin IN ('view', 'click')""")
 def parsed_trades(s, d):
-    x = messages.trades(raw_trades(s, d), ["view", "click"]).drop("captured_ms")
+    x = messages.trades(raw.trades(s, d), ["view", "click"]).drop("captured_ms")
     return x.withColumns({"px": F.round("px", 6), "notional": F.round("notional", 4)})
 
 
@@ -614,27 +607,28 @@ def parsed_trades(s, d):
 SELECT CAST(l_orderkey % 7 AS VARCHAR) AS coin, l_orderkey AS book_ms, round(min(px) * 0.999, 7) AS best_bid_px, 1.0::DOUBLE AS best_bid_sz, min(px) AS best_ask_px,
 round(min(px) - min(px) * 0.999, 7) AS spread, round(min(px) * 0.999, 7) AS bid_depth_10, round(sum(px * sz) FILTER (WHERE k <= 10), 2) AS ask_depth_10, 1 AS n_bid_lvls, CAST(count(*) AS INT) AS n_ask_lvls FROM l GROUP BY l_orderkey""")
 def parsed_books(s, d):
-    levels = F.from_json("levels_json", "array<array<struct<px:string,sz:string>>>").alias("levels")
-    data = F.struct("coin", F.col("captured_ms").alias("time"), levels)
-    raw = a.books(s, d).select("captured_ms", F.to_json(F.struct(F.lit("l2Book").alias("channel"), data.alias("data"))).alias("value"))
-    x = messages.l2book(raw).drop("captured_ms", "levels_json", "best_ask_sz")
+    return shown_books(messages.l2book(raw.books(s, d)))
+
+
+def shown_books(x: DataFrame) -> DataFrame:
+    x = x.drop("captured_ms", "levels_json", "best_ask_sz")
     return x.withColumns({"best_bid_px": F.round("best_bid_px", 7), "spread": F.round("spread", 7), "bid_depth_10": F.round("bid_depth_10", 7), "ask_depth_10": F.round("ask_depth_10", 2)})
 
 
-@query(ctes("qu") + " SELECT bbo_ms, coin, round(bid_px, 6) AS bid_px, CASE WHEN bid_sz > 5 THEN bid_sz END AS bid_sz FROM qu")
+QUOTES_SQL = ctes("qu") + """ SELECT bbo_ms, coin, round(bid_px, 6) AS bid_px, CASE WHEN bid_sz > 5 THEN bid_sz END AS bid_sz, CASE WHEN seq % 4 <> 0 THEN round(ask_px, 6) END AS ask_px,
+CASE WHEN seq % 4 <> 0 THEN ask_sz END AS ask_sz FROM qu"""
+CONTEXTS_SQL = ctes("cx") + """ SELECT captured_ms, coin, round(funding, 9) AS funding, CASE WHEN seq % 3 > 0 THEN round(premium, 9) END AS premium, CAST(seq * 2 AS DOUBLE) AS open_interest, seq + 0.5::DOUBLE AS prev_day_px,
+CAST(seq * 10 AS DOUBLE) AS day_ntl_vlm, seq + 0.25::DOUBLE AS oracle_px, seq + 0.125::DOUBLE AS mark_px, seq + 0.75::DOUBLE AS mid_px, CAST(seq % 97 AS DOUBLE) AS day_base_vlm FROM cx"""
+
+
+@query(QUOTES_SQL)
 def parsed_quotes(s, d):
-    bid = F.struct(F.col("bid_px").cast("string").alias("px"), F.when(F.col("bid_sz") > 5, F.col("bid_sz").cast("string")).alias("sz"))
-    data = F.struct("coin", F.col("bbo_ms").alias("time"), F.array(bid).alias("bbo"))
-    raw = a.quotes(s, d).select("captured_ms", F.to_json(F.struct(F.lit("bbo").alias("channel"), data.alias("data"))).alias("value"))
-    return messages.bbo(raw).select("bbo_ms", "coin", F.round("bid_px", 6).alias("bid_px"), "bid_sz")
+    return rounded(messages.bbo(raw.quotes(s, d)).drop("captured_ms"))
 
 
-@query(ctes("cx") + " SELECT captured_ms, coin, round(funding, 9) AS funding, CASE WHEN seq % 3 > 0 THEN round(premium, 9) END AS premium FROM cx")
+@query(CONTEXTS_SQL)
 def parsed_contexts(s, d):
-    text = F.when(F.col("seq") % 3 > 0, F.col("premium").cast("string")).otherwise("n/a")
-    data = F.struct("coin", F.struct(F.col("funding").cast("string").alias("funding"), text.alias("premium")).alias("ctx"))
-    raw = a.contexts(s, d).select("captured_ms", F.to_json(F.struct(F.lit("activeAssetCtx").alias("channel"), data.alias("data"))).alias("value"))
-    return rounded(messages.ctx(raw).select("captured_ms", "coin", "funding", "premium"), 9)
+    return rounded(messages.ctx(raw.contexts(s, d)), 9)
 
 
 @query(ctes("ev") + """ SELECT event_type AS coin, ms // 3600000 * 3600000 AS ms, round(arg_min(value, event_id) / 1e6, 9) AS funding_rate FROM ev GROUP BY 1, 2""")
@@ -672,5 +666,16 @@ def unrecorded_runs(s, d):
 
 QUERIES |= model_plans.queries(legs_of, a)
 ORACLE_SQL |= model_plans.oracle(FEATURE_SQL, _NOT_NULL)
+def fan(channel: str, sql: str, shown):
+    """A query of one channel of a stream into all of them."""
+    name = f"fan_{channel}"
+    QUERIES[name] = lambda s, d: shown(stream_plans.fanned(s, raw.everything(s, d), channel))
+    ORACLE_SQL[name] = sql
+
+
+fan("trades", ORACLE_SQL["parsed_trades"].replace(" WHERE coin IN ('view', 'click')", ""), lambda x: x.drop("captured_ms", "dt", "hr").withColumns({"px": F.round("px", 6), "notional": F.round("notional", 4)}))
+fan("bbo", QUOTES_SQL, lambda x: rounded(x.drop("captured_ms", "dt", "hr")))
+fan("ctx", CONTEXTS_SQL, lambda x: rounded(x.drop("dt", "hr"), 9))
+fan("l2book", ORACLE_SQL["parsed_books"], lambda x: shown_books(x.drop("dt", "hr")))
 QUERIES |= stream_plans.QUERIES
 ORACLE_SQL |= stream_plans.ORACLE_SQL

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tapeloom.sources import adapters as a
 from tapeloom.sources.adapters import ctes
 from tapeloom.sources.layers import scratch
-from tapeloom.streaming import alerts, tape
+from tapeloom.streaming import alerts, fan, tape
 
 
 def _raw_files(s: SparkSession, d: str, root: str) -> str:
@@ -66,6 +66,14 @@ def stream_stalls(s: SparkSession, d: str) -> DataFrame:
     return _run_to_end(alarms(), root)
 
 
+def fanned(s: SparkSession, raw: DataFrame, channel: str) -> DataFrame:
+    """One channel's table of a stream of all channels' messages, run to its end in several batches."""
+    root = scratch(s, "fan")
+    raw.repartition(4).write.parquet(f"{root}/raw")
+    fan.fan_out(tape.raw_stream(s, f"{root}/raw", 2), f"{root}/tape", f"{root}/check", trigger={"availableNow": True}, by=("coin", "dt")).awaitTermination()
+    return fan.load_channel(s, f"{root}/tape", channel)
+
+
 QUERIES = {"stream_trades": stream_trades, "stream_bars": stream_bars, "stream_stalls": stream_stalls}
 ORACLE_SQL = {
     "stream_bars": ctes("tr") + """ SELECT coin, trade_ms // 3600000 * 3600000 AS bar, round(sum(CASE WHEN side = 'B' THEN notional ELSE -notional END), 4) AS taker,
