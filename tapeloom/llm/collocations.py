@@ -19,14 +19,15 @@ empty table gives no rows. Only the text and the language are read, so other col
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import join_hot, session_setup, stored, table
+from tapeloom.llm.common import broadcast_if_small, join_hot, session_setup, stored, table
 from tapeloom.llm.minhash import mixed
 
 DEPTH, LEAST, INSIDE, TOP = 3, 10, 50, 2000
@@ -264,13 +265,18 @@ def counted(index: DataFrame, depth: int, least: int) -> DataFrame:
     return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
 
 
-def ratio(a: str, left: str, right: str):
+def ratio(a: str, left: str, right: str) -> Column:
     """``floor(1000000 * a * a / (left * right))``, exactly."""
     wide = lambda c: F.col(c).cast("decimal(15,0)")
     top = (wide(a) * wide(a)).cast("decimal(31,0)") * F.lit(1_000_000).cast("decimal(7,0)")
     return F.call_function("div", top, wide(left) * wide(right)).cast("long")
 
 
+def keyed(phrase: str | Column) -> Column:
+    """A phrase of the row's language; it holds no tab, so this is unique."""
+    return F.concat_ws("\t", "lang", phrase)
+
+
 def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside: int = INSIDE, top: int = TOP, pending: int = PENDING) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score`` of the first ``top`` phrases of each language.
 
@@ -280,24 +286,36 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside
     session_setup(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    index = stored(shards(texts, depth, pending), "shards")
+    index = stored(shards(texts, depth, pending), "shards", "zstd")
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
-    # A phrase holds no tab, so this key is unique.
-    key = lambda c: F.concat_ws("\t", "lang", c)
-    f = stored(counted(index, depth, least).withColumn("key", key("phrase")), "phrases")
-    counts = f.filter(F.col("size") < depth).select("key", "f")
-    longer = f.filter("size > 1").withColumn("w", F.split("phrase", " "))
-    cut = lambda k: F.struct(k.alias("cut"), key(F.array_join(F.slice("w", 1, k), " ")).alias("left"), key(F.array_join(F.slice("w", k + 1, F.col("size") - k), " ")).alias("right"))
-    cuts = longer.select("lang", "key", "phrase", F.col("f").alias("a"), F.explode(F.transform(F.sequence(F.lit(1), F.col("size") - 1), cut)).alias("c"))
-    cuts = stored(cuts.select("lang", "key", "phrase", "a", "c.*"), "cuts")
-    cuts = stored(join_hot(cuts, counts.select(F.col("key").alias("left"), F.col("f").alias("l")), "left"), "cuts")
-    cuts = join_hot(cuts, counts.select(F.col("key").alias("right"), F.col("f").alias("r")), "right")
-    weakest = cuts.groupBy("lang", "key", "phrase", "a").agg(F.min(F.struct(ratio("a", "l", "r").alias("score"), "cut", "l", "r")).alias("c"))
-    # All contiguous parts of two words or more of each longer candidate.
-    part = lambda size: F.transform(F.sequence(F.lit(1), F.col("size") - size + 1), lambda i: key(F.array_join(F.slice("w", i, size), " ")))
-    parts = longer.filter("size > 2").select("f", F.explode(F.flatten(F.transform(F.sequence(F.lit(2), F.col("size") - 1), part))).alias("key"))
-    held = parts.groupBy("key").agg(F.max("f").alias("longest"))
-    alone = weakest.join(held, "key", "left").filter(F.col("longest").isNull() | (F.col("longest") * 100 < F.lit(inside) * F.col("a")))
+    f = stored(counted(index, depth, least), "phrases")
+    sized = {size: f.filter(F.col("size") == size).select(keyed("phrase").alias("part"), "f") for size in range(1, depth)}
+    small = {size: broadcast_if_small(df) for size, df in sized.items()}
+    words = F.split("phrase", " ")
+    span = lambda begin, n: keyed(F.array_join(F.slice(words, begin, n), " "))
+
+    def found(rows: DataFrame, size: int, part: Column, name: str) -> DataFrame:
+        """``rows`` with the count of a part of ``size`` words; the parts of a candidate are frequent, so none is missing."""
+        asked, held = rows.withColumn("part", part), small[size].withColumnRenamed("f", name)
+        if small[size] is not sized[size]:  # its measured size lets it be broadcast
+            return asked.join(held, "part").drop("part")
+        return join_hot(stored(asked, "asked"), held, "part").drop("part")
+
+    scored, parts = [], []
+    for size in range(2, depth + 1):
+        rows = own = f.filter(F.col("size") == size).select("lang", "phrase", F.col("f").alias("a"))
+        for k in range(1, size):
+            rows = found(found(rows, k, span(1, k), f"l{k}"), size - k, span(k + 1, size - k), f"r{k}")
+        cuts = [F.struct(ratio("a", f"l{k}", f"r{k}").alias("score"), F.lit(k).alias("cut"), F.col(f"l{k}").alias("l"), F.col(f"r{k}").alias("r")) for k in range(1, size)]
+        scored.append(rows.select("lang", "phrase", "a", (F.least(*cuts) if size > 2 else cuts[0]).alias("c")))
+        inner = [span(i, n) for n in range(2, size) for i in range(1, size - n + 2)]
+        if inner:
+            parts.append(own.select(F.col("a").alias("longest"), F.explode(F.array(*inner)).alias("part")))
+    weakest = reduce(DataFrame.unionByName, scored)
+    if parts:
+        held = reduce(DataFrame.unionByName, parts).groupBy("part").agg(F.max("longest").alias("longest"))
+        weakest = weakest.withColumn("part", keyed("phrase")).join(held, "part", "left").filter(F.col("longest").isNull() | (F.col("longest") * 100 < F.lit(inside) * F.col("a")))
+    alone = weakest.select("lang", "phrase", "a", "c")
     order = Window.partitionBy("lang").orderBy(F.desc("c.score"), F.desc("a"), "phrase")
     first = alone.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return first.join(totals, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "c.l", "c.r", "n", "c.score")
