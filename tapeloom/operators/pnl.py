@@ -162,17 +162,19 @@ def with_fallback(preferred: DataFrame, other: DataFrame) -> DataFrame:
     return preferred.withColumn("source", F.lit("drift")).unionByName(rest.withColumn("source", F.lit("carry")))
 
 
-def cost_sweep(daily: DataFrame, costs: DataFrame, round_trip: float) -> DataFrame:
-    """Annualised net Sharpe in every cell of ``costs (drift_bps, borrow_bps, fee_mult)``.
+def cost_sweep(daily: DataFrame, costs: list[tuple[float, float, float]], round_trip: float) -> DataFrame:
+    """Annualised net Sharpe in every cell of ``costs (drift_bps, borrow_bps, fee_mult)``, an array that each series' row explodes.
 
     A cell takes the same from each day of a series, so means fall and deviations stay: the days are
     aggregated once, and a row a series meets the grid.
     """
     sums = annualised(daily, ["series"]).select("series", "n", "apr", "vol")
+    names = ("drift_bps", "borrow_bps", "fee_mult")
+    grid = F.array(*[F.struct(*[F.lit(float(x)).alias(n) for n, x in zip(names, cell)]) for cell in costs])
     cost = F.lit(round_trip) * F.col("fee_mult") / F.col("n") + (F.col("drift_bps") + F.col("borrow_bps")) / 10_000
     apr = F.col("apr") - cost * DAYS
     sharpe = F.when(F.col("vol") > 0, apr / F.col("vol")).otherwise(0.0)
-    return sums.crossJoin(costs).select("series", "drift_bps", "borrow_bps", "fee_mult", "n", sharpe.alias("sharpe"), apr.alias("apr"), "vol")
+    return sums.select("*", F.explode(grid).alias("cell")).select("*", "cell.*").select("series", "drift_bps", "borrow_bps", "fee_mult", "n", sharpe.alias("sharpe"), apr.alias("apr"), "vol")
 
 
 def sweep_zones(cells: DataFrame) -> DataFrame:

@@ -5,9 +5,12 @@ Doubles are rounded alike on both sides, as sums may be taken in another order.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tapeloom.functions.normal import cdf_sql, ppf_sql
 from tapeloom.operators import align, bars, book, dispersion, features, flow, ic, ledger, pnl, quality, runs, stats
 from tapeloom.plans import models as model_plans
 from tapeloom.plans import raw
@@ -140,7 +143,25 @@ def cost_ladder(s, d):
     return rounded(stats.annualised(_rung_rows(s, d), ["series", "rung"], "net"), 9)
 
 
-@query()
+def psr_sql(star: str) -> str:
+    """The probabilistic Sharpe ratio of columns ``sr, t, skew, kurt`` over the column ``star``."""
+    return cdf_sql(f"((sr - {star}) * sqrt(greatest(1.0, t - 1.0)) / sqrt(greatest(1e-12, 1 - skew * sr + (kurt - 1) / 4 * sr * sr)))")
+
+
+def star_sql(var: str, n: str) -> str:
+    """The expected best Sharpe of ``n`` trials of a variance."""
+    best = f"(1 - {stats.EULER!r}) * ({ppf_sql(f'(1 - 1.0::DOUBLE / {n})')}) + {stats.EULER!r} * ({ppf_sql(f'(1 - 1.0::DOUBLE / ({n} * {math.e!r}))')})"
+    return f"CASE WHEN {n} < 2 OR {var} <= 0 OR {var} IS NULL THEN 0 ELSE sqrt({var}) * ({best}) END"
+
+
+#: Inputs of the ratio of daily values; a flat series has 0, 0 and 3.
+PSR_SQL = """CASE WHEN stddev_samp(net) > 0 THEN avg(net) / stddev_samp(net) ELSE 0 END AS sr, count(*) AS t, CASE WHEN stddev_samp(net) > 0 AND count(*) > 2 THEN skewness(net) ELSE 0 END AS skew,
+CASE WHEN stddev_samp(net) > 0 AND count(*) > 3 THEN kurtosis(net) + 3 ELSE 3 END AS kurt"""
+
+
+@query(LADDER_SQL + f""", pi AS (SELECT series, rung, {PSR_SQL} FROM ne GROUP BY series, rung), nv AS (SELECT count(*) AS n_trials, coalesce(var_samp(sr), 0) AS var_sr FROM pi),
+st AS (SELECT *, {star_sql('var_sr', 'n_trials')} AS sr_star FROM nv)
+SELECT series, rung, round(sr, 6) AS sr, t, round(skew, 6) AS skew, round(kurt, 6) AS kurt, n_trials, round(var_sr, 6) AS var_sr, round(sr_star, 6) AS sr_star, round({psr_sql('sr_star')}, 6) AS dsr FROM pi, st""")
 def deflated_ladder(s, d):
     return rounded(stats.deflated(_rung_rows(s, d), ["series", "rung"]))
 
@@ -156,10 +177,7 @@ SWEPT = [0.0, 0.5, 1.0, 2.0, 5.0]
 
 
 def _cells(s, d):
-    bps = s.createDataFrame([(x,) for x in SWEPT], "bps double")
-    grid = bps.select(F.col("bps").alias("drift_bps")).crossJoin(bps.select(F.col("bps").alias("borrow_bps")))
-    grid = grid.crossJoin(s.range(1, 3).select(F.col("id").cast("double").alias("fee_mult")))
-    return pnl.cost_sweep(daily_hold(s, d), grid, RT)
+    return pnl.cost_sweep(daily_hold(s, d), [(x, y, z) for x in SWEPT for y in SWEPT for z in (1.0, 2.0)], RT)
 
 
 SWEEP_SQL = HOLD + f""",
@@ -236,7 +254,13 @@ def strategy_baselines(s, d):
     return rounded(pnl.strategy_baselines(_window(s, d), "0", RT).drop("dsr_all", "dsr_hedged"))
 
 
-@query()
+@query(WINDOW_SQL + f""", st AS (SELECT * FROM (VALUES ('buy_and_hold', 'hold', '0', 0.0), ('equal_weight_spot', 'hold', 'BASKET', 0.0), ('naive_carry', 'carry', 'BASKET_DROP', 0.0),
+('basis_drift', 'drift', 'BASKET_DROP', 0.0), ('realistic', 'drift', 'BASKET_DROP', 2.0), ('realistic_b', 'drift', 'BASKET_DROP', 1.0)) AS t(strategy, kind, series, drag)),
+sn AS (SELECT strategy, ret - {RT!r} / count(*) OVER (PARTITION BY strategy) - CAST(drag AS DOUBLE) / 10000 AS net FROM he JOIN st USING (kind, series)),
+nv AS (SELECT count(*) AS n_all, var_samp(sr) AS var_all, count(*) FILTER (WHERE rung <> 'funding_only') AS n_hedged, var_samp(sr) FILTER (WHERE rung <> 'funding_only') AS var_hedged FROM rs),
+ba AS (SELECT {star_sql('var_all', 'n_all')} AS star_all, {star_sql('var_hedged', 'n_hedged')} AS star_hedged FROM nv),
+pi AS (SELECT strategy, {PSR_SQL} FROM sn GROUP BY strategy)
+SELECT strategy, round({psr_sql('star_all')}, 6) AS dsr_all, round({psr_sql('star_hedged')}, 6) AS dsr_hedged FROM pi, ba""")
 def baseline_deflation(s, d):
     return rounded(pnl.strategy_baselines(_window(s, d), "0", RT).select("strategy", "dsr_all", "dsr_hedged"))
 
