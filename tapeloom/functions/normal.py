@@ -21,7 +21,7 @@ CENTRE_UPPER = [-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e
 CENTRE_LOWER = [-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0]
 TAIL_UPPER = [-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00]
 TAIL_LOWER = [7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0]
-EDGE, TURN, FAR = 0.02425, 7.07106781186547, 37.0
+EDGE, TURN, FAR = 0.02425, 7.07106781186547, 38.5
 ROOT = math.sqrt(2 * math.pi)
 
 
