@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.align import safe_ratio
+from tapeloom.operators.order import quantiles
+from tapeloom.sources.layers import stored
 from tapeloom.schemas import BOOK
 
 
@@ -43,9 +45,10 @@ def slippage(books: DataFrame, notionals: list[float]) -> DataFrame:
 
 def slippage_summary(books: DataFrame, notionals: list[float]) -> DataFrame:
     """``(coin, notional, n, n_filled, median_bps, p95_bps)``."""
-    bps = F.col("slip") * 10_000
-    return slippage(books, notionals).groupBy("coin", "notional").agg(
-        F.count("*").alias("n"), F.count("slip").alias("n_filled"), F.percentile(bps, F.lit(0.5)).alias("median_bps"), F.percentile(bps, F.lit(0.95)).alias("p95_bps"))
+    keys = ["coin", "notional"]
+    each = stored(slippage(books, notionals).select(*keys, (F.col("slip") * 10_000).alias("bps")), "slippage")
+    counts = each.groupBy(*keys).agg(F.count("*").alias("n"), F.count("bps").alias("n_filled"))
+    return counts.join(quantiles(each, keys, "bps", {"median_bps": 0.5, "p95_bps": 0.95}), keys, "left")
 
 
 def edge_slippage(books: DataFrame, notional: float, first: bool, n: int = 60) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from tapeloom.operators.align import HOUR_MS, bucket, ms_window, safe_ratio
 from tapeloom.operators.bars import rolling_sum
 from tapeloom.operators.ic import top_decile, with_horizons
+from tapeloom.operators.order import quantiles
+from tapeloom.sources.layers import stored
 
 #: Wallets of a cohort up to which its table is broadcast: some 20 MB of 42-character addresses.
 COHORT_ROWS = 200_000
@@ -69,7 +71,8 @@ def wallet_labels(trades: DataFrame, marks: DataFrame, end_ms: int, min_legs: in
     """``(wallet, total_pnl_usd, n_trades, is_smart)``: marked-to-market PnL, the top of active wallets is smart."""
     valued = wallet_positions(trades, end_ms).join(F.broadcast(last_marks(marks, end_ms).filter("mark is not null")), "coin")
     totals = valued.groupBy("wallet").agg(F.sum(F.col("cash") + F.col("position") * F.col("mark")).alias("total_pnl_usd"), F.sum("n_legs").alias("n_trades"))
-    cut = totals.filter(F.col("n_trades") >= min_legs).agg(F.percentile("total_pnl_usd", F.lit(q)).alias("cut"))
+    totals = stored(totals, "wallets")
+    cut = quantiles(totals.filter(F.col("n_trades") >= min_legs), [], "total_pnl_usd", {"cut": q})
     smart = F.coalesce((F.col("n_trades") >= min_legs) & (F.col("total_pnl_usd") >= F.col("cut")), F.lit(False))
     return totals.crossJoin(F.broadcast(cut)).select("wallet", "total_pnl_usd", "n_trades", smart.alias("is_smart"))
 

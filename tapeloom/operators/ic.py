@@ -2,31 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.bars import forward_bps
-
-
-def average_rank(value: str, keys: list[str]) -> Column:
-    """Rank among the rows of ``keys``, ties sharing the mean of their places."""
-    order = Window.partitionBy(*keys).orderBy(value)
-    ties = Window.partitionBy(*keys, value)
-    return F.rank().over(order) + (F.count("*").over(ties) - 1) / 2
+from tapeloom.operators.order import quantiles, with_average_ranks
+from tapeloom.sources.layers import stored
 
 
 def spearman(pairs: DataFrame, keys: list[str], signal: str, forward: str, min_n: int = 100) -> DataFrame:
     """``(keys, n, ic)`` over non-null pairs; null for fewer than ``min_n``."""
-    full = pairs.filter(F.col(signal).isNotNull() & F.col(forward).isNotNull())
-    ranked = full.withColumn("rs", average_rank(signal, keys)).withColumn("rf", average_rank(forward, keys))
+    full = pairs.select(*keys, signal, forward).filter(F.col(signal).isNotNull() & F.col(forward).isNotNull())
+    ranked = with_average_ranks(stored(full, "pairs"), keys, {signal: "rs", forward: "rf"})
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), F.corr("rs", "rf").alias("ic")).withColumn("ic", F.when(F.col("n") >= min_n, F.col("ic")))
 
 
 def top_decile(pairs: DataFrame, keys: list[str], signal: str, forward: str, q: float = 0.9) -> DataFrame:
     """``(keys, cut, move)``: mean forward move where the signal reaches its exact quantile."""
-    full = pairs.filter(F.col(signal).isNotNull() & F.col(forward).isNotNull())
-    cuts = full.groupBy(*keys).agg(F.percentile(signal, F.lit(q)).alias("cut"))
-    return full.join(F.broadcast(cuts), keys).filter(F.col(signal) >= F.col("cut")).groupBy(*keys).agg(F.max("cut").alias("cut"), F.avg(forward).alias("move"))
+    full = stored(pairs.select(*keys, signal, forward).filter(F.col(signal).isNotNull() & F.col(forward).isNotNull()), "pairs")
+    cuts = quantiles(full, keys, signal, {"cut": q})
+    return full.join(cuts, keys).filter(F.col(signal) >= F.col("cut")).groupBy(*keys).agg(F.max("cut").alias("cut"), F.avg(forward).alias("move"))
 
 
 def with_horizons(bars: DataFrame, px: str, horizons: dict[str, int], signal: str, keys: tuple[str, ...] = ("coin",)) -> DataFrame:

@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from tapeloom.operators import boosting
 from tapeloom.operators.boosting import Size
 from tapeloom.operators.features import FEATURES, time_split
-from tapeloom.operators.ic import average_rank
+from tapeloom.operators.order import with_average_ranks
+from tapeloom.sources.layers import stored
 
 KEYS = ["coin"]
 
@@ -49,7 +50,7 @@ def persistence_rmse(rows: DataFrame, actual: str, last: str, keys: list[str] =
 
 def skill(scored: DataFrame, keys: list[str], p: str = "p", label: str = "label") -> DataFrame:
     """``(keys, n, auc, accuracy)``; the AUC is the rank sum of positives, ties sharing ranks, and null where there is one class."""
-    ranked = scored.withColumn("rank", average_rank(p, keys))
+    ranked = with_average_ranks(stored(scored.select(*keys, p, label), "scored"), keys, {p: "rank"})
     positive = F.col(label) == 1
     ones = F.count_if(positive)
     zeros = F.count("*") - ones

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tapeloom.operators.align import HOUR_MS
+from tapeloom.operators.order import quantiles
 from tapeloom.schemas import EVENT_MS
 
 
@@ -55,8 +56,9 @@ def tape_window(df: DataFrame, ms: str) -> DataFrame:
 def latency(trades: DataFrame, exact: bool = False) -> DataFrame:
     """p50 and p95 of captured less trade time, non-negative; approximate unless ``exact``."""
     lag = trades.select((F.col("captured_ms") - F.col("trade_ms")).alias("lag")).filter("lag >= 0")
-    f = F.percentile if exact else F.percentile_approx
-    return lag.agg(f("lag", F.lit(0.5)).alias("p50_ms"), f("lag", F.lit(0.95)).alias("p95_ms"))
+    if exact:
+        return quantiles(lag, [], "lag", {"p50_ms": 0.5, "p95_ms": 0.95})
+    return lag.agg(F.percentile_approx("lag", F.lit(0.5)).alias("p50_ms"), F.percentile_approx("lag", F.lit(0.95)).alias("p95_ms"))
 
 
 def hourly_coverage(df: DataFrame, ms: str) -> DataFrame:
