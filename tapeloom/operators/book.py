@@ -70,13 +70,6 @@ def round_trip_slippage(books: DataFrame, notional: float, n: int = 60) -> DataF
     return into.join(out, "coin").filter("slip_in is not null and slip_out is not null")
 
 
-def first_hours(tape: DataFrame, k: int, keys=("coin",)) -> DataFrame:
-    """Rows of the first ``k`` hour partitions of each key."""
-    hours = tape.select(*keys, "dt", "hr").distinct()
-    chosen = hours.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy("dt", "hr"))).filter(F.col("_k") <= k).drop("_k")
-    return tape.join(chosen, [*keys, "dt", "hr"], "left_semi")
-
-
 def median_spread(bars: DataFrame, per: list[str] | None = None) -> DataFrame:
     """Median spread by coin; with ``per``, the median of the medians of these parts."""
     if not per:

@@ -15,7 +15,7 @@ from tapeloom.operators import align, bars, book, dispersion, features, flow, ic
 from tapeloom.plans import models as model_plans
 from tapeloom.plans import raw
 from tapeloom.sources import adapters as a
-from tapeloom.sources import messages
+from tapeloom.sources import layers, messages
 from tapeloom.sources.adapters import ctes
 from tapeloom.streaming import plans as stream_plans
 
@@ -678,14 +678,64 @@ def candle_pages(s, d):
     return messages.map_symbols(messages.candle_pages(pages), pairs).select("pair", F.unix_millis("ts").alias("ms"), F.round("close", 6).alias("close"))
 
 
-@query("""WITH c AS (SELECT DISTINCT '{"coin":"' || event_type || '","strategy":"obi"}' AS config, event_type FROM events),
-h AS (SELECT substr(sha256(config), 1, 16) AS config_hash, config FROM c) SELECT config_hash, config FROM h WHERE config NOT LIKE '%view%'""")
+@query("""WITH c AS (SELECT DISTINCT '{"coin":"' || l_orderkey % 7 || '","strategy":"obi"}' AS config FROM lineitem), d AS (SELECT DISTINCT '{"coin":"' || user_id % 2 || '","strategy":"obi"}' AS config FROM events)
+SELECT substr(sha256(config), 1, 16) AS config_hash, config FROM c WHERE config NOT IN (SELECT config FROM d)""")
 def unrecorded_runs(s, d):
-    kinds = a.read(s, d, "events").select("event_type")
-    config = F.concat(F.lit('{"coin":"'), "event_type", F.lit('","strategy":"obi"}'))
-    new = kinds.select(config.alias("config")).withColumns({"config_hash": runs.config_hash(F.col("config")), "saved_at": F.lit(0).cast("timestamp")})
-    new = new.select("config_hash", "config", "saved_at")
-    return runs.unrecorded(new, new.filter("config like '%view%'")).select("config_hash", "config")
+    """Runs of the books' coins that the store, which holds those of the candle legs, has not recorded."""
+    config = lambda coin: F.concat(F.lit('{"coin":"'), coin.cast("string"), F.lit('","strategy":"obi"}')).alias("config")
+    of = lambda df: df.withColumns({"config_hash": runs.config_hash(F.col("config")), "saved_at": F.lit(0).cast("timestamp")}).select("config_hash", "config", "saved_at")
+    new = of(a.read(s, d, "lineitem").select(config(F.col("l_orderkey") % 7)).distinct())
+    return runs.unrecorded(new, layers.stored(of(a.read(s, d, "events").select(config(F.col("user_id") % 2)).distinct()), "runs")).select("config_hash", "config")
+
+
+# ---- tapes, ledgers and label sets on disk ----
+
+def quote_tape(s, d) -> str:
+    """The quotes of the candle legs' coins as a tape by coin, day and hour."""
+    root = layers.scratch(s, "quote-tape")
+    layers.write_tape(a.quotes(s, d, by_leg=True).drop("seq"), root, "bbo")
+    return root
+
+
+LEG_QUOTES = ctes("ev") + """, q AS (SELECT CAST(user_id % 2 AS VARCHAR) AS coin, ms, value AS bid, value * (1 + (k + 1) / 10000.0::DOUBLE) AS ask FROM ev)"""
+
+
+@query(LEG_QUOTES + """, h AS (SELECT coin, ms // 3600000 AS h, dense_rank() OVER (PARTITION BY coin ORDER BY ms // 3600000) AS r, (ask - bid) / nullif((ask + bid) / 2, 0) * 10000 AS sp FROM q),
+m AS (SELECT coin, h, median(sp) AS m FROM h WHERE r <= 12 GROUP BY 1, 2) SELECT coin, round(median(m), 6) AS median_spread_bps FROM m GROUP BY coin""")
+def first_hours_spread(s, d):
+    """The median of the hours' median spreads, over the first 12 hours of each coin's tape."""
+    root = quote_tape(s, d)
+    held = layers.load_hours(s, root, "bbo", layers.first_hours(layers.tape_hours(s, root, "bbo"), 12))
+    return rounded(book.median_spread(held.withColumn("spread_bps", bars.spread_bps()), per=["dt", "hr"]))
+
+
+@query(LEG_QUOTES + """ SELECT coin, strftime(make_timestamp(ms * 1000), '%Y-%m-%d') AS dt, count(*) AS n, round(avg(bid), 6) AS bid FROM q
+WHERE coin IN ('1') AND strftime(make_timestamp(ms * 1000), '%Y-%m-%d') BETWEEN '2024-01-10' AND '2024-01-19' GROUP BY 1, 2""")
+def tape_days(s, d):
+    """One coin and ten days of the tape, both ends included."""
+    held = layers.load_tape(s, quote_tape(s, d), "bbo", ["1"], ("2024-01-10", "2024-01-19"))
+    return rounded(held.groupBy("coin", "dt").agg(F.count("*").alias("n"), F.avg("bid_px").alias("bid")))
+
+
+@query(ORACLE_SQL["carry_ledger"])
+def ledger_file(s, d):
+    """The carry ledger as compressed CSV files, read back."""
+    path = layers.scratch(s, "ledger")
+    rows = rounded(pnl.carry_ledger(daily_hold(s, d), 0.0018, 0.0003, 0.0004, 1.0))
+    layers.write_ledger(rows, path)
+    return s.read.schema(rows.schema).option("header", "true").csv(path)
+
+
+@query(LABEL_SQL + """ SELECT count(*) AS n_rows, CAST(coalesce(sum(CAST('0x' || substr(md5(wallet), 1, 15) AS HUGEINT)), 0) AS VARCHAR) AS content_sum FROM lb WHERE is_smart""")
+def cohort_fingerprint(s, d):
+    """Size and content hash of the set of smart wallets."""
+    return layers.fingerprint(layers.smart_wallets(_labels(s, d)))
+
+
+@query(DRIFT + """ SELECT series, day, round(ret, 9) AS ret FROM ca SEMI JOIN da USING (series, day)""")
+def carry_on_drift_days(s, d):
+    """Carry on the days that the same coin's drift has."""
+    return rounded(align.reindex_to(pnl.to_daily(pnl.funding_carry(a.funding(s, d))), daily_drift(s, d), ["series", "day"]), 9)
 
 
 QUERIES |= model_plans.queries(legs_of, a)

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tapeloom import schemas
@@ -71,9 +71,32 @@ def with_partitions(df: DataFrame, ms_col: str) -> DataFrame:
     return df.withColumns({"dt": F.date_format(day, "yyyy-MM-dd"), "hr": F.lpad(hour.cast("string"), 2, "0")})
 
 
+HOUR = ["coin", "dt", "hr"]
+
+
 def write_tape(df: DataFrame, root: str, channel: str) -> None:
-    parts = with_partitions(df, schemas.EVENT_MS[channel])
-    parts.repartition("coin", "dt", "hr").write.mode("append").partitionBy("coin", "dt", "hr").parquet(f"{root}/{channel}")
+    """Append rows to a channel's hours, and the names of these hours to its list of hours."""
+    parts = stored(with_partitions(df, schemas.EVENT_MS[channel]), "tape")
+    parts.repartition(*HOUR).write.mode("append").partitionBy(*HOUR).parquet(f"{root}/{channel}")
+    parts.groupBy(*HOUR).agg(F.count("*").alias("rows")).write.mode("append").parquet(f"{root}/{channel}_hours")
+
+
+def tape_hours(spark: SparkSession, root: str, channel: str) -> DataFrame:
+    """``(coin, dt, hr, rows)`` of a channel, from its list of hours; no file of the tape is opened."""
+    held = spark.read.schema("coin string, dt string, hr string, rows bigint").parquet(f"{root}/{channel}_hours")
+    return held.groupBy(*HOUR).agg(F.sum("rows").alias("rows"))
+
+
+def first_hours(hours: DataFrame, k: int, keys: tuple[str, ...] = ("coin",)) -> DataFrame:
+    """The first ``k`` hours of each key, of a list of hours."""
+    order = F.row_number().over(Window.partitionBy(*keys).orderBy("dt", "hr"))
+    return hours.withColumn("k", order).filter(F.col("k") <= k).select(*HOUR)
+
+
+def load_hours(spark: SparkSession, root: str, channel: str, hours: DataFrame) -> DataFrame:
+    """The rows of some hours of a channel; the join prunes partitions as it runs, which Spark does where the other side has a filter."""
+    chosen = stored(hours.select(*HOUR, F.lit(1).alias("chosen")), "hours").filter("chosen = 1")
+    return load_tape(spark, root, channel).join(chosen, HOUR, "left_semi")
 
 
 def write_ledger(df: DataFrame, path: str, compress: bool = True) -> None:
@@ -86,6 +109,7 @@ def smart_wallets(labels: DataFrame) -> DataFrame:
 
 
 def fingerprint(df: DataFrame) -> DataFrame:
-    """Rows and an order-free content hash of a table."""
-    h = F.xxhash64(*sorted(df.columns)).cast("decimal(38,0)")
-    return df.agg(F.count("*").alias("n_rows"), F.sum(h).alias("content_sum"))
+    """Rows and an order-free content hash of a table: sums of the first 60 bits of the MD5 of each row's values, nulls as an empty text."""
+    text = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in sorted(df.columns)])
+    bits = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    return df.agg(F.count("*").alias("n_rows"), F.coalesce(F.sum(bits), F.lit(0).cast("decimal(38,0)")).cast("string").alias("content_sum"))

@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from tapeloom.plans import catalog
@@ -60,3 +61,24 @@ def test_label_join_is_broadcast(spark, capsys):
     flow.signed_flows(adapters.trades(spark, SF), smart).explain()
     out = capsys.readouterr().out
     assert "BroadcastHashJoin" in out and "Cartesian" not in out
+
+
+def test_scans_of_the_tape_prune_partitions(spark, tmp_path, capsys):
+    """Days and coins prune before any file is opened; chosen hours prune as the join runs, and come from names alone."""
+    from tapeloom.sources import adapters, layers
+
+    root = str(tmp_path)
+    layers.write_tape(adapters.quotes(spark, SF, by_leg=True).drop("seq").filter("captured_ms < 1704326400000"), root, "bbo")
+    layers.load_tape(spark, root, "bbo", ["1"], ("2024-01-02", "2024-01-03")).explain()
+    line = next(x for x in capsys.readouterr().out.splitlines() if "PartitionFilters" in x)
+    assert "coin" in line.split("PartitionFilters: [")[1].split("]")[0] and "dt" in line.split("PartitionFilters: [")[1].split("]")[0]
+    hours = layers.first_hours(layers.tape_hours(spark, root, "bbo"), 3)
+    assert sorted(r["coin"] for r in hours.collect()) == ["0"] * 3 + ["1"] * 3
+    got = layers.load_hours(spark, root, "bbo", hours)
+    got.explain()
+    assert "dynamicpruning" in capsys.readouterr().out
+    assert got.select("coin", "dt", "hr").distinct().count() == 6
+    assert hours.inputFiles() and all("/bbo_hours/" in f for f in hours.inputFiles())
+    # A second write adds rows to hours that are there.
+    layers.write_tape(adapters.quotes(spark, SF, by_leg=True).drop("seq").filter("captured_ms < 1704110400000"), root, "bbo")
+    assert layers.tape_hours(spark, root, "bbo").agg(F.sum("rows")).first()[0] == layers.load_tape(spark, root, "bbo").count()
