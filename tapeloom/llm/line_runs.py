@@ -5,6 +5,8 @@ A new batch is reduced to one row per hash, merge-anti-joined with the runs that
 sides are bucketed alike, so the runs are not shuffled) to learn which hashes are new, and added as a
 run of level 0. When a level holds ``fanout`` runs they are compacted into one run of the next level.
 
+Runs lie in the shared folder and are removed when the dropped lines are known, or when that fails.
+
 Batches come in falling order of document id, so the batch that brings a hash first also holds
 the largest document id with that line: its ``keeper``. Later batches add only their counts.
 
@@ -21,7 +23,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import ascii_lower, stored, table
+from tapeloom.llm.common import ascii_lower, fresh_path, removed, stored, table
 
 #: Bytes stripped at both ends of a line: space and 0x09 to 0x0D.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -54,11 +56,12 @@ class LineRuns:
         self.spark, self.fanout = spark, fanout
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[str]] = []
+        self.folder = fresh_path(spark, "runs")
 
     def _save(self, run: DataFrame, level: int) -> None:
         name = f"line_run_{uuid.uuid4().hex}"
         (run.select(*HASH, "n_docs", "keeper").repartition(self.buckets, *HASH)
-            .write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").saveAsTable(name))
+            .write.bucketBy(self.buckets, *HASH).sortBy(*HASH).format("parquet").option("path", f"{self.folder}/{name}").saveAsTable(name))
         while len(self.levels) <= level:
             self.levels.append([])
         self.levels[level].append(name)
@@ -91,8 +94,18 @@ class LineRuns:
         names = self.levels[level]
         self._save(self._merge([self.spark.table(n) for n in names]), level + 1)
         self.levels[level] = []
+        self._drop(names)
+
+    def _drop(self, names: list[str]) -> None:
         for name in names:
-            self.spark.sql(f"DROP TABLE {name}")
+            self.spark.sql(f"DROP TABLE IF EXISTS {name}")
+            removed(self.spark, f"{self.folder}/{name}")
+
+    def close(self) -> None:
+        """Remove all runs; what was read from them must be stored by then."""
+        for level in self.levels:
+            self._drop(level)
+        self.levels = []
 
     @staticmethod
     def _merge(runs: list[DataFrame]) -> DataFrame:
@@ -126,9 +139,12 @@ def dropped_lines(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, batch
     """``(doc, row, drops)``: the places of the lines to drop, for documents that lose any."""
     lines = stored(hashed_lines(docs, min_chars), "lines")
     store = LineRuns(docs.sparkSession, fanout)
-    for batch in batches_by_id(lines, batches):
-        store.add(batch)
-    often = stored(store.merged().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper"), "often")
+    try:
+        for batch in batches_by_id(lines, batches):
+            store.add(batch)
+        often = stored(store.merged().filter(F.col("n_docs") >= min_docs).select(*HASH, "keeper"), "often")
+    finally:
+        store.close()
     # Both sides are plain shuffles here, so a very common line is split as a skewed join partition.
     lost = lines.join(often, HASH).filter(~F.col("doc").eqNullSafe(F.col("keeper")))
     return lost.groupBy("doc", "row").agg(F.collect_set("pos").alias("drops"))
