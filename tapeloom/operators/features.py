@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from tapeloom.operators.align import DAY_MS, HOUR_MS, by_time, leg_panel, outer_fusion, safe_ratio
 from tapeloom.operators.bars import hourly_context, hourly_quotes, hourly_taker
 from tapeloom.operators.flow import hourly_cohort
+from tapeloom.operators.order import in_blocks, numbered
+from tapeloom.sources.layers import stored
 
 #: Rows that returns and lags look back, and rows of a rolling value.
 RETURNS, LAGS, ROLLED = (1, 24), (1, 4, 24), 24
@@ -21,15 +23,24 @@ FEATURES = [
 TAPE_FEATURES = ["obi_mean", "spread_bps_mean", "taker_imbalance", "premium_mean", "premium_last"]
 
 
-def feature_matrix(spot: DataFrame, perp: DataFrame, funding: DataFrame, complete: bool = True) -> DataFrame:
-    """``(coin, hour, features, funding_rate, target_fund, label)``; with ``complete``, rows without a null only."""
-    w = by_time(["coin"], "hour")
+#: Rows of a coin that one task computes features of; 24 rows before and one after come with them.
+BLOCK_ROWS = 100_000
+
+
+def feature_matrix(spot: DataFrame, perp: DataFrame, funding: DataFrame, complete: bool = True, block: int = BLOCK_ROWS) -> DataFrame:
+    """``(coin, hour, features, funding_rate, target_fund, label)``; with ``complete``, rows without a null only.
+
+    A coin's rows are dealt in blocks with the rows that lags and rolled values look back to, and the one that the target looks ahead to.
+    """
+    w = by_time(["coin", "__block"], "hour")
     back = w.rowsBetween(1 - ROLLED, 0)
 
     def rolled(f, c: str):
         return F.when(F.count(c).over(back) == ROLLED, f(c).over(back))
 
-    p = leg_panel(spot, perp, funding).withColumn("basis", safe_ratio(F.col("perp") - F.col("spot"), F.col("spot")))
+    p = stored(leg_panel(spot, perp, funding), "panel")
+    p = in_blocks(numbered(p, ["coin"], "hour", block * HOUR_MS), ["coin"], block, max(*RETURNS, *LAGS, ROLLED - 1), 1)
+    p = p.withColumn("basis", safe_ratio(F.col("perp") - F.col("spot"), F.col("spot")))
     cols = {}
     for leg in ("spot", "perp"):
         for k in RETURNS:
@@ -45,7 +56,7 @@ def feature_matrix(spot: DataFrame, perp: DataFrame, funding: DataFrame, complet
         cols[f"{name}_sin"], cols[f"{name}_cos"] = F.sin(x * (2 * math.pi / n)), F.cos(x * (2 * math.pi / n))
     cols["target_fund"] = F.lead("funding_rate").over(w)
     out = p.withColumns(cols).withColumn("label", (F.col("target_fund") > 0).cast("int"))
-    out = out.select("coin", "hour", *FEATURES, "funding_rate", "target_fund", "label")
+    out = out.filter("__own").select("coin", "hour", *FEATURES, "funding_rate", "target_fund", "label")
     return out.dropna(subset=[*FEATURES, "target_fund"]) if complete else out
 
 

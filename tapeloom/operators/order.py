@@ -60,3 +60,25 @@ def quantiles(rows: DataFrame, keys: list[str], value: str, probs: dict[str, flo
     found = found.withColumn("x", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((1 - F.col("part")) * F.col("a") + F.col("part") * F.col("b")))
     picked = [F.max(F.when(F.col("name") == n, F.col("x"))).alias(n) for n in probs]
     return found.groupBy(*keys).agg(*picked) if keys else found.agg(*picked)
+
+
+def numbered(rows: DataFrame, keys: list[str], time: str, span: int) -> DataFrame:
+    """``rows`` with ``__i``, the place from 0 in time order of the key; no task sees more than ``span`` of time of a key.
+
+    Places within a stretch of time follow what the key's earlier stretches hold. ``rows`` is read twice: store it before.
+    """
+    stretch = rows.withColumn("__t", F.floor(F.col(time) / span))
+    before = F.sum("__n").over(Window.partitionBy(*keys).orderBy("__t").rowsBetween(Window.unboundedPreceding, -1))
+    counts = stretch.groupBy(*keys, "__t").agg(F.count("*").alias("__n")).withColumn("__first", F.coalesce(before, F.lit(0))).drop("__n")
+    inside = F.row_number().over(Window.partitionBy(*keys, "__t").orderBy(time)) - 1
+    return stretch.withColumn("__k", inside).join(counts, [*keys, "__t"]).withColumn("__i", F.col("__first") + F.col("__k")).drop("__t", "__k", "__first")
+
+
+def in_blocks(rows: DataFrame, keys: list[str], size: int, back: int, ahead: int) -> DataFrame:
+    """Rows of ``numbered`` with ``__block`` and ``__own``: blocks of ``size`` rows, each with copies of ``back`` rows before and ``ahead`` rows after it.
+
+    Windows of ``keys`` and ``__block`` that look no farther give for the block's own rows what windows of ``keys`` give.
+    """
+    own = F.floor(F.col("__i") / size)
+    reached = F.sequence(F.greatest(F.lit(0), F.floor((F.col("__i") - ahead) / size)), F.floor((F.col("__i") + back) / size))
+    return rows.withColumn("__block", F.explode(reached)).withColumn("__own", F.col("__block") == own)

@@ -59,3 +59,29 @@ def test_quantiles_without_keys_or_rows(spark, rows):
     assert order.quantiles(rows.filter("k = 'none'"), [], "v", {"q": 0.8}).collect()[0]["q"] is None
     assert order.quantiles(rows.filter("k = 'none'"), ["k"], "v", {"q": 0.8}).collect() == []
     assert order.quantiles(rows.withColumn("v", F.lit(None).cast("double")), ["k"], "v", {"q": 0.8}).collect() == []
+
+
+def test_windows_in_blocks_equal_windows_over_the_whole_series(spark):
+    """Features at any size of block, over a series with gaps and one shorter than a block's border."""
+    from tapeloom.operators import features
+
+    rng = random.Random(9)
+    hours = [h for h in range(400) if rng.random() < 0.7]
+    rows = [(c, h * 3_600_000, 1 + rng.random(), 1 + rng.random(), rng.gauss(0, 1)) for c, held in (("a", hours), ("b", hours[:20])) for h in held]
+    df = spark.createDataFrame(rows, "coin string, hour bigint, spot double, perp double, funding_rate double").repartition(4).persist()
+    legs = df.select("coin", "hour", "spot"), df.select("coin", "hour", "perp"), df.select("coin", "hour", "funding_rate")
+
+    def made(block):
+        return {(r["coin"], r["hour"]): [None if x is None else round(x, 12) for x in r[2:]] for r in features.feature_matrix(*legs, complete=False, block=block).collect()}
+
+    whole = made(100_000)
+    assert len(whole) == len(rows) and made(7) == whole and made(50) == whole
+    spot = {(c, h): s for c, h, s, *_ in rows}
+    for (c, h), found in whole.items():  # by hand: the return over 24 rows, and the target
+        own = sorted(x for k, x in spot if k == c)
+        i = own.index(h)
+        back = round(spot[c, h] / spot[c, own[i - 24]] - 1, 12) if i >= 24 else None
+        assert found[features.FEATURES.index("spot_ret_24")] == back
+        assert (found[-1] is None) == (i == len(own) - 1)
+    place = order.numbered(df, ["coin"], "hour", 13 * 3_600_000).collect()
+    assert sorted((r["coin"], r["hour"], r["__i"]) for r in place) == sorted((c, h, sorted(x for k, x in spot if k == c).index(h)) for c, h in spot)
