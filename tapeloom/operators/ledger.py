@@ -6,6 +6,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tapeloom.operators.align import safe_ratio
+from tapeloom.operators.order import numbered, quantiles
+from tapeloom.sources.layers import stored
+
+#: Time of a coin's bars that one task numbers.
+SPAN_MS = 30 * 86_400_000
 
 
 def event_ledger(bars: DataFrame, fee_bps: float, hold: int = 12, frac: float = 0.30, q: float = 0.9, min_bars: int = 1000) -> DataFrame:
@@ -15,11 +20,11 @@ def event_ledger(bars: DataFrame, fee_bps: float, hold: int = 12, frac: float =
     traded. The greedy choice of entries is parallel over islands: a signal at least ``hold`` bars after
     the previous signal is always taken, so only signals closer than that are folded in order.
     """
-    w = Window.partitionBy("coin").orderBy("bar")
-    n = F.count("*").over(Window.partitionBy("coin"))
-    rows = bars.withColumns({"i": F.row_number().over(w) - 1, "n": n}).filter(F.col("n") >= min_bars).withColumn("split", F.floor(F.col("n") * frac))
-    cuts = rows.filter(F.col("i") < F.col("split")).groupBy("coin").agg(F.percentile("obi", F.lit(q)).alias("hi"), F.percentile("obi", F.lit(1 - q)).alias("lo"))
-    live = rows.filter((F.col("i") >= F.col("split")) & (F.col("i") < F.col("n") - hold)).join(F.broadcast(cuts), "coin")
+    bars = numbered(stored(bars, "bars"), ["coin"], "bar", SPAN_MS).withColumn("i", F.col("__i").cast("int")).drop("__i")
+    sizes = bars.groupBy("coin").agg(F.count("*").alias("n"))
+    rows = stored(bars.join(sizes, "coin").filter(F.col("n") >= min_bars).withColumn("split", F.floor(F.col("n") * frac)), "bars")
+    cuts = quantiles(rows.filter(F.col("i") < F.col("split")), ["coin"], "obi", {"hi": q, "lo": 1 - q})
+    live = rows.filter((F.col("i") >= F.col("split")) & (F.col("i") < F.col("n") - hold)).join(cuts, "coin")
     signals = live.filter((F.col("obi") >= F.col("hi")) | (F.col("obi") <= F.col("lo"))).select("coin", "i")
     by_i = Window.partitionBy("coin").orderBy("i")
     starts = (F.coalesce(F.col("i") - F.lag("i").over(by_i), F.lit(hold)) >= hold).cast("int")

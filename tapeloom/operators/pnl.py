@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tapeloom.operators.align import by_time, common_days, day_of, leg_panel, safe_ratio
 from tapeloom.operators.stats import annualised, deflation_bar, psr, psr_inputs
+from tapeloom.sources.layers import stored
 
 DAYS = 365
 
@@ -88,10 +90,12 @@ def verdict(sharpe: Column) -> Column:
 
 def net_metrics(daily: DataFrame, round_trip: float, borrow_bps: float, drift_bps: float) -> DataFrame:
     """A row a series: gross and net APR, gross and net Sharpe, verdict."""
-    net = net_of_costs(daily, round_trip, borrow_bps + drift_bps)
-    gross = annualised(net, ["series"], "ret").select("series", "n", F.col("apr").alias("gross_apr"), F.col("sharpe").alias("gross_sharpe"))
-    after = annualised(net, ["series"], "net").select("series", F.col("apr").alias("net_apr"), F.col("sharpe").alias("net_sharpe"))
-    return gross.join(after, "series").withColumn("verdict", verdict(F.col("net_sharpe")))
+    sums = daily.groupBy("series").agg(F.count("ret").alias("n"), F.count("*").alias("rows"), F.avg("ret").alias("mu"), F.stddev_samp("ret").alias("sd")).filter("n > 0")
+    # Costs take the same from each day, so the deviation stays.
+    after = F.col("mu") - F.lit(round_trip) / F.col("rows") - (borrow_bps + drift_bps) / 10_000
+    sharpe = lambda mu: F.coalesce(F.when(F.col("sd") > 0, mu / F.col("sd") * math.sqrt(DAYS)), F.lit(0.0))
+    out = sums.select("series", "n", (F.col("mu") * DAYS).alias("gross_apr"), sharpe(F.col("mu")).alias("gross_sharpe"), (after * DAYS).alias("net_apr"), sharpe(after).alias("net_sharpe"))
+    return out.withColumn("verdict", verdict(F.col("net_sharpe")))
 
 
 def basket(daily: DataFrame, exclude: tuple[str, ...] = (), name: str = "BASKET") -> DataFrame:
@@ -106,8 +110,9 @@ LADDER = [("funding_only", "carry", 0.0), ("basis_drift", "drift", 0.0), ("reali
 
 def ladder(carry: DataFrame, drift: DataFrame, round_trip: float) -> DataFrame:
     """``(series, rung, day, ret, net)`` of every coin and the basket, on each rung."""
-    both = carry.withColumn("kind", F.lit("carry")).unionByName(drift.withColumn("kind", F.lit("drift")))
-    baskets = basket(carry).withColumn("kind", F.lit("carry")).unionByName(basket(drift).withColumn("kind", F.lit("drift")))
+    both = stored(carry.withColumn("kind", F.lit("carry")).unionByName(drift.withColumn("kind", F.lit("drift"))), "daily")
+    of = lambda kind: basket(both.filter(F.col("kind") == kind)).withColumn("kind", F.lit(kind))
+    baskets = of("carry").unionByName(of("drift"))
     rungs = F.array(*[F.struct(F.lit(r).alias("rung"), F.lit(k).alias("of"), F.lit(d).alias("drag")) for r, k, d in LADDER])
     each = both.unionByName(baskets).withColumn("r", F.explode(rungs)).filter("kind = r.of").select("series", "day", "ret", "r.rung", "r.drag")
     return net_of_costs(each, round_trip, F.col("drag"), keys=("series", "rung")).drop("drag")
