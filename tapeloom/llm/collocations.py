@@ -27,7 +27,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tapeloom.llm.common import broadcast_if_small, join_hot, session_setup, stored, table
+from tapeloom.llm.common import broadcast_if_small, session_setup, stored, table
 from tapeloom.llm.minhash import mixed
 
 DEPTH, LEAST, INSIDE, TOP = 3, 10, 50, 2000
@@ -40,6 +40,8 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, a tab as a space, separators of pieces as line feeds.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 _ROWS = 200_000
+#: Partitions of the index that one task spells out.
+COMBINED = 4
 
 
 class Numbers(dict):
@@ -250,19 +252,26 @@ def counted(index: DataFrame, depth: int, least: int) -> DataFrame:
             for lang, words, bwt in zip(*(b.column(i) for i in range(3))):
                 name, phrases = lang.as_py(), Phrases(words.as_py(), bwt.as_py())
                 slots = Slots(name, phrases.words, held.value)
-                spelled = np.array([b"", *phrases.words], object)
+                spelled, prefix = np.array([b"", *phrases.words], object), name.encode() + b"\t"
                 for size, (numbers, counts) in enumerate(phrases.sizes(depth, slots.full), 1):
                     if size == depth:
                         good = slots.full(numbers)
                         numbers, counts = numbers[good], counts[good]
                     for i in range(0, len(counts), _ROWS):
                         part = numbers[i : i + _ROWS]
-                        text = list(map(b" ".join, zip(*(spelled[part[:, k]] for k in range(size)))))
-                        columns = [pa.array([name] * len(part)), pa.array([size] * len(part), pa.int32()), pa.array(text, pa.binary()).cast(pa.string()), pa.array(counts[i : i + _ROWS].astype(np.int64))]
-                        yield pa.RecordBatch.from_arrays(columns, ["lang", "size", "phrase", "f"])
+                        own = [spelled[part[:, k]] for k in range(size)]
+                        own[0] = prefix + own[0]
+                        text = list(map(b" ".join, zip(*own)))
+                        columns = [pa.array(text, pa.binary()).cast(pa.string()), pa.array(counts[i : i + _ROWS].astype(np.int64))]
+                        yield pa.RecordBatch.from_arrays(columns, ["key", "f"])
 
-    rows = index.select("lang", "words", "bwt").mapInArrow(run, "lang string, size int, phrase string, f bigint")
-    return rows.groupBy("lang", "size", "phrase").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    # Fewer and larger tasks have more shards' phrases in common, which are added up before they move.
+    fewer = index.coalesce(max(1, index.rdd.getNumPartitions() // COMBINED))
+    rows = fewer.select("lang", "words", "bwt").mapInArrow(run, "key string, f bigint")
+    full = rows.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
+    phrase = F.substring_index("key", "\t", -1)
+    lang = F.expr("substring(key, 1, char_length(key) - char_length(substring_index(key, '\t', -1)) - 1)")
+    return full.select(lang.alias("lang"), F.size(F.split(phrase, " ")).alias("size"), phrase.alias("phrase"), "f")
 
 
 def ratio(a: str, left: str, right: str) -> Column:
@@ -296,10 +305,9 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside
 
     def found(rows: DataFrame, size: int, part: Column, name: str) -> DataFrame:
         """``rows`` with the count of a part of ``size`` words; the parts of a candidate are frequent, so none is missing."""
-        asked, held = rows.withColumn("part", part), small[size].withColumnRenamed("f", name)
-        if small[size] is not sized[size]:  # its measured size lets it be broadcast
-            return asked.join(held, "part").drop("part")
-        return join_hot(stored(asked, "asked"), held, "part").drop("part")
+        held = small[size].withColumnRenamed("f", name)
+        # Where its measured size forbids a broadcast, both sides are plain shuffles, so a very common part is split as a skewed join partition.
+        return rows.join(held, part == held["part"]).drop("part")
 
     scored, parts = [], []
     for size in range(2, depth + 1):
