@@ -11,14 +11,16 @@ from tapeloom.operators.ic import top_decile, with_horizons
 from tapeloom.operators.order import quantiles
 from tapeloom.sources.layers import stored
 
-#: Wallets of a cohort up to which its table is broadcast: some 20 MB of 42-character addresses.
-COHORT_ROWS = 200_000
+#: Wallets of a cohort, and bytes of their names, up to which its table is broadcast.
+COHORT_ROWS, COHORT_BYTES = 200_000, 16_000_000
 
 
 def _cohort(smart: DataFrame, *names: str) -> list[DataFrame]:
-    """The cohort's wallets under each name, flagged; counted once, and broadcast where they are few."""
-    few = smart.limit(COHORT_ROWS + 1).count() <= COHORT_ROWS
-    each = [smart.select(F.col("wallet").alias(n)).distinct().withColumn(f"in_{n}", F.lit(True)) for n in names]
+    """The cohort's wallets under each name, flagged; computed once, measured, and broadcast where they are few."""
+    smart = stored(smart.select("wallet").distinct(), "cohort")
+    rows, size = smart.agg(F.count("*"), F.sum(F.octet_length("wallet"))).first()
+    few = rows <= COHORT_ROWS and (size or 0) <= COHORT_BYTES
+    each = [smart.select(F.col("wallet").alias(n)).withColumn(f"in_{n}", F.lit(True)) for n in names]
     return [F.broadcast(x) if few else x for x in each]
 
 
