@@ -8,6 +8,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from tapeloom import schemas
 
@@ -50,7 +51,9 @@ def write_layer(df: DataFrame, root: str, layer: str) -> None:
 def load_tape(spark: SparkSession, root: str, channel: str, coins: list[str] | None = None, days: tuple[str, str] | None = None) -> DataFrame:
     """A channel of the tape; coins and days prune partitions before any file is opened."""
     kinds = "coin string, dt string, hr string"
-    df = spark.read.schema(schemas.CHANNELS[channel].add("dt", "string").add("hr", "string")).option("partitionSchema", kinds).parquet(f"{root}/{channel}")
+    # A new schema: ``add`` would change the shared one, for every later reader of the session.
+    schema = StructType([*schemas.CHANNELS[channel].fields, StructField("dt", StringType()), StructField("hr", StringType())])
+    df = spark.read.schema(schema).option("partitionSchema", kinds).parquet(f"{root}/{channel}")
     if coins is not None:
         df = df.filter(F.col("coin").isin(coins))
     if days is not None:

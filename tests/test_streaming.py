@@ -135,3 +135,19 @@ def test_fan_out_keeps_known_coins(spark, tmp_path):
 
     fan.write_batch(spark.createDataFrame(messages_of_all_channels(0), tape.RAW), 0, str(tmp_path), ["a", "d"])
     assert {c: fan.load_channel(spark, str(tmp_path), c).count() for c in messages.NORMALISERS} == {"trades": 0, "l2book": 3, "bbo": 3, "ctx": 0}
+
+
+def test_fan_tables_are_read_after_a_tape(spark, tmp_path):
+    """A tape read before, in the same session, leaves the channel's schema alone; the hour is in the files here, not in the folders."""
+    from tapeloom import schemas
+    from tapeloom.sources import layers
+    from tapeloom.streaming import fan
+
+    before = {c: list(kind.names) for c, kind in schemas.CHANNELS.items()}
+    made = spark.createDataFrame(messages_of_all_channels(1), tape.RAW)
+    layers.write_tape(messages.bbo(made), f"{tmp_path}/tape", "bbo")
+    for _ in range(2):
+        assert layers.load_tape(spark, f"{tmp_path}/tape", "bbo").columns.count("hr") == 1
+    assert {c: list(kind.names) for c, kind in schemas.CHANNELS.items()} == before
+    fan.write_batch(made, 0, f"{tmp_path}/fan", by=("coin", "dt"))
+    assert [(r["coin"], r["hr"]) for r in fan.load_channel(spark, f"{tmp_path}/fan", "bbo").collect()] == [("a", "01")] * 3
