@@ -74,13 +74,17 @@ def bootstrap_sharpe(daily: DataFrame, keys: list[str], value: str = "ret", resa
     """
     rows = indexed(daily.filter(F.col(value).isNotNull()), keys).select(*keys, "i", F.col(value).alias("v"))
     sizes = rows.groupBy(*keys).agg(F.count("*").alias("n"))
+    # The block from each start; the last starts of a series have shorter ones.
+    each = rows.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1)))).withColumn("s", (F.col("i") - F.col("k")).cast("bigint")).filter("s >= 0")
+    blocks = each.groupBy(*keys, "s").agg(F.array_sort(F.collect_list(F.struct("k", "v"))).alias("held"))
     draws = sizes.withColumn("r", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
     draws = draws.withColumn("b", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n") / block).cast("int") - 1)))
     digest = F.conv(F.substring(F.md5(F.concat_ws("-", F.lit(seed), "r", "b")), 1, 8), 16, 10).cast("bigint")
-    start = F.pmod(digest, F.greatest(F.lit(1), F.col("n") - block + 1))
-    at = draws.withColumn("s", start).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(block - 1))))
-    at = at.filter((F.col("b") * block + F.col("k") < F.col("n")) & (F.col("s") + F.col("k") < F.col("n"))).withColumn("i", (F.col("s") + F.col("k")).cast("int"))
-    drawn = at.join(rows, [*keys, "i"]).groupBy(*keys, "r").agg(F.avg("v").alias("mu"), F.stddev_pop("v").alias("sd"))
+    draws = draws.withColumn("s", F.pmod(digest, F.greatest(F.lit(1), F.col("n") - block + 1)))
+    # Draws come from one row a series, so Spark takes them for small and would broadcast them all.
+    drawn = draws.join(blocks.hint("merge"), [*keys, "s"])
+    rest = F.least(F.lit(block), F.col("n") - F.col("b") * block).cast("int")
+    drawn = drawn.select(*keys, "r", F.explode(F.slice("held", F.lit(1), rest)).alias("d")).groupBy(*keys, "r").agg(F.avg("d.v").alias("mu"), F.stddev_pop("d.v").alias("sd"))
     sharpe = F.coalesce(F.when(F.col("sd") > 0, F.col("mu") / F.col("sd") * math.sqrt(DAYS)), F.lit(0.0))
     tail = (1 - ci) / 2
     return drawn.groupBy(*keys).agg(F.percentile(sharpe, F.lit(tail)).alias("lo"), F.percentile(sharpe, F.lit(1 - tail)).alias("hi"))

@@ -75,6 +75,28 @@ def test_bootstrap(spark):
     assert first[0][1] < first[0][2] and first[1][1] == first[1][2]
 
 
+def test_bootstrap_broadcasts_no_draws_and_equals_a_plain_loop(spark):
+    import hashlib
+
+    import numpy as np
+
+    rng = random.Random(8)
+    held = {"a": [rng.gauss(0.1, 1) for _ in range(47)], "b": [rng.gauss(0, 2) for _ in range(10)], "short": [1.0, 2.0, 4.0], "one": [0.5], "flat": [0.25] * 20}
+    out = stats.bootstrap_sharpe(daily(spark, held), ["series"])
+    got = {r["series"]: (r["lo"], r["hi"]) for r in out.collect()}
+    assert "BroadcastExchange" not in out._jdf.queryExecution().executedPlan().toString()
+    for s, v in held.items():
+        sharpes, n = [], len(v)
+        for r in range(1000):
+            own = []
+            for b in range(-(-n // 10)):
+                at = int(hashlib.md5(f"42-{r}-{b}".encode()).hexdigest()[:8], 16) % max(1, n - 9)
+                own += v[at : at + min(10, n - b * 10)]
+            sharpes.append(np.mean(own) / np.std(own) * math.sqrt(365) if np.std(own) > 0 else 0.0)
+        assert got[s] == (pytest.approx(np.quantile(sharpes, 0.025)), pytest.approx(np.quantile(sharpes, 0.975)))
+    assert len(got) == 5
+
+
 def test_basket_and_common_days(spark):
     d = daily(spark, {"a": [1, 2, 3], "b": [3, 4], "c": [100]})
     assert rows(pnl.basket(d, exclude=("c",)), "ret") == [(2.0,), (3.0,)]
