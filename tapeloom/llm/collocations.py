@@ -40,8 +40,10 @@ _GOLD = np.uint64(0x9E3779B97F4A7C15)
 #: A-Z lower-cased, a tab as a space, separators of pieces as line feeds.
 _TABLE = bytes(b + 32 if 65 <= b <= 90 else 32 if b == 9 else 10 if b in b".,;:!?" or 10 <= b <= 13 else b for b in range(256))
 _ROWS = 200_000
-#: Partitions of the index that one task spells out.
+#: Partitions of the index that one task spells out, where enough tasks are left for all cores.
 COMBINED = 4
+#: Shards of a row group of the index. Spark's reader decodes a row group's values at once, 4,096 rows at most.
+GROUP_SHARDS = 4
 
 
 class Numbers(dict):
@@ -266,7 +268,8 @@ def counted(index: DataFrame, depth: int, least: int) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(columns, ["key", "f"])
 
     # Fewer and larger tasks have more shards' phrases in common, which are added up before they move.
-    fewer = index.coalesce(max(1, index.rdd.getNumPartitions() // COMBINED))
+    held_in = index.rdd.getNumPartitions()
+    fewer = index.coalesce(max(1, held_in // COMBINED, min(held_in, context.defaultParallelism)))
     rows = fewer.select("lang", "words", "bwt").mapInArrow(run, "key string, f bigint")
     full = rows.groupBy("key").agg(F.sum("f").alias("f")).filter(F.col("f") >= least)
     phrase = F.substring_index("key", "\t", -1)
@@ -295,7 +298,7 @@ def collocations(docs: DataFrame, depth: int = DEPTH, least: int = LEAST, inside
     session_setup(docs.sparkSession)
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     texts = docs.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), "text")
-    index = stored(shards(texts, depth, pending), "shards", "zstd")
+    index = stored(shards(texts, depth, pending), "shards", "zstd", GROUP_SHARDS)
     totals = index.groupBy("lang").agg(F.sum("n").alias("n"))
     f = stored(counted(index, depth, least), "phrases")
     sized = {size: f.filter(F.col("size") == size).select(keyed("phrase").alias("part"), "f") for size in range(1, depth)}

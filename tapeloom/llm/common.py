@@ -45,11 +45,14 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/tapeloom-{tag}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, tag: str, codec: str = "snappy") -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends, later scans are pruned."""
+def stored(df: DataFrame, tag: str, codec: str = "snappy", group_rows: int | None = None) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lineage ends, later scans are pruned.
+
+    ``group_rows`` is for rows of megabytes: readers and writers hold a row group of so many rows, where they would hold 4,096 rows and 128 MB.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, tag)
-    df.write.parquet(path, compression=codec)
+    (df.write.option("parquet.block.row.count.limit", group_rows) if group_rows else df.write).parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path)
 
 

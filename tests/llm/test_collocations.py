@@ -62,6 +62,23 @@ def test_equals_plain_counts(spark, rows):
     assert run(spark, rows, depth=4, least=3, inside=70, top=25) == brute(rows, 4, 3, 70, 25)
 
 
+def test_row_groups_of_the_index_hold_few_shards(spark, rows, monkeypatch):
+    """Readers decode a row group at once, so a partition of many shards must not be one."""
+    import pyarrow.parquet as pq
+
+    kept, whole = [], c.stored
+
+    def storing(df, tag, *options):
+        out = whole(df, tag, *options)
+        kept.extend(f.removeprefix("file://") for f in out.inputFiles() if tag == "shards")
+        return out
+
+    monkeypatch.setattr(c, "stored", storing)
+    assert run(spark, rows, parts=1, pending=300) == brute(rows)
+    groups = [m.row_group(i).num_rows for m in (pq.ParquetFile(f).metadata for f in kept) for i in range(m.num_row_groups)]
+    assert sum(groups) > 20 and max(groups) <= 4
+
+
 def test_without_words(spark):
     assert run(spark, []) == [] and run(spark, [(None, None), ("", "en"), (" ,.\n", "de")]) == []
 
