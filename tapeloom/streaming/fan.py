@@ -20,8 +20,8 @@ FOLDERS = ("coin", "dt", "hr")
 
 
 def write_channel(rows: DataFrame, channel: str, root: str, number: int, by: tuple[str, ...] = FOLDERS) -> None:
-    """Replace a batch of a channel."""
-    parts = with_partitions(rows, schemas.EVENT_MS[channel]).repartition(*by)
+    """Replace a batch of a channel. A folder with many rows is split over tasks, each of which writes a file of it."""
+    parts = with_partitions(rows, schemas.EVENT_MS[channel]).hint("rebalance", *map(F.col, by))
     parts.write.mode("overwrite").partitionBy(*by).parquet(f"{root}/{channel}/batch={number}")
 
 

@@ -137,6 +137,27 @@ def test_fan_out_keeps_known_coins(spark, tmp_path):
     assert {c: fan.load_channel(spark, str(tmp_path), c).count() for c in messages.NORMALISERS} == {"trades": 0, "l2book": 3, "bbo": 3, "ctx": 0}
 
 
+def test_fan_splits_a_large_folder_over_tasks(spark, tmp_path):
+    """All rows of a coin and day: one task held them, however many there were."""
+    from pyspark.sql import functions as F
+
+    from tapeloom.streaming import fan
+
+    ms = F.col("id").cast("string")
+    levels = F.lit(',"levels":[[],[{"px":"5","sz":"1"}]]}}')
+    raw = spark.range(20_000).select(F.col("id").alias("captured_ms"), F.concat(F.lit('{"channel":"l2Book","data":{"coin":"d","time":'), ms, levels).alias("value"))
+    books = messages.l2book(raw).withColumn("levels_json", F.sha2(F.col("book_ms").cast("string"), 512))  # does not compress
+    size = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(size)
+    spark.conf.set(size, "100k")
+    try:
+        fan.write_channel(books, "l2book", str(tmp_path), 0, ("coin", "dt"))
+    finally:
+        spark.conf.set(size, before)
+    files = list((tmp_path / "l2book" / "batch=0" / "coin=d" / "dt=1970-01-01").glob("part-*"))
+    assert len(files) > 2 and spark.read.parquet(f"{tmp_path}/l2book").count() == 20_000
+
+
 def test_fan_tables_are_read_after_a_tape(spark, tmp_path):
     """A tape read before, in the same session, leaves the channel's schema alone; the hour is in the files here, not in the folders."""
     from tapeloom import schemas
