@@ -7,6 +7,7 @@ The checkpoint and ``root`` belong together: batch numbers are the checkpoint's.
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -27,7 +28,8 @@ def write_channel(rows: DataFrame, channel: str, root: str, number: int, by: tup
 
 def write_batch(raw: DataFrame, number: int, root: str, universe: list[str] | None = None, by: tuple[str, ...] = FOLDERS) -> None:
     """All channels of a batch of raw messages, then its row among the finished ones."""
-    held = raw.persist()
+    # On disk: a partition of long messages would fill an executor's memory while it is cached.
+    held = raw.persist(StorageLevel.DISK_ONLY)
     try:
         for channel, normalise in messages.NORMALISERS.items():
             write_channel(normalise(held, universe), channel, root, number, by)

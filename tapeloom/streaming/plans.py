@@ -66,11 +66,16 @@ def stream_stalls(s: SparkSession, d: str) -> DataFrame:
     return _run_to_end(alarms(), root)
 
 
+#: Messages of a file, and files of a batch, at most: batches do not grow with the input.
+FILE_MESSAGES, BATCH_FILES = 250_000, 8
+
+
 def fanned(s: SparkSession, raw: DataFrame, channel: str) -> DataFrame:
-    """One channel's table of a stream of all channels' messages, run to its end in several batches."""
+    """One channel's table of a stream of all channels' messages, run to its end in several batches of bounded size."""
     root = scratch(s, "fan")
-    raw.repartition(4).write.parquet(f"{root}/raw")
-    fan.fan_out(tape.raw_stream(s, f"{root}/raw", 2), f"{root}/tape", f"{root}/check", trigger={"availableNow": True}, by=("coin", "dt")).awaitTermination()
+    raw.write.option("maxRecordsPerFile", FILE_MESSAGES).parquet(f"{root}/raw")
+    files = len(s.read.schema(tape.RAW).parquet(f"{root}/raw").inputFiles())
+    fan.fan_out(tape.raw_stream(s, f"{root}/raw", max(1, min(BATCH_FILES, files // 2))), f"{root}/tape", f"{root}/check", trigger={"availableNow": True}, by=("coin", "dt")).awaitTermination()
     return fan.load_channel(s, f"{root}/tape", channel)
 
 

@@ -137,6 +137,18 @@ def test_fan_out_keeps_known_coins(spark, tmp_path):
     assert {c: fan.load_channel(spark, str(tmp_path), c).count() for c in messages.NORMALISERS} == {"trades": 0, "l2book": 3, "bbo": 3, "ctx": 0}
 
 
+def test_fan_batches_do_not_grow_with_the_input(spark, tmp_path, monkeypatch):
+    from tapeloom.streaming import fan, plans
+
+    monkeypatch.setattr(plans, "scratch", lambda s, tag: f"{tmp_path}/{tag}")
+    monkeypatch.setattr(plans, "FILE_MESSAGES", 7, raising=False)
+    monkeypatch.setattr(plans, "BATCH_FILES", 3, raising=False)
+    made = spark.createDataFrame([m for k in range(20) for m in messages_of_all_channels(k)], tape.RAW).coalesce(2)
+    assert plans.fanned(spark, made, "trades").count() == 60
+    sizes = [r["rows"] for r in fan.finished(spark, f"{tmp_path}/fan/tape").collect()]
+    assert sum(sizes) == 300 and max(sizes) <= 21
+
+
 def test_fan_splits_a_large_folder_over_tasks(spark, tmp_path):
     """All rows of a coin and day: one task held them, however many there were."""
     from pyspark.sql import functions as F
